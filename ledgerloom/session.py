@@ -25,6 +25,7 @@ def local_session(app: str = "ledgerloom", cores: str = "*", partitions: int = 8
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in JOB_CONF.items():
