@@ -11,9 +11,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import ledger as L
+from ledgerloom.operators import maturity as U
 from ledgerloom.operators import metrics as M
 from ledgerloom.operators import periods as P
 from ledgerloom.operators import statements as S
+from ledgerloom.operators.controls.base import Context
+from ledgerloom.operators.voucher_facts import voucher_facts
 from ledgerloom.session import JOB_CONF, stage
 from ledgerloom.sources import demo
 
@@ -95,6 +98,29 @@ class Book:
     def balance_wide(self) -> DataFrame:
         return stage(S.balance_wide(self.monthly, self.coverage, self.openings, self.complete), "balance_wide")
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        return stage(voucher_facts(self.vouchers), "facts")
+
+    @cached_property
+    def maturity(self) -> DataFrame:
+        return stage(U.maturity(self.facts, self.movements, self.coverage, self.balances), "maturity")
+
+    @cached_property
+    def context(self) -> Context:
+        return Context(
+            facts=self.facts,
+            movements=self.movements,
+            coverage=self.coverage,
+            balances=self.balances,
+            balance_wide=self.balance_wide,
+            companies=self.companies,
+            accounts=self.accounts,
+            maturity=self.maturity,
+            year_balances=self.year_balances,
+            fiscal_years=self.fiscal_years,
+        )
+
     # ------------------------------------------------------------------------------- periods
     def periods(self, *kinds: str) -> DataFrame:
         return P.standard_periods(self.coverage, kinds)

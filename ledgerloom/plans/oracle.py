@@ -47,7 +47,9 @@ v AS (
          WHEN 'inflow' THEN 'Insättning ägare' ELSE party END FROM lin2
   UNION ALL SELECT 'o' || lid, company_id, 'A', num, CAST(d + 2 AS DATE), CAST(reg + 2 AS DATE), 'Utbetalning ägare' FROM lin2 WHERE kind = 'inflow'
   UNION ALL SELECT 'r' || lid, company_id, 'A', num, CAST(d + 3 AS DATE), CAST(reg + 3 AS DATE), 'Rättelse ' || party
-         FROM lin2 WHERE kind = 'invoice' AND rf = 'R' AND pk % 37 = 0),
+         FROM lin2 WHERE kind = 'invoice' AND rf = 'R' AND pk % 37 = 0
+  UNION ALL SELECT 'k' || lid, company_id, 'D', num || '-K', CAST(d + 5 AS DATE), CAST(reg + 5 AS DATE),
+         CASE WHEN sk % 2 = 0 THEN party ELSE party || ' (2)' END FROM lin2 WHERE kind = 'invoice' AND pk % 83 = 0 AND NOT (rf = 'R' AND pk % 37 = 0)),
 r AS (
   SELECT 's' || k AS vid, 0 AS rn, 1510 AS account, gross AS amount, 'normal' AS status FROM sal2
   UNION ALL SELECT 's' || k, 1, 3001, -net, 'normal' FROM sal2
@@ -61,6 +63,9 @@ r AS (
   UNION ALL SELECT 'r' || lid, 0, acc, -net, 'normal' FROM lin2 WHERE kind = 'invoice' AND rf = 'R' AND pk % 37 = 0
   UNION ALL SELECT 'r' || lid, 1, 2641, -vat, 'normal' FROM lin2 WHERE kind = 'invoice' AND rf = 'R' AND pk % 37 = 0
   UNION ALL SELECT 'r' || lid, 2, credit, net + vat, 'normal' FROM lin2 WHERE kind = 'invoice' AND rf = 'R' AND pk % 37 = 0
+  UNION ALL SELECT 'k' || lid, 0, acc, net, 'normal' FROM lin2 WHERE kind = 'invoice' AND pk % 83 = 0 AND NOT (rf = 'R' AND pk % 37 = 0)
+  UNION ALL SELECT 'k' || lid, 1, 2641, vat, 'normal' FROM lin2 WHERE kind = 'invoice' AND pk % 83 = 0 AND NOT (rf = 'R' AND pk % 37 = 0)
+  UNION ALL SELECT 'k' || lid, 2, credit, -(net + vat), 'normal' FROM lin2 WHERE kind = 'invoice' AND pk % 83 = 0 AND NOT (rf = 'R' AND pk % 37 = 0)
   UNION ALL SELECT 'l' || lid, 0, 7210, net, 'normal' FROM lin2 WHERE kind = 'payroll'
   UNION ALL SELECT 'l' || lid, 1, 2710, -tax, 'normal' FROM lin2 WHERE kind = 'payroll'
   UNION ALL SELECT 'l' || lid, 2, 1930, -(net - tax), 'normal' FROM lin2 WHERE kind = 'payroll'

@@ -150,6 +150,14 @@ def purchase_vouchers(spark: SparkSession, sf_dir: str, text: bool = True) -> Da
         "date_add(d, 3)",
         "date_add(reg, 3)",
     )
+    copy = _voucher(
+        "D",
+        "concat(num, '-K')",
+        "date_add(d, 5)",
+        "date_add(reg, 5)",
+        "CASE WHEN sk % 2 = 0 THEN party ELSE concat(party, ' (2)') END",
+        f"array({invoice_rows})",
+    )
     payroll = one(
         "L",
         "'Lön'",
@@ -170,7 +178,7 @@ def purchase_vouchers(spark: SparkSession, sf_dir: str, text: bool = True) -> Da
         f"CASE kind WHEN 'payroll' THEN array({payroll}) WHEN 'reserve' THEN array({reserve}) "
         f"WHEN 'loan' THEN array({loan}) WHEN 'inflow' THEN array({inflow}, {outflow}) "
         f"ELSE CASE WHEN l_returnflag = 'R' AND pk % 37 = 0 THEN array({invoice}, {reversal}) "
-        f"ELSE array({invoice}) END END"
+        f"WHEN pk % 83 = 0 THEN array({invoice}, {copy}) ELSE array({invoice}) END END"
     )
     return base.select("company_id", F.expr(f"inline({vouchers})"))
 
