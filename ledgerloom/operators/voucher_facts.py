@@ -6,12 +6,14 @@ occur, AND-ing them which classes hold for all rows. The 13 voucher patterns are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import ranges as R
 from ledgerloom.functions.ranges import Accounts, accounts
-from ledgerloom.operators.ledger import effective, signature, sum_rows
+from ledgerloom.operators.ledger import effective, signature
 
 # The account classes the patterns are made of.
 CLASSES: dict[str, Accounts] = {
@@ -40,6 +42,10 @@ CLASSES: dict[str, Accounts] = {
     "vat_12": R.OUTPUT_VAT_12,
     "aml_customer": R.REVENUE_OR_CUSTOMER,
     "aml_supplier": R.SUPPLIER_OR_COST,
+    "input_vat": R.INPUT_VAT,
+    "output_vat": R.OUTPUT_VAT,
+    "sales": R.SALES,
+    "bank": R.BANK,
 }
 _BIT = {name: 1 << i for i, name in enumerate(CLASSES)}
 # The patterns that count as routine.
@@ -60,11 +66,17 @@ NOT_DUPLICATE = ("vat_settlement", "payroll", "payroll_tax", "tax_account", "dep
 NOT_AML_FLOW = ("customer_payment", "payroll", "tax_account")
 
 
-def _mask(account: Column) -> Column:
-    total = F.lit(0)
-    for name, accs in CLASSES.items():
-        total = total + F.when(accs.on(account), _BIT[name]).otherwise(0)
-    return total
+def _holds(accs: Accounts, account: int) -> bool:
+    inside = any(lo <= account <= hi for lo, hi in accs.ranges)
+    return inside and not any(lo <= account <= hi for lo, hi in accs.exclude)
+
+
+def class_mask(account: Column, classes: dict[str, Accounts]) -> Column:
+    """Bit mask of the classes an account belongs to: one array lookup instead of many range tests."""
+    bits = {name: 1 << i for i, name in enumerate(classes)}
+    masks = [sum(bit for name, bit in bits.items() if _holds(classes[name], acc)) for acc in range(10_000)]
+    table = F.expr(f"CAST(split('{','.join(map(str, masks))}', ',') AS ARRAY<INT>)")
+    return F.when(account.between(0, 9999), table[account]).otherwise(0)
 
 
 def patterns(any_mask: Column, all_mask: Column, n_accounts: Column) -> dict[str, Column]:
@@ -136,33 +148,80 @@ def full_content_hash(rows: Column | str = "rows") -> Column:
 
 
 def voucher_facts(vouchers: DataFrame, exempt: Accounts | None = None) -> DataFrame:
-    """Derived columns per voucher; still one record per voucher, no shuffle."""
-    exempt = exempt or R.account_spec(["6300-6399", "6570", "7000-7699", "8400-8499"])
-    eff = F.col("eff")
-    cost_row = lambda r: (R.COSTS.on(r["account"]) | r["account"].between(1100, 1499)) & (r["amount"] > 0)
-    best = "CAST(NULL AS struct<account:int,amount:bigint>)"
-    pick = lambda r: F.struct(r["account"].alias("account"), r["amount"].alias("amount"))
-    df = (
-        vouchers.withColumn("eff", effective())
-        .withColumn("any_mask", F.aggregate(eff, F.lit(0), lambda a, r: a.bitwiseOR(_mask(r["account"]))))
-        .withColumn("all_mask", F.when(F.size(eff) > 0, F.aggregate(eff, F.lit(-1), lambda a, r: a.bitwiseAND(_mask(r["account"])))).otherwise(0))
-        .withColumn("accounts", F.array_sort(F.array_distinct(F.transform(eff, lambda r: r["account"]))))
-        .withColumn(
-            "hi", F.aggregate(eff, F.expr(best), lambda a, r: F.when(a.isNull() | (r["amount"] > a["amount"]), pick(r)).otherwise(a))
-        )
-        .withColumn(
-            "lo", F.aggregate(eff, F.expr(best), lambda a, r: F.when(a.isNull() | (r["amount"] < a["amount"]), pick(r)).otherwise(a))
+    """Derived columns per voucher; still one record per voucher, no shuffle.
+
+    All sums, masks and the largest debit and credit row come from a single pass over the rows.
+    """
+    classes = {**CLASSES, "exempt": exempt or R.account_spec(["6300-6399", "6570", "7000-7699", "8400-8499"])}
+    bit = {name: 1 << i for i, name in enumerate(classes)}
+    rows = F.transform(
+        effective(),
+        lambda r: F.struct(
+            r["account"].alias("account"), r["amount"].alias("amount"), class_mask(r["account"], classes).alias("mask")
+        ),
+    )
+    long0 = F.lit(0).cast("bigint")
+    start = F.struct(
+        long0.alias("balance"),
+        long0.alias("debit_total"),
+        long0.alias("input_vat"),
+        long0.alias("cost_base"),
+        F.lit(True).alias("exempt_only"),
+        long0.alias("output_vat"),
+        long0.alias("sales_base"),
+        long0.alias("vat_12"),
+        long0.alias("bank"),
+        F.lit(0).alias("any_mask"),
+        F.lit(-1).alias("all_mask"),
+        F.lit(None).cast("bigint").alias("hi"),
+        F.lit(None).cast("int").alias("hi_account"),
+        F.lit(None).cast("bigint").alias("lo"),
+        F.lit(None).cast("int").alias("lo_account"),
+    )
+
+    def step(acc: Column, r: Column) -> Column:
+        amount, mask = r["amount"], r["mask"]
+        is_a = lambda name: mask.bitwiseAND(bit[name]) != 0
+        add = lambda field, cond, x: (acc[field] + F.when(cond, x).otherwise(0)).alias(field)
+        cost = is_a("cost_or_asset") & (amount > 0)
+        higher = acc["hi"].isNull() | (amount > acc["hi"])
+        lower = acc["lo"].isNull() | (amount < acc["lo"])
+        return F.struct(
+            (acc["balance"] + amount).alias("balance"),
+            add("debit_total", amount > 0, amount),
+            add("input_vat", is_a("input_vat"), amount),
+            add("cost_base", cost, amount),
+            (acc["exempt_only"] & (~cost | is_a("exempt"))).alias("exempt_only"),
+            add("output_vat", is_a("output_vat"), -amount),
+            add("sales_base", is_a("sales"), -amount),
+            add("vat_12", is_a("vat_12"), -amount),
+            add("bank", is_a("bank"), amount),
+            acc["any_mask"].bitwiseOR(mask).alias("any_mask"),
+            acc["all_mask"].bitwiseAND(mask).alias("all_mask"),
+            F.when(higher, amount).otherwise(acc["hi"]).alias("hi"),
+            F.when(higher, r["account"]).otherwise(acc["hi_account"]).alias("hi_account"),
+            F.when(lower, amount).otherwise(acc["lo"]).alias("lo"),
+            F.when(lower, r["account"]).otherwise(acc["lo_account"]).alias("lo_account"),
         )
-        .withColumn("cost_rows", F.filter(eff, cost_row))
-        .withColumn("sig", signature(eff))
+
+    df = (
+        vouchers.withColumn("eff", rows)
+        .withColumn("accounts", F.array_sort(F.array_distinct(F.col("eff.account"))))
+        .withColumn("a", F.aggregate("eff", start, step))
     )
-    tags = patterns(F.col("any_mask"), F.col("all_mask"), F.size("accounts"))
+    any_mask, all_mask = F.col("a.any_mask"), F.when(F.size("eff") > 0, F.col("a.all_mask")).otherwise(0)
+    tags = patterns(any_mask, all_mask, F.size("accounts"))
     tag_array = F.array_compact(F.array(*[F.when(cond, name) for name, cond in tags.items()]))
-    paired = (F.col("hi.amount") > 0) & (F.col("lo.amount") < 0)
-    text_of = lambda s, sign: F.array_join(
-        F.transform(s, lambda x: F.concat_ws(":", x["account"].cast("string"), (x["amount"] * sign).cast("string"))), ";"
+    any_of = lambda names: reduce(lambda x, y: x | y, [tags[n] for n in names])
+    paired = (F.col("a.hi") > 0) & (F.col("a.lo") < 0)
+    # With every account once the rows are the net amounts; otherwise they are netted per account.
+    bare = F.transform("eff", lambda r: F.struct(r["account"].alias("account"), r["amount"].alias("amount")))
+    single = F.filter(F.array_sort(bare), lambda s: s["amount"] != 0)
+    net = F.when(F.size("accounts") == F.size("eff"), single).otherwise(signature(F.col("eff")))
+    spelled = lambda sign: F.md5(
+        F.array_join(F.transform("sig", lambda x: F.concat_ws(":", x["account"].cast("string"), (x["amount"] * sign).cast("string"))), ";")
     )
-    return df.select(
+    return df.withColumn("sig", net).select(
         "company_id",
         "fy_start",
         "series",
@@ -172,29 +231,28 @@ def voucher_facts(vouchers: DataFrame, exempt: Accounts | None = None) -> DataFr
         "reg_date",
         F.trunc("voucher_date", "MM").alias("month"),
         "text",
-        sum_rows(eff).alias("balance"),
-        sum_rows(eff, lambda r: r["amount"] > 0).alias("debit_total"),
+        "a.balance",
+        "a.debit_total",
         F.size("eff").alias("row_count"),
         "accounts",
-        F.when(paired, F.col("hi.account")).alias("debit_account"),
-        F.when(paired, F.col("lo.account")).alias("credit_account"),
+        F.when(paired, F.col("a.hi_account")).alias("debit_account"),
+        F.when(paired, F.col("a.lo_account")).alias("credit_account"),
         tag_array.alias("tags"),
-        F.arrays_overlap(tag_array, F.array(*[F.lit(x) for x in ROUTINE])).alias("routine"),
-        F.arrays_overlap(tag_array, F.array(*[F.lit(x) for x in NOT_DUPLICATE])).alias("not_duplicate"),
-        F.arrays_overlap(tag_array, F.array(*[F.lit(x) for x in NOT_AML_FLOW])).alias("not_aml_flow"),
+        any_of(ROUTINE).alias("routine"),
+        any_of(NOT_DUPLICATE).alias("not_duplicate"),
+        any_of(NOT_AML_FLOW).alias("not_aml_flow"),
         *[
-            (F.col("any_mask").bitwiseAND(_BIT[c]) != 0).alias("has_" + c)
+            (any_mask.bitwiseAND(bit[c]) != 0).alias("has_" + c)
             for c in ("cash", "customers", "suppliers", "vat_12", "aml_customer", "aml_supplier")
         ],
-        sum_rows(eff, lambda r: R.INPUT_VAT.on(r["account"])).alias("input_vat"),
-        sum_rows(F.col("cost_rows")).alias("cost_base"),
-        F.forall("cost_rows", lambda r: exempt.on(r["account"])).alias("exempt_only"),
-        (-sum_rows(eff, lambda r: R.OUTPUT_VAT.on(r["account"]))).alias("output_vat"),
-        (-sum_rows(eff, lambda r: R.SALES.on(r["account"]))).alias("sales_base"),
-        (-sum_rows(eff, lambda r: R.OUTPUT_VAT_12.on(r["account"]))).alias("vat_12"),
-        sum_rows(eff, lambda r: R.BANK.on(r["account"])).alias("bank"),
-        F.sha2(text_of(F.col("sig"), 1), 256).alias("sig_hash"),
-        F.sha2(text_of(F.col("sig"), -1), 256).alias("neg_hash"),
-        content_hash().alias("content_hash"),
-        F.transform("eff", lambda r: F.struct(r["account"].alias("account"), r["amount"].alias("amount"))).alias("eff"),
+        "a.input_vat",
+        "a.cost_base",
+        "a.exempt_only",
+        "a.output_vat",
+        "a.sales_base",
+        "a.vat_12",
+        "a.bank",
+        spelled(1).alias("sig_hash"),
+        spelled(-1).alias("neg_hash"),
+        bare.alias("eff"),
     )

@@ -40,7 +40,7 @@ class Book:
 
     @cached_property
     def vouchers(self) -> DataFrame:
-        return stage(demo.vouchers(self.spark, self.sf_dir), "vouchers")
+        return stage(demo.vouchers(self.spark, self.sf_dir), "vouchers", even=True)
 
     @cached_property
     def movements(self) -> DataFrame:

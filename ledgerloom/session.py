@@ -44,13 +44,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return configured
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, even: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Used where one intermediate table feeds many branches or an iteration: the written table
-    survives lost executors, keeps column pruning and gives the planner real sizes.
+    survives lost executors, keeps column pruning and gives the planner real sizes. ``even`` lets
+    AQE split and merge the output into even files, for tables that skewed joins feed.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    (df.hint("rebalance") if even else df).write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
