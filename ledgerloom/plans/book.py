@@ -14,6 +14,7 @@ from ledgerloom.operators import ledger as L
 from ledgerloom.operators import maturity as U
 from ledgerloom.operators import metrics as M
 from ledgerloom.operators import periods as P
+from ledgerloom.operators import spend as E
 from ledgerloom.operators import statements as S
 from ledgerloom.operators.controls.base import Context
 from ledgerloom.operators.voucher_facts import voucher_facts
@@ -102,6 +103,14 @@ class Book:
     def facts(self) -> DataFrame:
         return stage(voucher_facts(self.vouchers), "facts")
 
+    @cached_property
+    def text_spend(self) -> DataFrame:
+        return stage(E.text_spend(self.vouchers), "text_spend")
+
+    @cached_property
+    def spend(self) -> DataFrame:
+        return stage(E.spend_months(self.text_spend, self.aliases), "spend")
+
     @cached_property
     def maturity(self) -> DataFrame:
         return stage(U.maturity(self.facts, self.movements, self.coverage, self.balances), "maturity")

@@ -48,7 +48,7 @@ v AS (
   UNION ALL SELECT 'o' || lid, company_id, 'A', num, CAST(d + 2 AS DATE), CAST(reg + 2 AS DATE), 'Utbetalning ägare' FROM lin2 WHERE kind = 'inflow'
   UNION ALL SELECT 'r' || lid, company_id, 'A', num, CAST(d + 3 AS DATE), CAST(reg + 3 AS DATE), 'Rättelse ' || party
          FROM lin2 WHERE kind = 'invoice' AND rf = 'R' AND pk % 37 = 0
-  UNION ALL SELECT 'k' || lid, company_id, 'D', num || '-K', CAST(d + 5 AS DATE), CAST(reg + 5 AS DATE),
+  UNION ALL SELECT 'k' || lid, company_id, 'D', num || '-K', CAST(d + CASE WHEN sk % 3 = 0 THEN 0 ELSE 5 END AS DATE), CAST(reg + CASE WHEN sk % 3 = 0 THEN 0 ELSE 5 END AS DATE),
          CASE WHEN sk % 2 = 0 THEN party ELSE party || ' (2)' END FROM lin2 WHERE kind = 'invoice' AND pk % 83 = 0 AND NOT (rf = 'R' AND pk % 37 = 0)),
 r AS (
   SELECT 's' || k AS vid, 0 AS rn, 1510 AS account, gross AS amount, 'normal' AS status FROM sal2

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.plans.book import open_book
 
-MODULES = ("statement_plans", "control_plans")
+MODULES = ("statement_plans", "control_plans", "explain_plans", "spend_plans")
 
 
 def _modules():

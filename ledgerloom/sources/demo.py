@@ -153,8 +153,8 @@ def purchase_vouchers(spark: SparkSession, sf_dir: str, text: bool = True) -> Da
     copy = _voucher(
         "D",
         "concat(num, '-K')",
-        "date_add(d, 5)",
-        "date_add(reg, 5)",
+        "date_add(d, CASE WHEN sk % 3 = 0 THEN 0 ELSE 5 END)",
+        "date_add(reg, CASE WHEN sk % 3 = 0 THEN 0 ELSE 5 END)",
         "CASE WHEN sk % 2 = 0 THEN party ELSE concat(party, ' (2)') END",
         f"array({invoice_rows})",
     )
