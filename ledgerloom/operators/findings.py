@@ -183,7 +183,7 @@ def suggest(signed: DataFrame, resolutions: DataFrame, today: str) -> DataFrame:
     day = F.lit(today).cast("date")
     valid = resolutions.where(F.col("valid_until").isNull() | (F.col("valid_until") >= day))
     best = lambda key, name: valid.groupBy("company_id", "rule_code", key).agg(
-        F.max_by(F.struct("decision", "rationale", "decided_by", "decided_at"), F.struct("decided_at", "rationale")).alias(name)
+        F.max_by(F.struct("decision", "rationale", "decided_by", "decided_at"), F.struct("decided_at", "rationale", "decision")).alias(name)
     )
     j = (
         signed.where(F.col("status").isin(*OPEN))

@@ -9,18 +9,31 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.operators import findings as FI
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import maturity as U
 from ledgerloom.operators import metrics as M
 from ledgerloom.operators import periods as P
 from ledgerloom.operators import spend as E
 from ledgerloom.operators import statements as S
-from ledgerloom.operators.controls.base import Context
+from ledgerloom.operators import versions as V
+from ledgerloom.operators.controls.base import Context, run
 from ledgerloom.operators.voucher_facts import voucher_facts
 from ledgerloom.session import JOB_CONF, stage
 from ledgerloom.sources import demo
 
+CORE_CONTROLS = (
+    "UNBALANCED_VOUCHER",
+    "INPUT_VAT_RATIO",
+    "VAT_ACCOUNTS_NOT_CLEARED",
+    "OUTPUT_VAT_RATIO",
+    "SUSPENSE_ACCOUNT_BALANCE",
+    "LARGE_MANUAL_POSTING",
+    "RAPID_REVERSAL",
+    "AML_LARGE_CASH",
+)
 _BOOKS: dict[tuple[str, str], Book] = {}
 
 
@@ -130,6 +143,29 @@ class Book:
             fiscal_years=self.fiscal_years,
         )
 
+    @cached_property
+    def versions(self) -> list[DataFrame]:
+        """Version table after each of the three imports, and the actions of each."""
+        empty = self.spark.createDataFrame([], "company_id string, fy_start date, series string, number string, voucher_date date, content_hash string, valid_from int, valid_to int")
+        tables, self.actions = [empty], []
+        for seq, (incoming, scope) in enumerate(zip(demo.imports(self.vouchers), demo.import_scopes(self.fiscal_years), strict=True), 1):
+            acts = stage(V.classify(tables[-1], incoming, scope), "import_actions")
+            self.actions.append(acts)
+            tables.append(stage(V.merge(tables[-1], acts, scope, seq), "voucher_versions"))
+        return tables
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Findings of a core set of controls, the input of the lifecycle plans."""
+        return stage(run(self.context, list(CORE_CONTROLS)), "candidates")
+
+    @cached_property
+    def records(self) -> DataFrame:
+        reviewed = self.coverage.where("covered AND month >= DATE'2024-01-01'").select("company_id", F.date_format("month", "yyyy-MM").alias("review"))
+        return stage(
+            FI.reconcile(demo.records(self.candidates), demo.rerun(self.candidates), reviewed, demo.suppressions(self.spark)), "records"
+        )
+
     # ------------------------------------------------------------------------------- periods
     def periods(self, *kinds: str) -> DataFrame:
         return P.standard_periods(self.coverage, kinds)

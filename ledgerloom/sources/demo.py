@@ -342,3 +342,75 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("brand "), number).alias("key"),
         F.concat(F.lit("Märke "), number).alias("canonical_name"),
     )
+
+
+# ------------------------------------------------------------------------- imports and reviews
+IMPORT_RANGE = ("2025-03-10", "2025-06-20")
+
+
+def imports(vouchers: DataFrame) -> list[DataFrame]:
+    """Three imports of the sales vouchers: a first one, a corrected one, and a partial one."""
+    from ledgerloom.operators.voucher_facts import content_hash
+
+    sales = vouchers.where("series = 'B'").withColumn("k", F.col("number").cast("bigint"))
+    text = F.col("text")
+
+    def version(df: DataFrame, new_text) -> DataFrame:
+        return df.withColumn("text", new_text).withColumn("content_hash", content_hash()).select(
+            "company_id", "fy_start", "series", "number", "voucher_date", "content_hash"
+        )
+
+    first = version(sales.where("k % 20 <> 0"), F.when(F.col("k") % 15 == 1, F.concat(text, F.lit(" (prel)"))).otherwise(text))
+    second = version(sales.where("k % 17 <> 3"), text)
+    lo, hi = IMPORT_RANGE
+    third = version(
+        sales.where(F.col("voucher_date").between(lo, hi)).where("k % 19 <> 4"),
+        F.when(F.col("k") % 23 == 5, F.concat(text, F.lit(" (rättad)"))).otherwise(text),
+    )
+    return [first, second, third]
+
+
+def import_scopes(fiscal_years: DataFrame) -> list[DataFrame]:
+    whole = fiscal_years.select("company_id", "fy_start", F.col("fy_start").alias("lo"), F.col("fy_end").alias("hi"))
+    lo, hi = IMPORT_RANGE
+    part = fiscal_years.where("year(fy_start) = 2025").select(
+        "company_id", "fy_start", F.lit(lo).cast("date").alias("lo"), F.lit(hi).cast("date").alias("hi")
+    )
+    return [whole, whole, part]
+
+
+def records(candidates: DataFrame) -> DataFrame:
+    """Finding records of earlier runs: most candidates, with a status from their fingerprint."""
+    digit = F.substring("fingerprint", 2, 1)
+    status = (
+        F.when(digit.isin(*"012345"), "NEW")
+        .when(digit.isin(*"67"), "IN_PROGRESS")
+        .when(digit.isin(*"89"), "ASK_CLIENT")
+        .when(digit == "a", "AUTO_CLOSED")
+        .when(digit.isin(*"bc"), "RESOLVED")
+        .otherwise("ACCEPTED_OK")
+    )
+    latest = F.max_by(F.struct("severity", "period", "vouchers", "accounts", "amount"), "review")
+    return (
+        candidates.where(~F.substring("fingerprint", 1, 1).isin(*"01"))
+        .groupBy("company_id", "fingerprint", "rule_code", "visibility")
+        .agg(F.array_sort(F.collect_set("review")).alias("seen_in_reviews"), latest.alias("c"))
+        .select("company_id", "fingerprint", "rule_code", "visibility", "c.*", "seen_in_reviews", status.alias("status"))
+    )
+
+
+def rerun(candidates: DataFrame) -> DataFrame:
+    """What a later run of the reviews from 2024 on produces: some findings are gone."""
+    return candidates.where("review >= '2024-01'").where(~F.substring("fingerprint", 1, 1).isin(*"ef"))
+
+
+def suppressions(spark: SparkSession) -> DataFrame:
+    return spark.sql(
+        "SELECT * FROM VALUES "
+        "('s1', 'INPUT_VAT_RATIO', 'försäkring', DATE'2031-01-01', NULL, array(6310), NULL, NULL), "
+        "('s2', 'OUTPUT_VAT_RATIO', 'småbelopp', NULL, NULL, NULL, NULL, 3000000L), "
+        "('s3', 'AML_LARGE_CASH', 'får ej', NULL, NULL, NULL, NULL, NULL), "
+        "('s4', 'INPUT_VAT_RATIO', 'gammal', DATE'2020-01-01', NULL, NULL, NULL, NULL), "
+        "('s5', 'UNBALANCED_VOUCHER', 'öresavrundning', NULL, '3', NULL, 'b', NULL) "
+        "AS s(id, rule_code, reason, expires_at, company_id, accounts, text_contains, max_amount)"
+    )
