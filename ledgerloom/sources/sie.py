@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import parse_amount, parse_day
+from ledgerloom.functions.scalars import let, parse_amount, parse_day
 from ledgerloom.sources.files import to_lines
 
 TOKEN = r'\{(?:"(?:\\"|[^"])*"|[^}"])*\}|"(?:\\"|[^"])*"|[^\s{}"]+'
@@ -37,8 +37,8 @@ def _unquote(token: Column) -> Column:
 
 def _field(i: Column | int) -> Column:
     """Plain field of a record; NULL when missing or an object list."""
-    t = F.get("tokens", F.lit(i) if isinstance(i, int) else i)
-    return F.when(~t.startswith("{"), _unquote(t))
+    token = F.get("tokens", F.lit(i) if isinstance(i, int) else i)
+    return let(token, lambda t: F.when(~t.startswith("{"), _unquote(t)))
 
 
 def records(files: DataFrame) -> DataFrame:
@@ -58,11 +58,15 @@ def records(files: DataFrame) -> DataFrame:
 def _objects(token: Column) -> Column:
     """``{1 "10" 6 "P1"}`` as (dim, obj) pairs."""
     items = F.transform(F.regexp_extract_all(F.substring(token, 2, 1_000_000), F.lit(ITEM), F.lit(0)), _unquote)
-    n = F.floor(F.size(items) / 2).cast("int")
-    return F.when(
-        n > 0,
-        F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(items, i * 2).alias("dim"), F.get(items, i * 2 + 1).alias("obj"))),
-    ).otherwise(F.expr("CAST(array() AS array<struct<dim:string,obj:string>>)"))
+    none = F.expr("CAST(array() AS array<struct<dim:string,obj:string>>)")
+
+    def pairs(x: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor(F.size(x) / 2).cast("int") - 1)
+        return F.when(
+            F.size(x) >= 2, F.transform(at, lambda i: F.struct(F.get(x, i * 2).alias("dim"), F.get(x, i * 2 + 1).alias("obj")))
+        ).otherwise(none)
+
+    return F.coalesce(let(items, pairs), none)
 
 
 def _rows(rec: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Incremental landing: new voucher files are merged as they arrive, once each.
 
-A file source feeds ``foreachBatch``; a batch is versioned against the table, only its changed
-months are recomputed, and a batch that is delivered again changes nothing, because equal content
-hashes are unchanged vouchers.
+A file source feeds ``foreachBatch``. A batch is classified against the versions of its own fiscal
+years, and only the year partitions and months it really changes are written again. What a batch
+does is recorded first, so a batch that is repeated after a failure repeats the same actions and
+ends in the same tables; vouchers delivered again are unchanged by their content hash.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import versions as V
 from ledgerloom.operators.voucher_facts import content_hash
+from ledgerloom.session import stage
 
 VOUCHER_SCHEMA = (
     "company_id string, fy_start date, series string, number string, voucher_date date, reg_date date, text string, "
@@ -22,70 +25,81 @@ VOUCHER_SCHEMA = (
 VERSION_SCHEMA = (
     "company_id string, fy_start date, series string, number string, voucher_date date, content_hash string, valid_from int, valid_to int"
 )
+MOVEMENT_SCHEMA = "company_id string, month date, account int, amount bigint"
 
 
 class Landing:
-    """Tables under ``root``: versions/, vouchers/ and movements/, each generation in its own folder.
-
-    The current generation is the newest one with a completion mark, so a batch that fails halfway
-    leaves the previous tables in force and is simply repeated.
-    """
+    """``root``/versions and /vouchers (partitioned by fiscal year), /movements (by month), /actions."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, table: str, seq: int) -> str:
-        return f"{self.root}/{table}/seq={seq}"
-
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def current(self) -> int:
-        seq = 0
-        while self._exists(self._path("movements", seq + 1) + "/_SUCCESS"):
-            seq += 1
-        return seq
-
-    def _read(self, table: str, seq: int, schema: str) -> DataFrame:
-        if seq == 0:
+    def _table(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException:  # nothing written yet
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path(table, seq))
 
     def versions(self) -> DataFrame:
-        return self._read("versions", self.current(), VERSION_SCHEMA)
+        return self._table("versions", VERSION_SCHEMA)
 
     def vouchers(self) -> DataFrame:
-        return self._read("vouchers", self.current(), VOUCHER_SCHEMA)
+        return self._table("vouchers", VOUCHER_SCHEMA)
 
     def movements(self) -> DataFrame:
-        return self._read("movements", self.current(), "company_id string, month date, account int, amount bigint")
+        return self._table("movements", MOVEMENT_SCHEMA)
+
+    def _replace(self, df: DataFrame, name: str, partition: str) -> None:
+        """Replace exactly the partitions ``df`` holds. Staged first: it reads the same table."""
+        staged = stage(df, f"landing_{name}")
+        (
+            staged.write.partitionBy(partition)
+            .option("partitionOverwriteMode", "dynamic")
+            .mode("overwrite")
+            .parquet(f"{self.root}/{name}")
+        )
 
-    def merge(self, batch: DataFrame, _batch_id: int) -> None:
-        """Adds and changes the vouchers of a batch (deliveries only add; nothing is removed)."""
-        if batch.isEmpty():
-            return
-        now = self.current()
-        seq = now + 1
-        versions, vouchers, movements = self.versions(), self.vouchers(), self.movements()
-        incoming = batch.withColumn("content_hash", content_hash())
-        # An empty date range: vouchers the batch does not contain are kept.
-        scope = incoming.select("company_id", "fy_start").distinct().select(
+    def _actions(self, batch: DataFrame, batch_id: int, years: list) -> DataFrame:
+        path = f"{self.root}/actions/batch={batch_id}"
+        try:
+            return self.spark.read.parquet(path)
+        except AnalysisException:
+            pass
+        current = self.versions().where(F.col("fy_start").isin(years))
+        # An empty date range: vouchers a delivery does not contain are kept.
+        scope = batch.select("company_id", "fy_start").distinct().select(
             "company_id", "fy_start", F.lit("9999-01-01").cast("date").alias("lo"), F.lit("0001-01-01").cast("date").alias("hi")
         )
-        actions = V.classify(versions, incoming, scope)
-        actions.write.mode("overwrite").parquet(self._path("actions", seq))
-        actions = self.spark.read.parquet(self._path("actions", seq))
-        V.merge(versions, actions, scope, seq).write.mode("overwrite").parquet(self._path("versions", seq))
+        V.classify(current, batch, scope).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def merge(self, batch: DataFrame, batch_id: int) -> None:
+        """Adds and changes the vouchers of a batch; deliveries never remove."""
+        batch = stage(batch.withColumn("content_hash", content_hash()), "landing_batch")
+        years = [r.fy_start for r in batch.select("fy_start").distinct().collect()]  # a few fiscal years
+        if not years:
+            return
+        actions = self._actions(batch, batch_id, years)
+        in_years = F.col("fy_start").isin(years)
+        scope = batch.select("company_id", "fy_start").distinct()
+        merged = V.merge(self.versions().where(in_years), actions, scope, batch_id + 1).distinct()
+        self._replace(merged, "versions", "fy_start")
+
         fresh = actions.where("action IN ('added', 'changed')").select(*V.KEY, F.col("new_hash").alias("content_hash"))
-        one_each = incoming.join(fresh, [*V.KEY, "content_hash"], "left_semi").dropDuplicates(V.KEY).drop("content_hash")
-        vouchers.join(fresh.select(*V.KEY), V.KEY, "left_anti").unionByName(one_each).write.mode("overwrite").parquet(self._path("vouchers", seq))
-        merged = self.spark.read.schema(VOUCHER_SCHEMA).parquet(self._path("vouchers", seq))
-        touched = V.affected_months(actions)
-        redo = merged.withColumn("month", F.trunc("voucher_date", "MM")).join(touched, ["company_id", "month"], "left_semi").drop("month")
-        kept = movements.join(touched, ["company_id", "month"], "left_anti")
-        kept.unionByName(L.monthly_movements(redo)).write.mode("overwrite").parquet(self._path("movements", seq))
+        rows = batch.join(fresh, [*V.KEY, "content_hash"], "left_semi").dropDuplicates(V.KEY).drop("content_hash")
+        kept = self.vouchers().where(in_years).join(fresh.select(*V.KEY), V.KEY, "left_anti")
+        self._replace(kept.unionByName(rows), "vouchers", "fy_start")
+
+        months = V.affected_months(actions)
+        touched = self.vouchers().where(in_years).withColumn("month", F.trunc("voucher_date", "MM"))
+        redo = touched.join(months.select("month").distinct(), "month", "left_semi").drop("month")
+        if not months.isEmpty():
+            # A month partition holds all companies; those of other years' batches are kept.
+            wanted = months.select("month").distinct()
+            others = self.movements().join(wanted, "month", "left_semi").join(
+                redo.select("company_id", F.trunc("voucher_date", "MM").alias("month")).distinct(), ["company_id", "month"], "left_anti"
+            )
+            self._replace(others.unionByName(L.monthly_movements(redo)), "movements", "month")
 
 
 def stream(spark: SparkSession, source: str, root: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
