@@ -21,7 +21,7 @@ def _mask_kind(df: DataFrame, text: str, kind: str, pattern: str, checked: bool)
     p = F.lit(pattern)
     found = F.regexp_extract_all(F.col(text), p, F.lit(0))
     if checked:
-        keep = F.filter("_all", lambda m: F.luhn_check(F.substring(F.regexp_replace(m, r"\D", ""), -10, 10)))
+        keep = F.filter("_all", lambda m: F.call_function("luhn_check", F.substring(F.regexp_replace(m, r"\D", ""), -10, 10)))
     else:
         keep = F.col("_all")
     pieces = F.split(F.col(text), pattern, -1)

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzåäö0123456789 "
 
@@ -31,7 +32,7 @@ def ratio_bound(hist_a: Column, hist_b: Column, len_a: Column, len_b: Column) ->
     return 2.0 * shared / F.greatest(len_a + len_b, F.lit(1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio; the earlier voucher's text goes first."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
