@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import ranges as R
+from ledgerloom.functions.scalars import let
 from ledgerloom.functions.similarity import histogram, normalize_text, ratio_bound, text_ratio
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import periods as P
@@ -238,9 +239,32 @@ def unusual_pair(ctx: Context) -> DataFrame:
     )
 
 
-def _middle2(name: str) -> str:
+def _middle2(values):
     """Twice the median of a sorted integer array."""
-    return f"{name}[CAST((size({name}) - 1) div 2 AS INT)] + {name}[CAST(size({name}) div 2 AS INT)]"
+    n = F.size(values)
+    return F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))
+
+
+def _judge_cost(series, x, n_seen, n_hist, least):
+    """Kind of deviation (or NULL), doubled median and doubled distance of a month's cost.
+
+    Every intermediate value is bound once; the result is one struct per account and month.
+    """
+
+    def verdict(med2, mad4, dx2):
+        far = F.when(mad4 > 0, dx2 * 20000 >= mad4 * 51891).otherwise((dx2 * 100 >= F.abs(med2) * 35) & (dx2 >= 700))
+        kind = (
+            F.when(n_seen == 0, F.when(x >= least, "new"))
+            .when((x == 0) & (n_seen >= n_hist - 1) & (med2 >= 2 * least), "missing")
+            .when((dx2 >= 2 * least) & far & ((med2 == 0) | (dx2 * 10 >= F.abs(med2) * 3)), "deviation")
+        )
+        return F.struct(kind.alias("kind"), med2.alias("med2"), dx2.alias("dx2"))
+
+    def with_median(s, med2):
+        spread = F.array_sort(F.transform(s, lambda v: F.abs(2 * v - med2)))
+        return let(spread, lambda dev: let(_middle2(dev), lambda mad4: let(F.abs(2 * x - med2), lambda dx2: verdict(med2, mad4, dx2))))
+
+    return let(series, lambda s: let(_middle2(s), lambda med2: with_median(s, med2)))
 
 
 @control("COST_DEVIATION")
@@ -257,7 +281,7 @@ def cost_deviation(ctx: Context) -> DataFrame:
     now = cost.select("company_id", F.col("month").alias("anchor"), "account", F.col("amount").alias("x"))
     skip = R.accounts((7290, 7299), (7700, 7899), (7510, 7599)).on(F.col("account"))
     low = ctx.maturity.select("company_id", F.col("month").alias("anchor"), "low_periodization")
-    dx2 = F.abs(2 * F.col("x") - F.col("med2"))
+    padded = F.array_sort(F.concat("seen", F.array_repeat(F.lit(0).cast("bigint"), (F.col("n_hist") - F.size("seen")).cast("int"))))
     j = (
         past.join(now, ["company_id", "anchor", "account"], "full_outer")
         .join(n_hist, ["company_id", "anchor"])
@@ -267,26 +291,11 @@ def cost_deviation(ctx: Context) -> DataFrame:
         .withColumn("least", F.greatest(F.lit(p("min_amount")), F.col("materiality")))
         .withColumn("x", F.coalesce("x", F.lit(0)))
         .withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>")))
-        .withColumn(
-            "s",
-            F.array_sort(F.concat("seen", F.array_repeat(F.lit(0).cast("bigint"), (F.col("n_hist") - F.size("seen")).cast("int")))),
-        )
-        .withColumn("med2", F.expr(_middle2("s")))
-        .withColumn("dev", F.array_sort(F.transform("s", lambda v: F.abs(2 * v - F.col("med2")))))
-        .withColumn("mad4", F.expr(_middle2("dev")))
-        .withColumn("dx2", dx2)
-    )
-    far = F.when(F.col("mad4") > 0, F.col("dx2") * 20000 >= F.col("mad4") * 51891).otherwise(
-        (F.col("dx2") * 100 >= F.abs("med2") * 35) & (F.col("dx2") >= 700)
-    )
-    kind = (
-        F.when(F.size("seen") == 0, F.when(F.col("x") >= F.col("least"), "new"))
-        .when((F.col("x") == 0) & (F.size("seen") >= F.col("n_hist") - 1) & (F.col("med2") >= 2 * F.col("least")), "missing")
-        .when(
-            (F.col("dx2") >= 2 * F.col("least")) & far & ((F.col("med2") == 0) | (F.col("dx2") * 10 >= F.abs("med2") * 3)),
-            "deviation",
-        )
     )
+    judged = _judge_cost(padded, F.col("x"), F.size("seen"), F.col("n_hist"), F.col("least"))
+    hits = j.select(
+        "company_id", "anchor", "account", "materiality", "x", F.explode(F.filter(F.array(judged), lambda c: c["kind"].isNotNull())).alias("c")
+    ).select("company_id", "anchor", "account", "materiality", "x", "c.*")
     half = "CAST(sign({0}) AS BIGINT) * (abs({0}) div 2)"
     amount = (
         F.when(F.col("kind") == "new", F.col("x"))
@@ -294,7 +303,7 @@ def cost_deviation(ctx: Context) -> DataFrame:
         .otherwise(F.expr(half.format("(2 * x - med2)")))
     )
     return finding(
-        j.withColumn("kind", kind).where("kind IS NOT NULL"),
+        hits,
         "COST_DEVIATION",
         review=F.col("anchor"),
         key=[F.col("account"), F.date_format("anchor", "yyyy-MM"), F.col("kind")],

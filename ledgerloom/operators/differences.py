@@ -233,12 +233,9 @@ def structural_candidates(components: DataFrame, component_accounts: DataFrame)
 
 def recommend(items: DataFrame, limit: int = 6) -> DataFrame:
     """Marks the ``limit`` strongest items, one per family, and says which leader covers the others."""
-    family = F.col("id")
-    for ident, fam in FAMILIES.items():
-        family = F.when(F.col("id") == ident, fam).otherwise(family)
-    order = F.lit(9)
-    for kind, i in KIND_ORDER.items():
-        order = F.when(F.col("kind") == kind, i).otherwise(order)
+    known = F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair])
+    family = F.coalesce(F.try_element_at(known, F.col("id")), F.col("id"))
+    order = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in KIND_ORDER.items() for x in pair]), F.col("kind")), F.lit(9))
     scored = items.withColumn("family", family).withColumn("kind_order", order).withColumn("live", F.col("change").isNotNull() & (F.col("score") > 0))
     inside = Window.partitionBy(*KEYS, "family", "live").orderBy(F.desc("score"), "kind_order", "id")
     ranked = scored.withColumn("in_family", F.row_number().over(inside)).withColumn("leader", F.first("id").over(inside))
