@@ -25,6 +25,7 @@ from ledgerloom.plans.control_plans import SQL as CONTROL_SQL
 from ledgerloom.plans.explain_plans import _EXPL, _PW
 from ledgerloom.plans.spend_plans import SP
 from ledgerloom.plans.statement_plans import _CATS, FIG
+from ledgerloom.session import stage
 from ledgerloom.sources import demo
 
 TODAY = "2028-12-20"
@@ -150,10 +151,11 @@ def decisions(book: Book) -> DataFrame:
 # ------------------------------------------------------------------------------- differences
 def _difference_inputs(book: Book):
     pairs = book.year_pairs("quarter")
-    income = book.income_both(pairs)
-    compared = S.compared_income(pairs, income)
-    fig_base = book.figure_base(income)
-    paired = B.paired_base(pairs, fig_base)
+    # Each of these feeds several item kinds: written once, read by all.
+    income = stage(book.income_both(pairs), "difference_income")
+    compared = stage(S.compared_income(pairs, income), "difference_lines")
+    fig_base = stage(book.figure_base(income), "difference_figures")
+    paired = stage(B.paired_base(pairs, fig_base), "difference_pairs")
     comparable = P.validate_pairs(pairs, book.coverage).where("pair_status = 'CALCULATED'").select(*D.KEYS)
     return pairs, compared, fig_base, paired, comparable
 
