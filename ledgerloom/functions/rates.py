@@ -52,7 +52,10 @@ def rate_per_10000(code: str, day: Column, rates: tuple = RATES) -> Column:
 
 
 def as_of(df: DataFrame, rates: DataFrame, code: str, day: str) -> DataFrame:
-    """Adds ``value`` of the rate valid on ``day`` from a rates table (dated join)."""
+    """Adds ``value`` of the rate valid on ``day`` from a rates table (dated join).
+
+    One code's rates are a handful of dated rows; Spark picks the broadcast from their size.
+    """
     r = rates.where(F.col("code") == code).select("value", "valid_from", "valid_to")
     cond = (F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) <= F.col("valid_to")))
-    return df.join(F.broadcast(r), cond, "left").drop("valid_from", "valid_to")
+    return df.join(r, cond, "left").drop("valid_from", "valid_to")

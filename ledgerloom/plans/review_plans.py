@@ -161,6 +161,13 @@ def _difference_inputs(book: Book):
 
 
 def _items(book: Book) -> DataFrame:
+    """The ranked items, written once per run: the list and the recommendations both read it."""
+    if "items" not in book.__dict__:
+        book.__dict__["items"] = stage(_collect_items(book), "difference_items")
+    return book.__dict__["items"]
+
+
+def _collect_items(book: Book) -> DataFrame:
     pairs, compared, fig_base, paired, comparable = _difference_inputs(book)
     base_ = D.bases(paired, compared)
     changes = M.figure_changes(pairs, M.key_figures(fig_base))

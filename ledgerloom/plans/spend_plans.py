@@ -248,3 +248,13 @@ SQL = {
  WHERE cost >= 10000 GROUP BY company_id, vdate, sig, accs, cost HAVING count(*) >= 2"""
     ),
 }
+
+SQL["drilldown_counterparties"] = O.query(
+    """SELECT company_id, period, compare, cp_key, current, previous, current - previous AS diff, CAST(previous = 0 AND current <> 0 AS INTEGER) AS is_new, CAST(rank AS INTEGER) AS rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY company_id, period, compare ORDER BY abs(current - previous) DESC, cp_key) AS rank FROM (
+  SELECT x.company_id, x.period, x.compare, c.cp_key, CAST(sum(CASE WHEN c.period = x.period THEN c.amount ELSE 0 END) AS BIGINT) AS current,
+   CAST(sum(CASE WHEN c.period = x.compare THEN c.amount ELSE 0 END) AS BIGINT) AS previous FROM pair x JOIN cpp c ON c.company_id = x.company_id AND c.period IN (x.period, x.compare) GROUP BY ALL)) WHERE rank <= 8""",
+    _Q,
+    SP,
+    "cpp AS (SELECT pm.company_id, pm.period, m.cp_key, sum(m.amount) AS amount FROM pm JOIN sm m ON m.company_id = pm.company_id AND m.month = pm.month GROUP BY ALL)",
+)
