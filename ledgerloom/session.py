@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,13 +36,25 @@ def local_session(app: str = "ledgerloom", cores: str = "*", partitions: int = 8
     return spark
 
 
+#: Scratch folders of local sessions that name none, by application.
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only where none is named (tests) a temporary one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    """The cluster's shared checkpoint folder.
+
+    A local session (tests, the benchmark) may leave it unset and gets a temporary folder; on a
+    cluster a missing setting is an error, since executors do not share the driver's disk.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", "")
+    if configured:
+        return configured
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="ledgerloom-")
+    return _LOCAL_SCRATCH[context.applicationId]
 
 
 def stage(df: DataFrame, name: str, even: bool = False) -> DataFrame:
