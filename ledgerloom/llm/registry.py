@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe
+from ledgerloom.llm import bpe, exact_dedup
 
 QUERIES = {
     "op4_bpe": bpe.query,
+    "op6_exact_dedup": exact_dedup.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_exact_dedup": exact_dedup.SQL,
+}
