@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, exact_dedup
+from ledgerloom.llm import bpe, exact_dedup, simhash
 
 QUERIES = {
     "op4_bpe": bpe.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op10_simhash": simhash.query,
 }
 
 SQL: dict[str, str] = {
