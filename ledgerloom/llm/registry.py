@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, exact_dedup, simhash
+from ledgerloom.llm import bpe, exact_dedup, language_id, simhash
 
 QUERIES = {
+    "op3_language_id": language_id.query,
     "op4_bpe": bpe.query,
     "op6_exact_dedup": exact_dedup.query,
     "op10_simhash": simhash.query,
