@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, exact_dedup, language_id, simhash
+from ledgerloom.llm import bpe, exact_dedup, language_id, mixing, simhash
 
 QUERIES = {
     "op3_language_id": language_id.query,
     "op4_bpe": bpe.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_pfair_mix": mixing.query,
     "op10_simhash": simhash.query,
 }
 
