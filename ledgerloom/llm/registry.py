@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, exact_dedup, language_id, mixing, simhash
+from ledgerloom.llm import bpe, exact_dedup, language_id, mixing, sharding, simhash
 
 QUERIES = {
+    "op1_shard_tree": sharding.query,
     "op3_language_id": language_id.query,
     "op4_bpe": bpe.query,
     "op6_exact_dedup": exact_dedup.query,
