@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, exact_dedup, language_id, mixing, sharding, simhash
+from ledgerloom.llm import bpe, exact_dedup, language_id, mixing, sharding, simhash, topk
 
 QUERIES = {
     "op1_shard_tree": sharding.query,
     "op3_language_id": language_id.query,
     "op4_bpe": bpe.query,
+    "op5_topk": topk.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_pfair_mix": mixing.query,
     "op10_simhash": simhash.query,
 }
 
 SQL: dict[str, str] = {
+    "op5_topk": topk.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
