@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, exact_dedup, language_id, mixing, sharding, simhash, topk
+from ledgerloom.llm import bpe, exact_dedup, language_id, mixing, sharding, simhash, topk, url_filter
 
 QUERIES = {
     "op1_shard_tree": sharding.query,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_topk": topk.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_pfair_mix": mixing.query,
+    "op8_url_filter": url_filter.query,
     "op10_simhash": simhash.query,
 }
 
 SQL: dict[str, str] = {
     "op5_topk": topk.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op8_url_filter": url_filter.sql(),
 }
