@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, exact_dedup, language_id, mixing, sharding, simhash, topk, url_filter
+from ledgerloom.llm import bpe, exact_dedup, language_id, license_scan, mixing, sharding, simhash, topk, url_filter
 
 QUERIES = {
     "op1_shard_tree": sharding.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op7_pfair_mix": mixing.query,
     "op8_url_filter": url_filter.query,
+    "op9_license_scan": license_scan.query,
     "op10_simhash": simhash.query,
 }
 
