@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.common import row_hash, table
 
@@ -261,25 +262,26 @@ def _pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / positions[:, None]
 
 
-def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` with lang_pred and score for every row of ``docs``."""
+def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",), pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs``, and language and score of every row under the names ``pred`` and ``score``."""
 
     def of(texts: list[str | None]) -> tuple[list[str], list[float]]:
         lettered = [k for k, t in enumerate(texts) if net and t and any(map(str.isalpha, t))]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if lettered:
             probs = _pooled(net, [texts[k].encode() for k in lettered])
-            for k, best, score in zip(lettered, probs.argmax(axis=1).tolist(), probs.max(axis=1).tolist(), strict=True):
-                langs[k], scores[k] = net.languages[best], min(1.0, score)
+            for k, best, top in zip(lettered, probs.argmax(axis=1).tolist(), probs.max(axis=1).tolist(), strict=True):
+                langs[k], scores[k] = net.languages[best], min(1.0, top)
         return langs, scores
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = of(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            langs, scores = of(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, pred, score])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    given = docs.select(F.col("text").alias(f"{pred}_text"), *[F.col(f"`{c}`") for c in keep])
+    return given.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, exact_dedup, language_id, license_scan, mixing, sharding, simhash, topk, url_filter
+from ledgerloom.llm import bpe, chat, exact_dedup, language_id, license_scan, mixing, sharding, simhash, topk, url_filter
 
 QUERIES = {
     "op1_shard_tree": sharding.query,
+    "op2_chat_windows": chat.query,
     "op3_language_id": language_id.query,
     "op4_bpe": bpe.query,
     "op5_topk": topk.query,
