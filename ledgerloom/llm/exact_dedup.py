@@ -87,9 +87,13 @@ def directory(sizes: dict[int, tuple[int, int]], texts: int = BUCKET_TEXTS, size
     return depth, entries
 
 
-def _folded(docs: DataFrame) -> DataFrame:
-    """(key, norm, n) with the copies inside each stretch of a map task folded; keeps no more than FOLD_BYTES."""
-    schema = pa.schema([("key", pa.int64()), ("norm", pa.binary()), ("n", pa.int64())])
+def _folded(docs: DataFrame, depth: int, entries: list[int]) -> DataFrame:
+    """(bucket, key, norm, n) with the copies inside each stretch of a map task folded; keeps no more than FOLD_BYTES."""
+    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("norm", pa.binary()), ("n", pa.int64())])
+
+    def entry(norm: bytes, n: int) -> tuple:
+        key = xxhash.xxh64_intdigest(norm, 42)
+        return entries[key >> (64 - depth)], _signed(key), norm, n
 
     def rows(batches) -> Iterator[tuple]:
         seen: dict[bytes, int] = {}
@@ -100,11 +104,11 @@ def _folded(docs: DataFrame) -> DataFrame:
                 held += 0 if norm in seen else len(norm)
                 seen[norm] = seen.get(norm, 0) + 1
                 if held > FOLD_BYTES:
-                    yield from ((_signed(xxhash.xxh64_intdigest(x, 42)), x, n) for x, n in seen.items())
+                    yield from (entry(x, n) for x, n in seen.items())
                     seen, held = {}, 0
-        yield from ((_signed(xxhash.xxh64_intdigest(x, 42)), x, n) for x, n in seen.items())
+        yield from (entry(x, n) for x, n in seen.items())
 
-    return docs.select("text").mapInArrow(lambda batches: batches_of(rows(batches), schema), "key long, norm binary, n long")
+    return docs.select("text").mapInArrow(lambda batches: batches_of(rows(batches), schema), "bucket int, key long, norm binary, n long")
 
 
 def _owned(texts: DataFrame) -> DataFrame:
@@ -135,10 +139,8 @@ def build(docs: DataFrame, texts: int = BUCKET_TEXTS, size: int = BUCKET_BYTES,
     prefix = F.shiftrightunsigned("key", 64 - max_depth).cast("int")
     counted = rows.groupBy("key", "sha").agg(F.max("bytes").alias("b")).groupBy(prefix.alias("p")).agg(F.count("*").alias("n"), F.sum("b").alias("b"))
     depth, entries = directory({r["p"]: (r["n"], r["b"]) for r in counted.collect()}, texts, size, max_depth)
-    place = F.shiftrightunsigned("key", 64 - depth).cast("int") if depth else F.lit(0)
-    bucket = F.element_at(F.lit(entries), place + 1).cast("int")
     owners = entries[-1] + 1
-    dealt = _folded(docs).withColumn("bucket", bucket).repartitionById(owners, F.col("bucket")).sortWithinPartitions("bucket", "key")
+    dealt = _folded(docs, depth, entries).repartitionById(owners, F.col("bucket")).sortWithinPartitions("bucket", "key")
     best = rows.groupBy("key", "sha").agg(F.max(F.struct("doc_id", "row")).alias("best"))
     return rows, stage(_owned(dealt).join(best, ["key", "sha"]), "dedup-index")
 
