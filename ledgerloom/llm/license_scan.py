@@ -164,7 +164,8 @@ def scan(text: str | None, auto: Automaton, min_words: int = MIN_WORDS, max_gap:
                 overlap = max(0, text_end - begin, template_end - first)
                 if end > text_end and behind > template_end and first - template_end <= max_gap and chain_words + matched - overlap > share_:
                     start_, share_ = chain_start, chain_words + matched - overlap
-            open_[end, behind] = (start_, share_)
+            if share_ > open_.get((end, behind), (0, 0))[1]:
+                open_[end, behind] = (start_, share_)
             chains[template] = open_
             share = min(1.0, share_ / auto.sizes[template])
             if share > best.get(template, (0.0,))[0]:
