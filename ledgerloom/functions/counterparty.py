@@ -33,7 +33,13 @@ SUFFIXES = (
 GENERIC = "diverse omforing justering korrigering lon bankavgifter ranta momsredovisning".split()
 NOISE = r"\b(\d{3,}|\d{4}-\d{2}(-\d{2})?|nr|no|fakt|inv|ocr|ref|avg|period|\d{1,2}/\d{1,2})\b"
 UNKNOWN = "okänd motpart"
-_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+# Latin letters with marks and the plain letters that they are read as.
+_PLAIN_OF = {
+    "a": "àáâãäåāăą", "c": "çćĉċč", "d": "ďđ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥħ", "i": "ìíîïĩīĭįı", "j": "ĵ", "k": "ķ", "l": "ĺļľŀł",
+    "n": "ñńņňŉ", "o": "òóôõöøōŏő", "r": "ŕŗř", "s": "śŝşšș", "t": "ţťŧț", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
+}
+_ACCENTED = "".join(_PLAIN_OF.values())
+_PLAIN = "".join(plain * len(marked) for plain, marked in _PLAIN_OF.items())
 
 
 def prefix_pattern() -> str:
@@ -82,6 +88,8 @@ def decide(df: DataFrame, aliases: DataFrame | None, prefix: str) -> DataFrame:
     two, one = F.array_join(F.slice(words, 1, 2), " "), words[0]
     canonical: Column = F.lit(None).cast("string")
     if aliases is not None:
+        # One name per key, so that a look-up never repeats rows; of several the first in order counts.
+        aliases = aliases.groupBy("company_id", "key").agg(F.min("canonical_name").alias("canonical_name"))
         hits = []
         for i, candidate in enumerate((full, two, one)):
             own = aliases.where("company_id IS NOT NULL").select(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +11,12 @@ EMAIL = r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
 PHONE = r"(?<!\d)(?:\+46[\s-]?|0)7[02369](?:[\s-]?\d){7}(?!\d)"
 
 
-def _mask_kind(df: DataFrame, text: str, kind: str, pattern: str, checked: bool) -> DataFrame:
+def _mask_kind(df: DataFrame, text: str, kind: str, pattern: Column, checked: bool) -> DataFrame:
     """Replace the matches of one kind by ``KIND_n``, n = order of first occurrence in the text.
 
     The text is cut at the matches and put together again, so only matched positions change.
     """
-    p = F.lit(pattern)
-    found = F.regexp_extract_all(F.col(text), p, F.lit(0))
+    found = F.regexp_extract_all(F.col(text), pattern, F.lit(0))
     if checked:
         keep = F.filter("_all", lambda m: F.call_function("luhn_check", F.substring(F.regexp_replace(m, r"\D", ""), -10, 10)))
     else:
@@ -41,17 +38,28 @@ def _mask_kind(df: DataFrame, text: str, kind: str, pattern: str, checked: bool)
     return out.drop("_all", "_hits", "_pieces")
 
 
-def mask(df: DataFrame, text: str, names: list[str] | None = None) -> DataFrame:
-    """Adds ``masked`` and ``mapping`` (token, value) to every row."""
+#: Shorter names mask nothing; they would hit words.
+SHORTEST_NAME = 3
+
+
+def mask(df: DataFrame, text: str, names: str | None = None) -> DataFrame:
+    """Adds ``masked`` and ``mapping`` (token, value) to every row.
+
+    ``names``: a column with the row's known names, e.g. those of its company; longer names go first.
+    """
     out = df.withColumn("masked", F.coalesce(F.col(text), F.lit(""))).withColumn(
         "_map", F.expr("CAST(array() AS array<struct<token:string,value:string>>)")
     )
-    out = _mask_kind(out, "masked", "PNR", "(?U)" + PNR, True)
-    out = _mask_kind(out, "masked", "EMAIL", "(?U)" + EMAIL, False)
-    out = _mask_kind(out, "masked", "TEL", PHONE, False)
-    known = sorted({n.strip() for n in names or [] if len(n.strip()) >= 3}, key=len, reverse=True)
-    if known:
-        out = _mask_kind(out, "masked", "PERSON", r"(?iU)\b(?:" + "|".join(re.escape(n) for n in known) + r")\b", False)
+    out = _mask_kind(out, "masked", "PNR", F.lit("(?U)" + PNR), True)
+    out = _mask_kind(out, "masked", "EMAIL", F.lit("(?U)" + EMAIL), False)
+    out = _mask_kind(out, "masked", "TEL", F.lit(PHONE), False)
+    if names:
+        usable = F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: F.length(n) >= SHORTEST_NAME)
+        longest = F.reverse(F.array_sort(F.transform(F.array_distinct(usable), lambda n: F.struct(F.length(n).alias("n"), n.alias("name")))))
+        quoted = F.transform(longest, lambda n: F.concat(F.lit(r"\Q"), F.replace(n["name"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+        some = F.size(usable) > 0  # of null names the size is -1
+        pattern = F.when(some, F.concat(F.lit(r"(?iU)\b(?:"), F.array_join(quoted, "|"), F.lit(r")\b"))).otherwise(F.lit(r"(?!)"))
+        out = _mask_kind(out, "masked", "PERSON", pattern, False)
     return out.withColumnRenamed("_map", "mapping")
 
 

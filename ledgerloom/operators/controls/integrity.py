@@ -185,10 +185,13 @@ def not_in_chart(ctx: Context) -> DataFrame:
 
 @control("CHANGED_AFTER_APPROVAL")
 def changed_after_approval(ctx: Context) -> DataFrame:
-    """Approved months whose vouchers changed since approval (``ctx.changed``: company_id, month, vouchers, n)."""
-    if ctx.changed is None:
-        empty = ctx.coverage.where("false").select("company_id", "month", F.array().cast("array<string>").alias("vouchers"))
-        return finding(empty, "CHANGED_AFTER_APPROVAL", review=F.col("month"), key=[F.col("month")], vouchers=F.col("vouchers"))
-    return finding(
-        ctx.changed, "CHANGED_AFTER_APPROVAL", review=F.col("month"), key=[F.date_format("month", "yyyy-MM")], vouchers=F.col("vouchers")
-    )
+    """Approved months whose vouchers changed since approval (``ctx.changed``, see ``versions.changed_months``).
+
+    The key holds a checksum of all changes: a later change is a new finding. ``variant`` is their number;
+    the vouchers are the rows of ``versions.changes``.
+    """
+    changed = ctx.changed
+    if changed is None:
+        changed = ctx.coverage.where("false").select("company_id", "month", F.lit(0).cast("bigint").alias("n"), F.lit("").alias("change_key"))
+    month = F.date_format("month", "yyyy-MM")
+    return finding(changed, "CHANGED_AFTER_APPROVAL", review=F.col("month"), key=[month, F.col("change_key")], variant=F.col("n").cast("string"))

@@ -108,14 +108,15 @@ def vat_not_cleared(ctx: Context) -> DataFrame:
     offset = F.expr("CAST(months_between(month, trunc(fy_start, 'MM')) AS INT) + 1")
     ends = month.where(offset % F.col("step") == 0).select("company_id", F.col("month").alias("vat_month"))
     reviews = ctx.coverage.where("covered").select("company_id", F.col("month").alias("review_month"))
-    w = Window.partitionBy("company_id", "review_month").orderBy(F.desc("vat_month"))
-    due = (
-        reviews.join(ends, "company_id")
-        .where(F.last_day("vat_month") <= F.date_sub(F.last_day("review_month"), grace))
-        .where(F.col("vat_month") > F.add_months("review_month", -60))
-        .withColumn("rk", F.row_number().over(w))
-        .where("rk <= 4")
-    )
+    # Period ends are counted in order of time; a review looks at the last four that are due.
+    none = F.lit(None).cast("date")
+    dated = ends.select("company_id", F.last_day("vat_month").alias("day"), "vat_month", none.alias("review_month")).unionByName(
+        reviews.select("company_id", F.date_sub(F.last_day("review_month"), grace).alias("day"), none.alias("vat_month"), "review_month")
+    )
+    upto = Window.partitionBy("company_id").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = dated.withColumn("rk", F.count("vat_month").over(upto))
+    last_four = counted.where("review_month IS NOT NULL AND rk > 0").select("company_id", "review_month", F.explode(F.sequence(F.greatest(F.col("rk") - 3, F.lit(1)), F.col("rk"))).alias("rk"))
+    due = last_four.join(counted.where("vat_month IS NOT NULL").select("company_id", "vat_month", "rk"), ["company_id", "rk"])
     residual = (
         ctx.balances.where(R.VAT_ACCOUNTS.on(F.col("account")) & (F.abs("balance") > tol))
         .groupBy("company_id", F.col("month").alias("vat_month"))

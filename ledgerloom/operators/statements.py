@@ -266,19 +266,23 @@ def cost_tree(pairs: DataFrame, movements: DataFrame, overrides: DataFrame | Non
     )
 
 
-def trend(monthly: DataFrame, coverage: DataFrame, n: int) -> DataFrame:
-    """Sales, costs and operating result of the last ``n`` (3–60) months with data per company."""
+def trend(monthly: DataFrame, movements: DataFrame, coverage: DataFrame, n: int) -> DataFrame:
+    """Sales, costs and operating result of the last ``n`` (3–60) months with data per company.
+
+    Costs are all of the accounts 4000-7999, those outside the statement's lines included.
+    """
     if not 3 <= n <= 60:
         raise ValueError("between 3 and 60 months")
     w = Window.partitionBy("company_id").orderBy(F.desc("month"))
     last = coverage.where("covered").withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n)
     wide = last.join(monthly, ["company_id", "month"], "left").na.fill(0, list(INCOME_LEAVES))
-    wide = add_subtotals(wide, INCOME_SUBTOTALS)
+    costs = movements.where("account BETWEEN 4000 AND 7999").groupBy("company_id", "month").agg(F.sum("amount").alias("costs"))
+    wide = add_subtotals(wide, INCOME_SUBTOTALS).join(costs, ["company_id", "month"], "left")
     return wide.select(
         "company_id",
         "month",
         F.col("net_sales").alias("sales"),
-        (F.col("operating_income") - F.col("operating_result")).alias("costs"),
+        F.coalesce("costs", F.lit(0)).alias("costs"),
         "operating_result",
     )
 

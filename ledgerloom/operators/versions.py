@@ -7,20 +7,24 @@ partial file, which date range.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["company_id", "fy_start", "series", "number"]
 COLUMNS = [*KEY, "voucher_date", "content_hash", "valid_from", "valid_to"]
 
 
+def voucher_key() -> Column:
+    """The number of a voucher; an empty one is replaced by a key made of the content hash."""
+    return F.when(F.coalesce("number", F.lit("")) == "", F.concat(F.lit("h:"), F.substring("content_hash", 1, 16))).otherwise(F.col("number"))
+
+
 def keyed(incoming: DataFrame) -> DataFrame:
-    """Vouchers with their key; an empty number is replaced by a key made of the content hash.
+    """Vouchers with their key (``voucher_key``).
 
     The last voucher of a file wins when a key repeats (``ord``: position in the file).
     """
-    number = F.when(F.coalesce("number", F.lit("")) == "", F.concat(F.lit("h:"), F.substring("content_hash", 1, 16))).otherwise(F.col("number"))
-    rows = incoming.withColumn("number", number)
+    rows = incoming.withColumn("number", voucher_key())
     order = "ord" if "ord" in incoming.columns else "content_hash"
     return rows.groupBy(*KEY).agg(F.max_by(F.struct("voucher_date", "content_hash"), order).alias("v")).select(*KEY, "v.voucher_date", "v.content_hash")
 
@@ -48,8 +52,12 @@ def classify(versions: DataFrame, incoming: DataFrame, scope: DataFrame) -> Data
     return j.withColumn("action", action).select(*KEY, "old_date", "old_hash", "new_date", "new_hash", "valid_from", "action")
 
 
-def merge(versions: DataFrame, actions: DataFrame, scope: DataFrame, seq: int) -> DataFrame:
-    """The version table after an import: closed and new versions, everything else as it was."""
+def merge(versions: DataFrame, actions: DataFrame, scope: DataFrame, seq: int | Column) -> DataFrame:
+    """The version table after an import: closed and new versions, everything else as it was.
+
+    ``seq``: the import's sequence, or a column of ``actions`` that holds that of each company.
+    """
+    at = seq if isinstance(seq, Column) else F.lit(seq)
     untouched = versions.where("valid_to IS NOT NULL").unionByName(
         versions.where("valid_to IS NULL").join(scope.select("company_id", "fy_start"), ["company_id", "fy_start"], "left_anti")
     )
@@ -58,10 +66,10 @@ def merge(versions: DataFrame, actions: DataFrame, scope: DataFrame, seq: int) -
         *KEY, F.col("old_date").alias("voucher_date"), F.col("old_hash").alias("content_hash"), "valid_from", none.alias("valid_to")
     )
     closed = actions.where("action IN ('changed', 'removed')").select(
-        *KEY, F.col("old_date").alias("voucher_date"), F.col("old_hash").alias("content_hash"), "valid_from", F.lit(seq).alias("valid_to")
+        *KEY, F.col("old_date").alias("voucher_date"), F.col("old_hash").alias("content_hash"), "valid_from", at.alias("valid_to")
     )
     opened = actions.where("action IN ('changed', 'added')").select(
-        *KEY, F.col("new_date").alias("voucher_date"), F.col("new_hash").alias("content_hash"), F.lit(seq).alias("valid_from"), none.alias("valid_to")
+        *KEY, F.col("new_date").alias("voucher_date"), F.col("new_hash").alias("content_hash"), at.alias("valid_from"), none.alias("valid_to")
     )
     return untouched.select(*COLUMNS).unionByName(still).unionByName(closed).unionByName(opened)
 
@@ -113,18 +121,15 @@ def changes(versions: DataFrame, from_seq: int, to_seq: int, windows: DataFrame
     return out.withColumn("month", F.explode(months)).join(windows.select("company_id", "month"), ["company_id", "month"], "left_semi")
 
 
-def changed_months(changed: DataFrame, limit: int = 20) -> DataFrame:
-    """Input of the changed-after-approval control: vouchers (first ``limit``) and count per month."""
-    w = Window.partitionBy("company_id", "month").orderBy("voucher", "kind")
-    named = changed.withColumn("voucher", F.concat("series", "number"))
-    counts = named.groupBy("company_id", "month").agg(F.count("*").alias("n"))
-    first = (
-        named.withColumn("rk", F.row_number().over(w))
-        .where(F.col("rk") <= limit)
-        .groupBy("company_id", "month")
-        .agg(F.array_sort(F.collect_list("voucher")).alias("vouchers"))
-    )
-    return counts.join(first, ["company_id", "month"])
+def changed_months(changed: DataFrame) -> DataFrame:
+    """Input of the changed-after-approval control: number of changes per month, and a checksum of them all.
+
+    The checksum does not depend on order; it differs as soon as any voucher or kind of change does.
+    The vouchers themselves stay rows, in ``changed``.
+    """
+    digest = F.md5(F.concat_ws("|", "series", "number", "kind").cast("binary"))
+    part = F.conv(F.substring(digest, 1, 14), 16, 10).cast("decimal(38,0)")
+    return changed.groupBy("company_id", "month").agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("change_key"))
 
 
 def carry_forward(incoming: DataFrame, previous: DataFrame, scope: DataFrame) -> DataFrame:

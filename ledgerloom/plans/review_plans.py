@@ -358,8 +358,8 @@ SQL = {
         VER,
     ),
     "ctl_changed_after_approval": O.query(
-        """SELECT company_id, strftime(month, '%Y-%m') AS review, strftime(month, '%Y-%m') AS period, 'HIGH' AS severity, strftime(month, '%Y-%m') AS key, array_to_string(list_sort(list('B' || number ORDER BY 'B' || number)[1:20]), ',') AS vouchers,
- '' AS accounts, CAST(NULL AS BIGINT) AS amount, '' AS variant FROM (SELECT company_id, number, CAST(date_trunc('month', vdate) AS DATE) AS month FROM vi WHERE rng AND ((i2 <> i3) OR (i2 AND i3 AND x2 <> x3)) AND CAST(company_id AS INTEGER) % 2 = 0)
+        """SELECT company_id, strftime(month, '%Y-%m') AS review, strftime(month, '%Y-%m') AS period, 'HIGH' AS severity, strftime(month, '%Y-%m') || '|' || CAST(sum(CAST(('0x' || substr(md5('B|' || number || '|' || kind), 1, 14)) AS BIGINT)) AS VARCHAR) AS key, '' AS vouchers,
+ '' AS accounts, CAST(NULL AS BIGINT) AS amount, CAST(count(*) AS VARCHAR) AS variant FROM (SELECT company_id, number, CASE WHEN NOT i2 THEN 'ADDED' WHEN NOT i3 THEN 'REMOVED' ELSE 'CHANGED' END AS kind, CAST(date_trunc('month', vdate) AS DATE) AS month FROM vi WHERE rng AND ((i2 <> i3) OR (i2 AND i3 AND x2 <> x3)) AND CAST(company_id AS INTEGER) % 2 = 0)
  WHERE (company_id, month) IN (SELECT company_id, month FROM cov WHERE covered) GROUP BY company_id, month""",
         VER,
     ),

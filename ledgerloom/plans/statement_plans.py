@@ -144,7 +144,7 @@ def cost_tree(book: Book) -> DataFrame:
 
 
 def trend(book: Book) -> DataFrame:
-    return S.trend(book.monthly, book.coverage, 24).select("company_id", _ym("month"), "sales", "costs", "operating_result")
+    return S.trend(book.monthly, book.movements, book.coverage, 24).select("company_id", _ym("month"), "sales", "costs", "operating_result")
 
 
 def budget_vs_actual(book: Book) -> DataFrame:
@@ -326,7 +326,7 @@ node AS (SELECT x.company_id, x.period, x.compare, c.category, c.parent, c.amoun
     ),
     "trend": O.query("""SELECT c.company_id, strftime(c.month, '%Y-%m') AS month,
  CAST(coalesce(-sum(m.amount) FILTER (m.account BETWEEN 3000 AND 3799), 0) AS BIGINT) AS sales,
- CAST(coalesce(sum(m.amount) FILTER (m.account BETWEEN 4000 AND 7999 AND NOT m.account BETWEEN 4940 AND 4999), 0) AS BIGINT) AS costs,
+ CAST(coalesce(sum(m.amount) FILTER (m.account BETWEEN 4000 AND 7999), 0) AS BIGINT) AS costs,
  CAST(coalesce(-sum(m.amount) FILTER (m.account BETWEEN 3000 AND 7999), 0) AS BIGINT) AS operating_result
 FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY month DESC) AS rk FROM cov WHERE covered) c
 LEFT JOIN mm m ON m.company_id = c.company_id AND m.month = c.month WHERE rk <= 24 GROUP BY c.company_id, c.month"""),

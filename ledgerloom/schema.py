@@ -2,17 +2,13 @@
 
 ``vouchers`` is nested: one record per voucher with its rows in an array. Everything that looks
 at a single voucher (balance, pattern tags, VAT ratio, content hash …) is then a projection
-without a shuffle. A voucher comes from one source file, and a file is at most 200 MiB, which
-bounds the array.
+without a shuffle. A voucher comes from one source file, which bounds the array.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: Largest accepted source file; also the proven bound on the rows of one voucher.
-MAX_FILE_BYTES = 200 * 1024 * 1024
-
 OBJECT = T.StructType([T.StructField("dim", T.StringType()), T.StructField("obj", T.StringType())])
 
 ROW = T.StructType(

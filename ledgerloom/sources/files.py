@@ -3,85 +3,94 @@
 from __future__ import annotations
 
 import csv
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import parse_amount, parse_day
-from ledgerloom.schema import MAX_FILE_BYTES
 
-# Letters that speak for and against a decoding of Swedish text.
-SWEDISH = "åäöÅÄÖéÉüÜ"
+# Delimiters of exported lists, preferred ones first.
 DELIMITERS = (";", "\t", ",", "|")
-
-
-def decode(raw: bytes) -> str:
-    """UTF-8 (with or without mark), UTF-16, else the better of CP437 and CP1252."""
-    if raw.startswith(b"\xef\xbb\xbf"):
-        return raw[3:].decode("utf-8", errors="replace")
-    if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return raw.decode("utf-16", errors="replace")
+# Byte order marks and the encodings that they announce.
+MARKS = {b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
+# The letters of Swedish texts beyond ASCII, and the code pages that such texts come in.
+LETTERS = "åäöÅÄÖéÉüÜ"
+CODE_PAGES = ("cp1252", "cp437")
+#: Bytes of a file's head that its kind is judged from first.
+SNIFF = 8192
+
+
+def encoding_of(raw: bytes) -> str:
+    """The announced encoding, UTF-8 where the bytes are valid, else the code page whose Swedish letters they hold most."""
+    for mark, name in MARKS.items():
+        if raw[: len(mark)] == mark:
+            return name
     try:
-        return raw.decode("utf-8")
+        raw.decode("utf-8")
+        return "utf-8"
     except UnicodeDecodeError:
-        pass
+        counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    votes = {page: int(counts[list(LETTERS.encode(page))].sum()) for page in CODE_PAGES}
+    if votes["cp437"] == votes["cp1252"]:
+        return "cp437" if b"#FORMAT PC8" in raw.upper() else "cp1252"
+    return max(votes, key=votes.get)
 
-    def quality(encoding: str) -> tuple[int, str]:
-        text = raw.decode(encoding, errors="replace")
-        letters = sum(text.count(c) for c in SWEDISH)
-        odd = sum(1 for c in text if (ord(c) > 127 and not c.isalpha() and c not in "§°–—−€´½«» ") or c == "�")
-        declared = encoding == "cp437" and b"#FORMAT PC8" in raw[:4000].upper()
-        return letters - 3 * odd + int(declared), text
 
-    return max((quality(e) for e in ("cp437", "cp1252")), key=lambda q: q[0])[1]
+def decode(raw: bytes) -> str:
+    return raw.decode(encoding_of(raw), errors="replace")
 
 
-def delimiter_of(lines: list[str]) -> str:
-    """The delimiter that most often gives the same number of columns."""
-    best, chosen = (-1, -1), ";"
-    for cand in DELIMITERS:
-        widths = Counter(len(r) for r in csv.reader(lines, delimiter=cand) if len(r) > 1)
-        if widths:
-            width, times = widths.most_common(1)[0]
-            if (times, width) > best:
-                best, chosen = (times, width), cand
-    return chosen
+def delimiters(lines: DataFrame) -> DataFrame:
+    """(file, delimiter): the one that gives the most lines of a file the same number of columns, and most columns.
+
+    ``lines`` as ``to_lines`` gives them; all of them count. Delimiters inside quotes do not.
+    """
+    bare = F.regexp_replace("line", '"[^"]*"', "")
+    width = lambda d: (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("width")
+    votes = lines.select("file", F.explode(F.array(*[F.struct(F.lit(-k).alias("rank"), width(d)) for k, d in enumerate(DELIMITERS)])).alias("v"))
+    lengths = votes.where("v.width > 0").groupBy("file", "v.rank", "v.width").agg(F.count("*").alias("n"))
+    best = lengths.groupBy("file").agg(F.max(F.struct("n", "width", "rank")).alias("best"))
+    return best.select("file", F.element_at(F.array(*map(F.lit, DELIMITERS)), 1 - F.col("best.rank")).alias("delimiter"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files of a folder (path, content), up to the accepted size, with kind and hash.
+    """Whole files of a folder (path, content) with kind and hash; no file is left out.
 
-    The kind is judged from the first bytes only: ``sie``, ``json``, ``csv`` or ``unsupported``.
+    Files beyond what Spark reads as one value (2 GiB) fail the job.
     """
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .where(F.col("length") <= MAX_FILE_BYTES)
         .select(F.col("path").alias("file"), "content", F.col("modificationTime").alias("arrived_at"))
     )
     return with_kind(raw)
 
 
 def with_kind(files: DataFrame) -> DataFrame:
-    head = F.substring(F.col("content"), 1, 8192)
+    """Adds source_kind — ``sie``, ``json``, ``csv`` or ``unsupported`` — and sha256.
+
+    The first ``SNIFF`` bytes decide if they show a kind; what is left is looked through to its end
+    for SIE records.
+    """
     start = F.hex(F.substring(F.col("content"), 1, 4))
-    latin = F.decode(head, "ISO-8859-1")
-    text = F.regexp_replace(latin, "^(ï»¿)?\\s*", "")
+    wide = start.startswith("FFFE") | start.startswith("FEFF")
+    read = lambda c: F.regexp_replace(F.when(wide, F.decode(c, "UTF-16")).otherwise(F.decode(c, "ISO-8859-1")), "^(\ufeff|ï»¿)?\\s*", "")
+    head = F.substring(F.col("content"), 1, SNIFF)
     binary = start.startswith("504B0304") | start.startswith("D0CF11E0") | start.startswith("25504446")
     # UTF-16 text has zero bytes too; its byte order mark tells it apart from binary files.
-    wide = start.startswith("FFFE") | start.startswith("FEFF")
     zeros = F.contains(F.hex(head), F.lit("0000")) & ~wide
-    is_sie = F.upper(text).rlike(r"(?m)^\s*#(FLAGGA|PROGRAM|FORMAT|GEN|SIETYP|FNAMN|RAR|KONTO|VER)\b")
+    record = r"(?m)^\s*#(FLAGGA|PROGRAM|FORMAT|GEN|SIETYP|FNAMN|RAR|KONTO|VER)\b"
     kind = (
         F.when(binary | zeros, "unsupported")
-        .when(text.startswith("{"), "json")
-        .when(is_sie, "sie")
+        .when(read(head).startswith("{"), "json")
+        .when(F.upper(read(head)).rlike(record), "sie")
         .when(F.lower("file").rlike(r"\.(se|si|sie)$"), "sie")
+        .when((F.length("content") > SNIFF) & F.upper(read(F.col("content"))).rlike(record), "sie")
         .otherwise("csv")
     )
     return files.withColumn("source_kind", kind).withColumn("sha256", F.sha2("content", 256))
@@ -102,24 +111,17 @@ def to_lines(files: DataFrame) -> DataFrame:
 
 
 def to_cells(files: DataFrame) -> DataFrame:
-    """One row per record of a delimited file: file, line_no, cells."""
+    """One row per record of a delimited file, with all its columns: file, line_no, cells."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, content in zip(batch["file"], batch["content"], strict=True):
-                lines = decode(bytes(content)).splitlines()
-                sample = [x for x in lines[:200] if x.strip()][:60]
-                rows: list[list[str]] = []
-                first = 1
-                for cells in csv.reader(lines, delimiter=delimiter_of(sample)):
-                    rows.append(cells[:200])
-                    if len(rows) == 50_000:
-                        yield pd.DataFrame({"file": file, "line_no": range(first, first + len(rows)), "cells": rows})
-                        first, rows = first + len(rows), []
-                if rows:
-                    yield pd.DataFrame({"file": file, "line_no": range(first, first + len(rows)), "cells": rows})
+            for file, content, delimiter in zip(batch["file"], batch["content"], batch["delimiter"], strict=True):
+                records = enumerate(csv.reader(decode(bytes(content)).splitlines(), delimiter=delimiter or DELIMITERS[0]), 1)
+                while part := list(islice(records, 50_000)):
+                    yield pd.DataFrame({"file": file, "line_no": [n for n, _ in part], "cells": [cells for _, cells in part]})
 
-    return files.select("file", "content").mapInPandas(run, "file string, line_no int, cells array<string>")
+    chosen = files.select("file", "content").join(delimiters(to_lines(files)), "file", "left")
+    return chosen.mapInPandas(run, "file string, line_no int, cells array<string>")
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -161,7 +163,3 @@ def tax_account_statement(spark: SparkSession, path: str, delimiter: str = ";")
         parse_amount(F.col(f"`{amount}`")).alias("amount"),
     )
     return rows.where("date IS NOT NULL AND amount IS NOT NULL")
-
-
-def content_sha256(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()

@@ -1,7 +1,8 @@
 """Bulk ingest of SIE files as one job over a folder.
 
 Lines are tokenised with one regular expression, vouchers are found by carrying the last opened
-voucher forward inside a file (at most 200 MiB), and every record type is a filtered projection.
+voucher forward inside a file, and every record type is a filtered projection. Every line ends as data or as
+an issue.
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ from ledgerloom.sources.files import to_lines
 TOKEN = r'\{(?:"(?:\\"|[^"])*"|[^}"])*\}|"(?:\\"|[^"])*"|[^\s{}"]+'
 ITEM = r'"(?:\\"|[^"])*"|[^\s{}"]+'
 ROW_LABELS = ("#TRANS", "#RTRANS", "#BTRANS")
+# The labels of the format besides those of vouchers.
+KNOWN_LABELS = (
+    "#FLAGGA", "#PROGRAM", "#FORMAT", "#GEN", "#SIETYP", "#PROSA", "#FNR", "#ORGNR", "#FNAMN", "#FTYP", "#ADRESS", "#RAR", "#TAXAR", "#OMFATTN",
+    "#KPTYP", "#VALUTA", "#KONTO", "#KTYP", "#SRU", "#ENHET", "#DIM", "#UNDERDIM", "#OBJEKT", "#IB", "#UB", "#OIB", "#OUB", "#RES", "#PSALDO",
+    "#PBUDGET", "#KSUMMA", "#BKOD", "#TAXAR_", "#KONTAKT",
+)
 
 
 @dataclass
@@ -47,17 +54,18 @@ def records(files: DataFrame) -> DataFrame:
     rec = lines.withColumn("tokens", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).withColumn(
         "label", F.when(F.col("line").startswith("#"), F.upper(F.get("tokens", F.lit(0)))).otherwise(F.when(F.col("line").isin("{", "}"), F.col("line")))
     )
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("file").orderBy("line_no")
     # A voucher is open from #VER until its closing brace, or until any other record starts.
     event = F.when(F.col("label").isin(*ROW_LABELS, "{") | F.col("label").isNull(), F.lit(None)).otherwise(F.struct("label", "line_no"))
-    return rec.withColumn("event", F.last(event, ignorenulls=True).over(order)).withColumn(
-        "voucher_line", F.when(F.col("event.label") == "#VER", F.col("event.line_no"))
-    ).drop("event")
+    upto = lambda end: F.last("event", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, end))
+    out = rec.withColumn("event", event).withColumn("now", upto(0)).withColumn("before", upto(-1))
+    opened = lambda e: F.when(F.col(f"{e}.label") == "#VER", F.col(f"{e}.line_no"))
+    return out.withColumn("voucher_line", opened("now")).withColumn("closes_line", opened("before")).drop("event", "now", "before")
 
 
 def _objects(token: Column) -> Column:
     """``{1 "10" 6 "P1"}`` as (dim, obj) pairs."""
-    items = F.transform(F.regexp_extract_all(F.substring(token, 2, 1_000_000), F.lit(ITEM), F.lit(0)), _unquote)
+    items = F.transform(F.regexp_extract_all(token.substr(F.lit(2), F.length(token)), F.lit(ITEM), F.lit(0)), _unquote)
     none = F.expr("CAST(array() AS array<struct<dim:string,obj:string>>)")
 
     def pairs(x: Column) -> Column:
@@ -219,21 +227,54 @@ def read_sie(files: DataFrame) -> SieTables:
         balances,
         periods,
         vouchers,
-        _issues(rec, rows, vouchers, chart),
+        _issues(rec, rows, dated, vouchers, chart, declared),
     )
 
 
-def _issues(rec: DataFrame, rows: DataFrame, vouchers: DataFrame, chart: DataFrame) -> DataFrame:
+def _brace_issues(rec: DataFrame) -> DataFrame:
+    """Braces outside vouchers, and vouchers that another record or the end of the file cuts off."""
+    braces = rec.where("label = '{'").withColumn("first", F.min("line_no").over(Window.partitionBy("file", "voucher_line")))
+    stray = braces.where("voucher_line IS NULL OR line_no > first").select("file", "line_no")
+    stray = stray.unionByName(rec.where("label = '}' AND closes_line IS NULL").select("file", "line_no"))
+    started = braces.where("voucher_line IS NOT NULL").select("file", "voucher_line").distinct()
+    cut = rec.where("closes_line IS NOT NULL AND label IS NOT NULL AND label <> '{' AND label <> '}'").where(~F.col("label").isin(*ROW_LABELS))
+    cut = cut.select("file", F.col("closes_line").alias("voucher_line"), "line_no").join(started, ["file", "voucher_line"], "left_semi")
+    ended = rec.where("closes_line IS NOT NULL AND label IS NOT NULL AND label <> '{'").where(~F.col("label").isin(*ROW_LABELS))
+    ended = ended.select("file", F.col("closes_line").alias("line_no"))
+    never = rec.where("label = '#VER'").select("file", "line_no").join(ended, ["file", "line_no"], "left_anti")
+    named = lambda df, code: df.select("file", "line_no", F.lit(code).alias("code"))
+    return named(stray, "UNEXPECTED_BRACE").unionByName(named(cut, "UNCLOSED_VOUCHER")).unionByName(named(never, "UNCLOSED_VOUCHER"))
+
+
+def _issues(rec: DataFrame, rows: DataFrame, dated: DataFrame, vouchers: DataFrame, chart: DataFrame, declared: DataFrame) -> DataFrame:
     def issue(df: DataFrame, code: str, line: str = "line_no") -> DataFrame:
         return df.select("file", F.col(line).alias("line_no"), F.lit(code).alias("code"))
 
+    number = lambda i: _field(i).try_cast("int")
+    balance_bad = F.col("label").isin("#IB", "#UB", "#RES") & (number(2).isNull() | parse_amount(_field(3)).isNull())
+    listed = F.coalesce(F.get("tokens", F.lit(4)).startswith("{"), F.lit(False))
+    month = F.try_to_date(F.concat(_field(2), F.lit("01")), "yyyyMMdd")
+    period_bad = F.col("label").isin("#PSALDO", "#PBUDGET") & (month.isNull() | number(3).isNull() | parse_amount(_field(F.when(listed, 5).otherwise(4))).isNull())
+    chart_bad = F.col("label").isin("#KONTO", "#KTYP", "#SRU") & number(1).isNull()
+    year_bad = (F.col("label") == "#RAR") & (number(1).isNull() | parse_day(_field(2)).isNull() | parse_day(_field(3)).isNull())
+    voucher_bad = (F.col("label") == "#VER") & parse_day(_field(3)).isNull()
+    unread = rec.where(balance_bad | period_bad | chart_bad | year_bad | voucher_bad)
+    placed = rows.join(dated.select("file", "voucher_line"), ["file", "voucher_line"], "left_semi")
+    orphans = rows.join(dated.select("file", "voucher_line"), ["file", "voucher_line"], "left_anti")
     balance = F.aggregate(F.filter("rows", lambda r: r["status"] != "removed"), F.lit(0).cast("bigint"), lambda a, r: a + r["amount"])
     named = chart.where("label = '#KONTO'").select("file", "account")
     unknown = rows.join(named, ["file", "account"], "left_anti").where("account IS NOT NULL").groupBy("file", "account").agg(F.min("line_no").alias("line_no"))
+    odd = rec.where(F.col("label").startswith("#") & ~F.col("label").isin(*KNOWN_LABELS, *ROW_LABELS, "#VER"))
+    files = rec.select("file").distinct()
+    no_year = files.join(declared.where("year_no = 0"), "file", "left_anti").withColumn("line_no", F.lit(None).cast("int"))
     return (
         issue(rec.where("label IS NULL"), "NOT_A_RECORD")
-        .unionByName(issue(rows.where("voucher_line IS NULL"), "ORPHAN_TRANS"))
-        .unionByName(issue(rows.where("voucher_line IS NOT NULL AND (account IS NULL OR amount IS NULL)"), "INVALID_RECORD"))
+        .unionByName(issue(orphans, "ORPHAN_TRANS"))
+        .unionByName(issue(placed.where("account IS NULL OR amount IS NULL"), "INVALID_RECORD"))
+        .unionByName(issue(unread, "INVALID_RECORD"))
+        .unionByName(issue(odd.groupBy("file", "label").agg(F.min("line_no").alias("line_no")), "UNKNOWN_LABEL"))
+        .unionByName(issue(no_year, "MISSING_RAR"))
+        .unionByName(_brace_issues(rec))
         .unionByName(issue(unknown, "UNKNOWN_ACCOUNT"))
         .unionByName(issue(vouchers.where(balance != 0), "UNBALANCED_VOUCHER", "source_line"))
         .unionByName(issue(vouchers.where("NOT voucher_date BETWEEN fy_start AND fy_end"), "VOUCHER_OUTSIDE_YEAR", "source_line"))

@@ -2,8 +2,10 @@
 
 A file source feeds ``foreachBatch``. A batch is classified against the versions of its own fiscal
 years, and only the year partitions and months it really changes are written again. What a batch
-does is recorded first, so a batch that is repeated after a failure repeats the same actions and
-ends in the same tables; vouchers delivered again are unchanged by their content hash.
+does is recorded first, under the stream's identity and the batch's number, so a batch that is
+repeated after a failure repeats the same actions and ends in the same tables; vouchers delivered
+again are unchanged by their content hash. A new stream (a new checkpoint) goes on with each
+company's next import sequence.
 """
 
 from __future__ import annotations
@@ -11,30 +13,29 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import versions as V
-from ledgerloom.operators.voucher_facts import content_hash
+from ledgerloom.operators.voucher_facts import full_content_hash
+from ledgerloom.schema import ROW, VOUCHERS
 from ledgerloom.session import stage
 
-VOUCHER_SCHEMA = (
-    "company_id string, fy_start date, series string, number string, voucher_date date, reg_date date, text string, "
-    "rows array<struct<account:int,amount:bigint,text:string,status:string>>"
-)
 VERSION_SCHEMA = (
     "company_id string, fy_start date, series string, number string, voucher_date date, content_hash string, valid_from int, valid_to int"
 )
 MOVEMENT_SCHEMA = "company_id string, month date, account int, amount bigint"
+RUN_SCHEMA = "company_id string, seq int, stream string, batch bigint"
 
 
 class Landing:
-    """``root``/versions and /vouchers (partitioned by fiscal year), /movements (by month), /actions."""
+    """``root``/versions and /vouchers (partitioned by fiscal year), /movements (by month), /runs and /actions (by stream and batch)."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def _table(self, name: str, schema: str | T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException:  # nothing written yet
@@ -44,10 +45,13 @@ class Landing:
         return self._table("versions", VERSION_SCHEMA)
 
     def vouchers(self) -> DataFrame:
-        return self._table("vouchers", VOUCHER_SCHEMA)
+        return self._table("vouchers", VOUCHERS)
 
     def movements(self) -> DataFrame:
-        return self._table("movements", MOVEMENT_SCHEMA)
+        return self._table("movements", MOVEMENT_SCHEMA).where("account IS NOT NULL")
+
+    def runs(self) -> DataFrame:
+        return self._table("runs", RUN_SCHEMA)
 
     def _replace(self, df: DataFrame, name: str, partition: str) -> None:
         """Replace exactly the partitions ``df`` holds. Staged first: it reads the same table."""
@@ -59,30 +63,41 @@ class Landing:
             .parquet(f"{self.root}/{name}")
         )
 
-    def _actions(self, batch: DataFrame, batch_id: int, years: list) -> DataFrame:
-        path = f"{self.root}/actions/batch={batch_id}"
+    def _recorded(self, name: str, stream: str, batch_id: int, make) -> DataFrame:
+        """What the batch wrote under ``name`` before, else what ``make`` gives now, written."""
+        path = f"{self.root}/{name}/stream={stream}/batch={batch_id}"
         try:
             return self.spark.read.parquet(path)
         except AnalysisException:
-            pass
+            make().write.mode("overwrite").parquet(path)
+            return self.spark.read.parquet(path)
+
+    def _sequences(self, batch: DataFrame) -> DataFrame:
+        """The next import sequence of each company of the batch."""
+        last = self.runs().groupBy("company_id").agg(F.max("seq").alias("last"))
+        named = batch.select("company_id").distinct().join(last, "company_id", "left")
+        return named.select("company_id", (F.coalesce("last", F.lit(0)) + 1).alias("seq"))
+
+    def _actions(self, batch: DataFrame, sequences: DataFrame, years: list) -> DataFrame:
         current = self.versions().where(F.col("fy_start").isin(years))
         # An empty date range: vouchers a delivery does not contain are kept.
         scope = batch.select("company_id", "fy_start").distinct().select(
             "company_id", "fy_start", F.lit("9999-01-01").cast("date").alias("lo"), F.lit("0001-01-01").cast("date").alias("hi")
         )
-        V.classify(current, batch, scope).write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        return V.classify(current, batch, scope).join(sequences, "company_id")
 
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
+    def merge(self, batch: DataFrame, batch_id: int, stream: str = "manual") -> None:
         """Adds and changes the vouchers of a batch; deliveries never remove."""
-        batch = stage(batch.withColumn("content_hash", content_hash()), "landing_batch")
+        hashed = batch.select(*self._typed(batch)).withColumn("content_hash", full_content_hash())
+        batch = stage(hashed.withColumn("number", V.voucher_key()), "landing_batch")
         years = [r.fy_start for r in batch.select("fy_start").distinct().collect()]  # a few fiscal years
         if not years:
             return
-        actions = self._actions(batch, batch_id, years)
+        sequences = self._recorded("runs", stream, batch_id, lambda: self._sequences(batch))
+        actions = self._recorded("actions", stream, batch_id, lambda: self._actions(batch, sequences, years))
         in_years = F.col("fy_start").isin(years)
         scope = batch.select("company_id", "fy_start").distinct()
-        merged = V.merge(self.versions().where(in_years), actions, scope, batch_id + 1).distinct()
+        merged = V.merge(self.versions().where(in_years), actions, scope, F.col("seq")).distinct()
         self._replace(merged, "versions", "fy_start")
 
         fresh = actions.where("action IN ('added', 'changed')").select(*V.KEY, F.col("new_hash").alias("content_hash"))
@@ -90,16 +105,24 @@ class Landing:
         kept = self.vouchers().where(in_years).join(fresh.select(*V.KEY), V.KEY, "left_anti")
         self._replace(kept.unionByName(rows), "vouchers", "fy_start")
 
-        months = V.affected_months(actions)
-        touched = self.vouchers().where(in_years).withColumn("month", F.trunc("voucher_date", "MM"))
-        redo = touched.join(months.select("month").distinct(), "month", "left_semi").drop("month")
-        if not months.isEmpty():
-            # A month partition holds all companies; those of other years' batches are kept.
-            wanted = months.select("month").distinct()
-            others = self.movements().join(wanted, "month", "left_semi").join(
-                redo.select("company_id", F.trunc("voucher_date", "MM").alias("month")).distinct(), ["company_id", "month"], "left_anti"
-            )
-            self._replace(others.unionByName(L.monthly_movements(redo)), "movements", "month")
+        touched = stage(V.affected_months(actions), "landing_months")
+        if touched.isEmpty():
+            return
+        # A month partition holds all companies: those not touched are kept as they are, touched ones are
+        # summed anew. A month that loses its last voucher keeps a row without account, so that its
+        # partition is written too.
+        redo = self.vouchers().where(in_years).withColumn("month", F.trunc("voucher_date", "MM")).join(touched, ["company_id", "month"], "left_semi")
+        others = self.movements().join(touched.select("month").distinct(), "month", "left_semi").join(touched, ["company_id", "month"], "left_anti")
+        marks = touched.select("company_id", "month", F.lit(None).cast("int").alias("account"), F.lit(0).cast("bigint").alias("amount"))
+        self._replace(others.unionByName(L.monthly_movements(redo.drop("month"))).unionByName(marks), "movements", "month")
+
+    @staticmethod
+    def _typed(batch: DataFrame) -> list:
+        """The columns of the voucher table; row fields that a delivery lacks are null."""
+        given = {f.name for f in batch.schema["rows"].dataType.elementType}
+        field = lambda r, f: (r[f.name] if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name)
+        rows = F.transform("rows", lambda r: F.struct(*[field(r, f) for f in ROW])).alias("rows")
+        return [*(F.col(f.name) for f in VOUCHERS if f.name != "rows"), rows]
 
 
 def stream(spark: SparkSession, source: str, root: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
@@ -107,10 +130,10 @@ def stream(spark: SparkSession, source: str, root: str, checkpoint: str, max_fil
     landing = Landing(spark, root)
     return (
         spark.readStream.format("parquet")
-        .schema(VOUCHER_SCHEMA)
+        .schema(VOUCHERS)
         .option("maxFilesPerTrigger", max_files)
         .load(source)
-        .writeStream.foreachBatch(landing.merge)
+        .writeStream.foreachBatch(lambda batch, n: landing.merge(batch, n, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

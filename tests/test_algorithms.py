@@ -239,12 +239,50 @@ def test_landing_is_incremental_and_idempotent(spark, tmp_path):
 
     for part in (one, two, two):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
-        stream(spark, src, root, cp).awaitTermination()
+        query = stream(spark, src, root, cp)
+        query.awaitTermination()
     land = Landing(spark, root)
     got = {(r.month.year, r.month.month, r.account): r.amount for r in land.movements().collect()}
     assert got == {(2026, 1, 1930): 100, (2026, 1, 3001): -100, (2026, 2, 1930): 60, (2026, 2, 3001): -60, (2025, 2, 1930): 7, (2025, 2, 3001): -7}
     versions = sorted((r.number, r.valid_from, r.valid_to) for r in land.versions().collect())
     assert versions == [("1", 1, None), ("2", 1, 2), ("2", 2, None), ("3", 2, None)]
     batch = spark.createDataFrame(two, SCHEMA)
-    land.merge(batch, 1)  # a batch repeated after a failure
+    land.merge(batch, 1, query.id)  # a batch repeated after a failure
     assert sorted((r.number, r.valid_from, r.valid_to) for r in land.versions().collect()) == versions
+
+
+def test_landing_loses_and_doubles_nothing(spark, tmp_path):
+    from ledgerloom.streaming.landing import Landing
+
+    src, root = (str(tmp_path / n) for n in ("src", "root"))
+    first = [_v("", D(2026, 1, 5), [(1930, 100), (3001, -100)]), _v(2, D(2026, 1, 6), [(1930, 40), (3001, -40)], company="2")]
+    spark.createDataFrame(first, SCHEMA).coalesce(1).write.parquet(src)
+    stream(spark, src, root, str(tmp_path / "cp1")).awaitTermination()
+    land = Landing(spark, root)
+    bodies = land.vouchers().collect()
+    assert len(bodies) == 2 and any(r.number.startswith("h:") for r in bodies)  # a voucher without a number has a body
+    moved = [_v(2, D(2026, 2, 6), [(1930, 40), (3001, -40)], company="2")]
+    src2 = str(tmp_path / "src2")
+    spark.createDataFrame(moved, SCHEMA).coalesce(1).write.parquet(src2)
+    stream(spark, src2, root, str(tmp_path / "cp2")).awaitTermination()  # another stream's first batch
+    got = {(r.company_id, r.month.month, r.account): r.amount for r in land.movements().collect()}
+    assert got == {("1", 1, 1930): 100, ("1", 1, 3001): -100, ("2", 2, 1930): 40, ("2", 2, 3001): -40}
+    versions = {(r.company_id, r.valid_from, r.valid_to) for r in land.versions().collect()}
+    assert versions == {("1", 1, None), ("2", 1, 2), ("2", 2, None)}
+
+
+def test_landing_sees_a_changed_cost_centre(spark, tmp_path):
+    from ledgerloom.schema import VOUCHERS
+    from ledgerloom.streaming.landing import Landing
+
+    land = Landing(spark, str(tmp_path / "root"))
+
+    def deliver(batch_id, unit):
+        row = (5010, 100, None, None, None, [("1", unit)], "normal", 1)
+        land.merge(spark.createDataFrame([("1", D(2026, 1, 1), "A", "1", D(2026, 1, 5), None, "Hyra", [row])], VOUCHERS), batch_id, "s")
+
+    deliver(0, "10")
+    deliver(1, "10")
+    deliver(2, "20")
+    assert [r.rows[0].objects[0].obj for r in land.vouchers().collect()] == ["20"]
+    assert sorted((r.valid_from, r.valid_to) for r in land.versions().collect()) == [(1, 3), (3, None)]

@@ -58,9 +58,41 @@ def test_decode_prefers_plausible_swedish():
     assert SF.decode("﻿För".encode()) == "För"
 
 
-def test_delimiter():
-    assert SF.delimiter_of(["a;b;c", "1,5;2;3"]) == ";"
-    assert SF.delimiter_of(["a\tb", "1\t2"]) == "\t"
+def test_delimiter(spark):
+    texts = {"semi": ["a;b;c", "1,5;2;3"], "tab": ["a\tb", "1\t2"], "quoted": ['"a,b,c,d";e', '"f,g";h'], "late": ["x"] * 300 + ["a|b|c"] * 2, "none": ["x"]}
+    lines = spark.createDataFrame([(f, i, t) for f, ts in texts.items() for i, t in enumerate(ts)], "file string, line_no int, line string")
+    assert {r.file: r.delimiter for r in SF.delimiters(lines).collect()} == {"semi": ";", "tab": "\t", "quoted": ";", "late": "|"}
+
+
+def test_utf16_files_keep_their_kind(spark):
+    files = _files(spark, s=SIE_TEXT.encode("utf-16"), j='{"format": 1}'.encode("utf-16"), c="Vernr;Datum\n".encode("utf-16"), late=(" " * 9000 + "\n" + SIE_TEXT).encode())
+    assert {r.file: r.source_kind for r in SF.with_kind(files).collect()} == {"s": "sie", "j": "json", "c": "csv", "late": "sie"}
+    assert sie.read_sie(files.where("file = 's'").select("file", "content")).vouchers.count() == 3
+
+
+def test_every_bad_record_is_an_issue(spark):
+    text = (
+        "#FLAGGA 0\n#KONTO 1930 Bank\n#KONTO x Bad\n#IB 0 1930 abc\n#RES 0 x 5.00\n#PSALDO 0 202613 3001 {} 5.00\n#WHAT 1\n#WHAT 2\n{\n"
+        "#VER A 1 20261399\n{\n#TRANS 1930 {} 5.00\n}\n#VER A 2 20260101\n{\n#TRANS 1930 {} 0.00\n#KONTO 1931 Kassa\n}\n#VER A 3 20260102\n{\n#TRANS 1930 {} 0.00\n"
+    )
+    t = sie.read_sie(_files(spark, a=text).select("file", "content"))
+    codes = sorted((r.code, r.line_no) for r in t.issues.collect())
+    assert codes == sorted(
+        [("INVALID_RECORD", n) for n in (3, 4, 5, 6, 10)]
+        + [("UNKNOWN_LABEL", 7), ("UNEXPECTED_BRACE", 9), ("ORPHAN_TRANS", 12), ("UNCLOSED_VOUCHER", 17), ("UNEXPECTED_BRACE", 18), ("UNCLOSED_VOUCHER", 19), ("MISSING_RAR", None)],
+        key=lambda c: (c[0], c[1] or 0),
+    )
+    assert sorted(r.number for r in t.vouchers.collect()) == ["2", "3"]
+
+
+def test_late_header_wide_rows_and_missing_header(spark):
+    filler = "".join(f"Rad {i};;\n" for i in range(60))
+    wide = ";".join(["x"] * 230)
+    late = f"{filler}{wide};Vernr;Datum;Konto;Belopp\n{wide};A1;2026-01-05;1930;5\n{wide};A1;2026-01-05;3001;-5\n"
+    t = tabular.read_tabular(_files(spark, late=late, bare="bara text\noch mer\n", empty=b""), _known(spark))
+    v = t.vouchers.collect()
+    assert [(x.series, x.number, [(r.account, r.amount) for r in x.rows]) for x in v] == [("A", "1", [(1930, 500), (3001, -500)])]
+    assert sorted((r.file, r.code) for r in t.issues.collect()) == [("bare", "NO_HEADER"), ("empty", "NO_HEADER")]
 
 
 def test_sie_tables(spark):

@@ -62,13 +62,15 @@ def test_counterparties(spark):
         [("1", "", "Leverantörsfaktura Åkes Bygg AB nr 12345"), ("2", "Swish: Kiosken", "Diverse"), ("3", "", "Diverse utlägg"), ("4", "", "Telia Sverige AB 2026-01")],
         "company_id string, r_text string, v_text string",
     )
-    al = spark.createDataFrame([(None, "telia", "Telia Company"), ("4", "telia", "Telia Egen")], "company_id string, key string, canonical_name string")
-    got = {r.company_id: (r.cp_key, r.cp_confidence) for r in counterparty(read_text(read_text(rows, "r_text", "r_"), "v_text", "v_"), al).collect()}
+    al = spark.createDataFrame([(None, "telia", "Telia Company"), (None, "telia", "Telia Koncern"), ("4", "telia", "Telia Egen"), ("4", "telia", "Telia Egna")], "company_id string, key string, canonical_name string")
+    found = counterparty(read_text(read_text(rows, "r_text", "r_"), "v_text", "v_"), al).collect()
+    assert len(found) == 4  # aliases with the same key do not repeat rows
+    got = {r.company_id: (r.cp_key, r.cp_confidence) for r in found}
     assert got == {"1": ("akes bygg", 75), "2": ("kiosken", 75), "3": ("okänd motpart", 10), "4": ("telia egen", 98)}
 
 
 def test_masking_is_reversible(spark):
     text = "Kalle 640823-3234, kalle@ex.se och 070-123 45 67; kalle@ex.se igen, 640823-3235 är fel. Kalle!"
-    row = masking.mask(spark.createDataFrame([(text,)], "t string"), "t", ["Kalle"]).select("masked", masking.unmask(F.col("masked"), F.col("mapping")).alias("back")).first()
+    row = masking.mask(spark.createDataFrame([(text, ["Kalle", "K", None])], "t string, known array<string>"), "t", "known").select("masked", masking.unmask(F.col("masked"), F.col("mapping")).alias("back")).first()
     assert row.masked == "PERSON_1 PNR_1, EMAIL_1 och TEL_1; EMAIL_1 igen, 640823-3235 är fel. PERSON_1!"
     assert row.back == text
