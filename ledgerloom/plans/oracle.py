@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 LEDGER = """
 ord AS (
   SELECT CAST(c.c_nationkey AS VARCHAR) AS company_id, o.o_orderkey AS k, o.o_orderstatus AS st, c.c_name AS cname,
@@ -202,6 +204,12 @@ def pct_change(cur: str, prev: str) -> str:
     return half_up(f"(({cur}) - ({prev}))", f"abs({prev})")
 
 
+_CTE = re.compile(r"(\b\w+(?:\([\w, ]+\))?) AS \(\s*(?=SELECT|VALUES)")
+
+
 def query(body: str, *ctes: str) -> str:
-    """A complete statement: the derived ledger, further CTEs, and the final select."""
-    return "WITH RECURSIVE " + ",\n".join([LEDGER.strip(), *ctes]) + "\n" + body
+    """A complete statement: the derived ledger, further CTEs, and the final select.
+
+    Every CTE is materialised, so that the cost does not depend on how often one is used.
+    """
+    return _CTE.sub(r"\1 AS MATERIALIZED (", "WITH RECURSIVE " + ",\n".join([LEDGER.strip(), *ctes])) + "\n" + body

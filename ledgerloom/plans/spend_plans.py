@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.counterparty import GENERIC, SUFFIXES, counterparty, prefix_pattern
+from ledgerloom.functions.counterparty import _ACCENTED, _PLAIN, GENERIC, SUFFIXES, counterparty, prefix_pattern
 from ledgerloom.operators import spend as E
 from ledgerloom.plans import oracle as O
 from ledgerloom.plans.book import Book
@@ -125,7 +125,7 @@ _GEN = ", ".join(f"'{x}'" for x in GENERIC)
 
 
 def _words(x: str) -> str:
-    folded = f"translate(lower({x}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+    folded = f"translate(lower({x}), '{_ACCENTED}', '{_PLAIN}')"
     return f"[w for w in string_split_regex(trim(regexp_replace({folded}, '[^a-z0-9 ]+', ' ', 'g')), ' +') if w <> '' AND w NOT IN ({_SUF})]"
 
 
