@@ -60,7 +60,7 @@ CATALOG: dict[str, Rule] = {
         Rule("NEGATIVE_BANK", "balance", "MEDIUM", "CLIENT_SAFE"),
         Rule("RELATED_PARTY_RECEIVABLE", "company_law", "HIGH", "CLIENT_SAFE", {"min_amount": 100_000}, ("AB",), "2006-01-01"),
         Rule("EQUITY_BELOW_HALF_SHARE_CAPITAL", "company_law", "HIGH", "CLIENT_SAFE", {}, ("AB",), "2006-01-01"),
-        Rule("DUPLICATE_CANDIDATE", "pattern", "HIGH", "CLIENT_SAFE", {"min_amount": 100_000, "max_days": 14, "min_text_similarity": 0.8}),
+        Rule("DUPLICATE_CANDIDATE", "pattern", "HIGH", "CLIENT_SAFE", {"min_amount": 100_000, "max_days": 14, "min_text_similarity": 0.8, "similar": True}),
         Rule("LARGE_MANUAL_POSTING", "pattern", "MEDIUM", "INTERNAL", {"manual_series": ["A"], "days_before_end": 3, "min_amount": 10_000_000}),
         Rule("RAPID_REVERSAL", "pattern", "MEDIUM", "INTERNAL", {"max_days": 7, "min_amount": 500_000}),
         Rule("UNUSUAL_ACCOUNT_COMBINATION", "pattern", "LOW", "INTERNAL", {"min_history_months": 6, "min_amount": 1_000_000}),

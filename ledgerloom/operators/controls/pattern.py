@@ -124,6 +124,8 @@ def duplicate_candidate(ctx: Context) -> DataFrame:
     exact = finding(
         exact_duplicates(ctx.facts, p("min_amount"), p("max_days")), "DUPLICATE_CANDIDATE", severity=F.lit("HIGH"), variant=F.lit("exact"), **common
     )
+    if not p("similar"):
+        return exact
     similar = finding(
         similar_duplicates(ctx.facts, p("min_amount"), p("max_days"), p("min_text_similarity")),
         "DUPLICATE_CANDIDATE",

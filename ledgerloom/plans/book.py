@@ -6,6 +6,7 @@ first time a plan asks for them.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +25,8 @@ from ledgerloom.operators.voucher_facts import voucher_facts
 from ledgerloom.session import JOB_CONF, stage
 from ledgerloom.sources import demo
 
-CORE_CONTROLS = (
-    "UNBALANCED_VOUCHER",
-    "INPUT_VAT_RATIO",
-    "VAT_ACCOUNTS_NOT_CLEARED",
-    "OUTPUT_VAT_RATIO",
-    "SUSPENSE_ACCOUNT_BALANCE",
-    "LARGE_MANUAL_POSTING",
-    "RAPID_REVERSAL",
-    "AML_LARGE_CASH",
-)
+#: The lifecycle plans follow all controls; of duplicates the exact ones, which plain SQL can check.
+REVIEW_PARAMS = {"DUPLICATE_CANDIDATE": {"similar": False}}
 _BOOKS: dict[tuple[str, str], Book] = {}
 
 
@@ -156,8 +149,18 @@ class Book:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        """Findings of a core set of controls, the input of the lifecycle plans."""
-        return stage(run(self.context, list(CORE_CONTROLS)), "candidates")
+        """Findings of all controls, the input of the lifecycle plans."""
+        return stage(run(replace(self.context, params=REVIEW_PARAMS, changed=self.changed)), "candidates")
+
+    @cached_property
+    def approved(self) -> DataFrame:
+        """Months approved before the last import."""
+        return self.coverage.where("covered AND month <= DATE'2025-12-01' AND CAST(company_id AS INT) % 2 = 0").select("company_id", "month")
+
+    @cached_property
+    def changed(self) -> DataFrame:
+        """What the last import changed in approved months."""
+        return V.changed_months(V.changes(self.versions[3], 2, 3, self.approved))
 
     @cached_property
     def records(self) -> DataFrame:

@@ -76,7 +76,8 @@ def ctl_duplicate_similar(book: Book) -> DataFrame:
 
 
 def findings_all(book: Book) -> DataFrame:
-    return base.run(book.context).select(
+    """All findings of the review chain: every control, of duplicates the exact ones (``ctl_duplicate_similar`` has the others)."""
+    return book.candidates.select(
         "company_id", "review", "rule_code", "severity", "visibility", "period", "fingerprint", F.array_join("vouchers", ",").alias("vouchers"), "amount", "variant"
     )
 

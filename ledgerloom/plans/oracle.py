@@ -213,3 +213,12 @@ def query(body: str, *ctes: str) -> str:
     Every CTE is materialised, so that the cost does not depend on how often one is used.
     """
     return _CTE.sub(r"\1 AS MATERIALIZED (", "WITH RECURSIVE " + ",\n".join([LEDGER.strip(), *ctes])) + "\n" + body
+
+
+def inner(statement: str, *given: str) -> str:
+    """A statement of ``query`` as a subquery of another one that has the ledger and the CTEs ``given``."""
+    for shared in (query("", *given), query("")):
+        if statement.startswith(shared[:-1]):
+            rest = statement[len(shared) - 1 :]
+            return "WITH RECURSIVE " + rest[2:] if rest.startswith(",") else rest.lstrip()
+    return statement

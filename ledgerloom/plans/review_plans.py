@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from ledgerloom.operators import versions as V
 from ledgerloom.operators.controls import base, integrity
 from ledgerloom.operators.voucher_facts import content_hash
 from ledgerloom.plans import oracle as O
-from ledgerloom.plans.book import CORE_CONTROLS, Book
+from ledgerloom.plans.book import Book
 from ledgerloom.plans.control_plans import CONTROLS, MAT, VF, _flat
 from ledgerloom.plans.control_plans import SQL as CONTROL_SQL
 from ledgerloom.plans.explain_plans import _EXPL, _PW
@@ -61,20 +63,15 @@ def affected_months(book: Book) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("company_id", "seq", F.date_format("month", "yyyy-MM").alias("month"))
 
 
-def _approved(book: Book) -> DataFrame:
-    return book.coverage.where("covered AND month <= DATE'2025-12-01' AND CAST(company_id AS INT) % 2 = 0").select("company_id", "month")
-
-
 def ctl_changed_after_approval(book: Book) -> DataFrame:
-    changed = V.changed_months(V.changes(book.versions[3], 2, 3, _approved(book)))
-    ctx = base.Context(**{**book.context.__dict__, "changed": changed})
+    ctx = replace(book.context, changed=book.changed)
     return _flat(base.gate(integrity.changed_after_approval(ctx), ctx))
 
 
 def periods_to_review(book: Book) -> DataFrame:
     _ = book.versions
     latest = L.latest_data(book.coverage, book.movements)
-    return V.periods_to_review(book.coverage, latest, _approved(book), V.affected_months(book.actions[2])).select(
+    return V.periods_to_review(book.coverage, latest, book.approved, V.affected_months(book.actions[2])).select(
         "company_id", F.date_format("month", "yyyy-MM").alias("month")
     )
 
@@ -249,13 +246,16 @@ vi AS (SELECT *, k % 20 <> 0 AS i1, CASE WHEN k % 15 = 1 THEN h1 ELSE h0 END AS
 ver AS (SELECT company_id, number, vdate, x1 AS content_hash, 1 AS valid_from, CASE WHEN NOT i2 OR x2 <> x1 THEN 2 WHEN rng AND (NOT i3 OR x3 <> x1) THEN 3 END AS valid_to FROM vi WHERE i1
  UNION ALL SELECT company_id, number, vdate, x2, 2, CASE WHEN rng AND (NOT i3 OR x3 <> x2) THEN 3 END FROM vi WHERE i2 AND (NOT i1 OR x1 <> x2)
  UNION ALL SELECT company_id, number, vdate, x3, 3, NULL FROM vi WHERE i3 AND (NOT i2 OR x2 <> x3))"""
-_CODE_TO_KEY = {code: name for name, code in CONTROLS.items()}
+_CHANGED = """SELECT company_id, strftime(month, '%Y-%m') AS review, strftime(month, '%Y-%m') AS period, 'HIGH' AS severity, strftime(month, '%Y-%m') || '|' || CAST(sum(CAST(('0x' || substr(md5('B|' || number || '|' || kind), 1, 14)) AS BIGINT)) AS VARCHAR) AS key, '' AS vouchers,
+ '' AS accounts, CAST(NULL AS BIGINT) AS amount, CAST(count(*) AS VARCHAR) AS variant FROM (SELECT company_id, number, CASE WHEN NOT i2 THEN 'ADDED' WHEN NOT i3 THEN 'REMOVED' ELSE 'CHANGED' END AS kind, CAST(date_trunc('month', vdate) AS DATE) AS month FROM vi WHERE rng AND ((i2 <> i3) OR (i2 AND i3 AND x2 <> x3)) AND CAST(company_id AS INTEGER) % 2 = 0)
+ WHERE (company_id, month) IN (SELECT company_id, month FROM cov WHERE covered) GROUP BY company_id, month"""
+_DUPLICATE = f"""SELECT company_id, voucher_date[:7] AS review, voucher_date[:7] AS period, 'HIGH' AS severity, least(original, voucher) || '|' || greatest(original, voucher) AS key, original || ',' || voucher AS vouchers,
+ CAST(account AS VARCHAR) AS accounts, amount, 'exact' AS variant FROM ({O.inner(CONTROL_SQL['ctl_duplicate_exact'], VF)})"""
+_PARTS = {code: O.inner(CONTROL_SQL[name], VF) for name, code in CONTROLS.items()}
+_PARTS |= {"DUPLICATE_CANDIDATE": _DUPLICATE, "CHANGED_AFTER_APPROVAL": O.inner(O.query(_CHANGED, VER), VF)}
 _FIN = (
-    "fin0 AS ("
-    + " UNION ALL ".join(
-        f"SELECT '{c}' AS rule_code, '{base.CATALOG[c].visibility}' AS visibility, {i} AS rank, q.* FROM ({CONTROL_SQL[_CODE_TO_KEY[c]]}) q"
-        for i, c in enumerate(CORE_CONTROLS)
-    )
+    f"{VF},\nfin0 AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS rule_code, '{r.visibility}' AS visibility, {i} AS rank, q.* FROM ({_PARTS[c]}) q" for i, (c, r) in enumerate(base.CATALOG.items()))
     + """),
 fin1 AS (SELECT *, substr(sha256(rule_code || chr(31) || replace(key, '|', chr(31))), 1, 32) AS fp FROM fin0),
 fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, review, fp ORDER BY rank, vouchers, amount, variant) AS rk FROM fin1) WHERE rk = 1),
@@ -284,6 +284,7 @@ _FAM = "(VALUES " + ", ".join(f"('{f}', '{r}')" for f, rules in C.FAMILIES.items
 _ACT = "CASE rule_code " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(C.ACTION_ORDER)) + f" ELSE {len(C.ACTION_ORDER)} END"
 _HUBS = f"""op AS (SELECT * FROM rec WHERE status IN {_OPENS}),
 hb0 AS (SELECT company_id, fp, rule_code, 'v|' || (visibility = 'RESTRICTED_AML') || '|' || u AS hub, false AS mixed FROM (SELECT *, unnest(string_split(vouchers, ',')) AS u FROM op WHERE vouchers <> '')
+ UNION ALL SELECT company_id, fp, rule_code, 'r|' || rule_code || '|' || period, false FROM op WHERE rule_code IN {C.SAME_RULE} AND visibility <> 'RESTRICTED_AML'
  UNION ALL SELECT company_id, fp, rule_code, 'f|' || family || '|' || period || '|' || a, true FROM (SELECT op.*, fm.family, unnest(CASE WHEN fm.family IN ('vat', 'payroll') THEN ['-1'] WHEN accounts = '' THEN [] ELSE string_split(accounts, ',') END) AS a
   FROM op JOIN {_FAM} ON fm.rule = op.rule_code WHERE visibility <> 'RESTRICTED_AML')),
 hb AS (SELECT DISTINCT h.company_id, h.company_id || ':' || fp AS id, h.company_id || ':' || h.hub AS hub FROM hb0 h JOIN (SELECT company_id, hub FROM hb0 GROUP BY 1, 2 HAVING count(*) > 1 AND (NOT bool_or(mixed) OR min(rule_code) <> max(rule_code))) k USING (company_id, hub)),
@@ -357,12 +358,7 @@ SQL = {
  UNION ALL SELECT company_id, vdate, 3 FROM vi WHERE rng AND ((i2 <> i3) OR (i2 AND i3 AND x2 <> x3)))""",
         VER,
     ),
-    "ctl_changed_after_approval": O.query(
-        """SELECT company_id, strftime(month, '%Y-%m') AS review, strftime(month, '%Y-%m') AS period, 'HIGH' AS severity, strftime(month, '%Y-%m') || '|' || CAST(sum(CAST(('0x' || substr(md5('B|' || number || '|' || kind), 1, 14)) AS BIGINT)) AS VARCHAR) AS key, '' AS vouchers,
- '' AS accounts, CAST(NULL AS BIGINT) AS amount, CAST(count(*) AS VARCHAR) AS variant FROM (SELECT company_id, number, CASE WHEN NOT i2 THEN 'ADDED' WHEN NOT i3 THEN 'REMOVED' ELSE 'CHANGED' END AS kind, CAST(date_trunc('month', vdate) AS DATE) AS month FROM vi WHERE rng AND ((i2 <> i3) OR (i2 AND i3 AND x2 <> x3)) AND CAST(company_id AS INTEGER) % 2 = 0)
- WHERE (company_id, month) IN (SELECT company_id, month FROM cov WHERE covered) GROUP BY company_id, month""",
-        VER,
-    ),
+    "ctl_changed_after_approval": O.query(_CHANGED, VER),
     "periods_to_review": O.query(
         """SELECT DISTINCT w.company_id, strftime(w.month, '%Y-%m') AS month FROM (SELECT company_id, CAST(m - to_months(CAST(i AS INTEGER)) AS DATE) AS month FROM (SELECT x.company_id, max(x.month) AS m FROM mm x JOIN cov c ON c.company_id = x.company_id AND c.month = x.month AND c.covered GROUP BY 1), range(3) t(i)
  UNION SELECT company_id, CAST(date_trunc('month', vdate) AS DATE) FROM vi WHERE rng AND ((i2 <> i3) OR (i2 AND i3 AND x2 <> x3))) w JOIN cov c ON c.company_id = w.company_id AND c.month = w.month AND c.covered
@@ -374,6 +370,7 @@ SQL = {
  CASE WHEN efp IS NULL AND mute IS NOT NULL THEN 'Undertryckt: ' || mute WHEN outcome = 'auto_closed' THEN 'Försvann ur bokföringen (troligen rättat).' END AS resolution_note FROM rec""",
         _FIN,
     ),
+    "findings_all": O.query("SELECT company_id, review, rule_code, severity, visibility, period, fp AS fingerprint, vouchers, amount, variant FROM fin", _FIN),
     "rule_precision": O.query(
         """SELECT *, CASE WHEN actioned + not_actioned > 0 THEN actioned * 10000 // (actioned + not_actioned) END AS precision FROM (SELECT rule_code, count(*) AS total, count(*) FILTER (status IN ('RESOLVED', 'ASK_CLIENT')) AS actioned,
  count(*) FILTER (status IN ('ACCEPTED_OK', 'SUPPRESSED')) AS not_actioned, count(*) FILTER (status IN ('NEW', 'IN_PROGRESS')) AS open FROM rec GROUP BY 1)""",
@@ -426,25 +423,25 @@ pst AS (SELECT m.company_id, strftime(m.month, '%Y-%m') AS period, m.pbook IS NO
  FROM mat2 m LEFT JOIN oi ON oi.company_id = m.company_id AND oi.period = strftime(m.month, '%Y-%m'))"""
 SQL |= {
     "period_status": O.query(
-        "SELECT company_id, period, CASE WHEN prel THEN 'PRELIMINARY' WHEN n_open > 0 THEN 'NEEDS_REVIEW' ELSE 'REVIEWED' END AS status, n_open, n_high FROM pst", VF, MAT, _FIN, _PS
+        "SELECT company_id, period, CASE WHEN prel THEN 'PRELIMINARY' WHEN n_open > 0 THEN 'NEEDS_REVIEW' ELSE 'REVIEWED' END AS status, n_open, n_high FROM pst", _FIN, MAT, _PS
     ),
     "approval_gate": O.query(
         """SELECT c.company_id, strftime(c.month, '%Y-%m') AS period, CASE WHEN p.company_id IS NULL THEN 'not_reviewed' WHEN (p.n_high > 0 OR p.prel) AND month(c.month) % 4 <> 0 THEN 'blocked' ELSE 'approved' END AS result
  FROM cov c LEFT JOIN pst p ON p.company_id = c.company_id AND p.period = strftime(c.month, '%Y-%m') WHERE c.month BETWEEN DATE '2026-01-01' AND DATE '2026-12-01'""",
-        VF, MAT, _FIN, _PS,
+        _FIN, MAT, _PS,
     ),
     "portfolio": O.query(
-        f"""SELECT company_id, name, open_high, open_medium, open_low, margin_change, CAST(h + m + l + mg + st + md + ce + uq + pr AS BIGINT) AS score,
- concat_ws(',', CASE WHEN h > 0 THEN 'high' END, CASE WHEN m > 0 THEN 'medium' END, CASE WHEN l > 0 THEN 'low' END, CASE WHEN mg > 0 THEN 'margin_drop' END, CASE WHEN st > 0 THEN 'stale_review' END, CASE WHEN md > 0 THEN 'missing_data' END,
+        f"""SELECT company_id, name, open_high, open_medium, open_low, margin_change, CAST(h + m + l + ca + mg + st + md + ce + uq + pr AS BIGINT) AS score,
+ concat_ws(',', CASE WHEN h > 0 THEN 'high' END, CASE WHEN m > 0 THEN 'medium' END, CASE WHEN l > 0 THEN 'low' END, CASE WHEN ca > 0 THEN 'changed_after_approval' END, CASE WHEN mg > 0 THEN 'margin_drop' END, CASE WHEN st > 0 THEN 'stale_review' END, CASE WHEN md > 0 THEN 'missing_data' END,
   CASE WHEN ce > 0 THEN 'connection_error' END, CASE WHEN uq > 0 THEN 'unanswered_question' END, CASE WHEN pr > 0 THEN 'preliminary' END) AS reasons FROM (
- SELECT *, open_high * 10 AS h, open_medium * 3 AS m, least(open_low, 10) AS l, CASE WHEN margin_change <= -50 THEN 8 ELSE 0 END AS mg, CASE WHEN n % 3 = 0 OR n * 3 > 35 THEN 5 ELSE 0 END AS st, CASE WHEN latest IS NULL OR latest < DATE '2028-10-01' THEN 10 ELSE 0 END AS md,
+ SELECT *, open_high * 10 AS h, open_medium * 3 AS m, least(open_low, 10) AS l, CASE WHEN changed THEN 15 ELSE 0 END AS ca, CASE WHEN margin_change <= -50 THEN 8 ELSE 0 END AS mg, CASE WHEN n % 3 = 0 OR n * 3 > 35 THEN 5 ELSE 0 END AS st, CASE WHEN latest IS NULL OR latest < DATE '2028-10-01' THEN 10 ELSE 0 END AS md,
   CASE WHEN n % 11 = 5 THEN 10 ELSE 0 END AS ce, n % 4 * 3 AS uq, CASE WHEN prel THEN 2 ELSE 0 END AS pr FROM (
- SELECT CAST(n_nationkey AS VARCHAR) AS company_id, n_nationkey AS n, n_name AS name, coalesce(oh, 0) AS open_high, coalesce(om, 0) AS open_medium, coalesce(ol, 0) AS open_low, lt.latest, coalesce(lp.prel, false) AS prel, a.value - b.value AS margin_change FROM nation
- LEFT JOIN (SELECT company_id, count(*) FILTER (severity = 'HIGH') AS oh, count(*) FILTER (severity = 'MEDIUM') AS om, count(*) FILTER (severity = 'LOW') AS ol FROM rec WHERE status IN {_OPENS} AND visibility <> 'RESTRICTED_AML' GROUP BY 1) o ON o.company_id = CAST(n_nationkey AS VARCHAR)
+ SELECT CAST(n_nationkey AS VARCHAR) AS company_id, n_nationkey AS n, n_name AS name, coalesce(oh, 0) AS open_high, coalesce(om, 0) AS open_medium, coalesce(ol, 0) AS open_low, coalesce(o.changed, false) AS changed, lt.latest, coalesce(lp.prel, false) AS prel, a.value - b.value AS margin_change FROM nation
+ LEFT JOIN (SELECT company_id, count(*) FILTER (severity = 'HIGH') AS oh, count(*) FILTER (severity = 'MEDIUM') AS om, count(*) FILTER (severity = 'LOW') AS ol, bool_or(rule_code = 'CHANGED_AFTER_APPROVAL') AS changed FROM rec WHERE status IN {_OPENS} AND visibility <> 'RESTRICTED_AML' GROUP BY 1) o ON o.company_id = CAST(n_nationkey AS VARCHAR)
  LEFT JOIN (SELECT x.company_id, max(x.month) AS latest FROM mm x JOIN cov c ON c.company_id = x.company_id AND c.month = x.month AND c.covered GROUP BY 1) lt ON lt.company_id = CAST(n_nationkey AS VARCHAR)
  LEFT JOIN (SELECT company_id, last(prel ORDER BY period) AS prel FROM pst GROUP BY 1) lp ON lp.company_id = CAST(n_nationkey AS VARCHAR)
  LEFT JOIN (SELECT * FROM fig WHERE metric = 'operating_margin' AND status = 'CALCULATED') a ON a.company_id = CAST(n_nationkey AS VARCHAR) AND a.period = 'R12:' || strftime(lt.latest, '%Y-%m')
  LEFT JOIN (SELECT * FROM fig WHERE metric = 'operating_margin' AND status = 'CALCULATED') b ON b.company_id = CAST(n_nationkey AS VARCHAR) AND b.period = 'R12:' || strftime(lt.latest - INTERVAL 12 MONTH, '%Y-%m')))""",
-        VF, MAT, _FIN, _PS, O.periods_cte("rolling"), FIG,
+        _FIN, MAT, _PS, O.periods_cte("rolling"), FIG,
     ),
 }
