@@ -48,9 +48,9 @@ def _field(i: Column | int) -> Column:
     return let(token, lambda t: F.when(~t.startswith("{"), _unquote(t)))
 
 
-def records(files: DataFrame) -> DataFrame:
-    """Tokenised records with their label and the line of the voucher they belong to."""
-    lines = to_lines(files).withColumn("line", F.trim("line")).where("line <> ''")
+def records(lines: DataFrame) -> DataFrame:
+    """Tokenised records of lines (file, line_no, line), with their label and the line of the voucher they belong to."""
+    lines = lines.withColumn("line", F.trim("line")).where("line <> ''")
     rec = lines.withColumn("tokens", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).withColumn(
         "label", F.when(F.col("line").startswith("#"), F.upper(F.get("tokens", F.lit(0)))).otherwise(F.when(F.col("line").isin("{", "}"), F.col("line")))
     )
@@ -109,7 +109,12 @@ def _rows(rec: DataFrame) -> DataFrame:
 
 def read_sie(files: DataFrame) -> SieTables:
     """``files``: file, content (see ``sources.files``)."""
-    rec = records(files)
+    return parse_lines(to_lines(files))
+
+
+def parse_lines(lines: DataFrame) -> SieTables:
+    """``lines``: file, line_no, line."""
+    rec = records(lines)
     first = lambda label, i=1: F.max_by(F.when(F.col("label") == label, _field(i)), F.when(F.col("label") == label, F.col("line_no")))
     head = rec.groupBy("file").agg(
         first("#FNAMN").alias("name"), first("#ORGNR").alias("org_number"), first("#VALUTA").alias("currency"), first("#SIETYP").alias("sie_type")
