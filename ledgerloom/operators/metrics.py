@@ -103,15 +103,16 @@ def key_figures(base: DataFrame, codes: tuple[str, ...] = tuple(METRICS), maturi
     """Long table: company, period, figure, unit, value, status.
 
     Status: INSUFFICIENT_DATA without coverage (or, for balance figures, without a complete
-    balance), NOT_APPLICABLE on a zero denominator, PARTIAL for accrual-sensitive figures of
-    companies that accrue little, else CALCULATED. ``maturity``: company_id, month, low.
+    balance), NOT_APPLICABLE on a zero denominator, PARTIAL for accrual-sensitive figures of single
+    months of companies that accrue little, else CALCULATED. ``maturity``: company_id, month,
+    low_periodization.
     """
     df = base
     low = F.lit(False)
     if maturity is not None:
         m = maturity.select("company_id", F.col("month").alias("end_month"), F.col("low_periodization").alias("low"))
         df = df.join(m, ["company_id", "end_month"], "left")
-        low = F.coalesce("low", F.lit(False))
+        low = F.coalesce("low", F.lit(False)) & (F.col("kind") == "month")
     entries = []
     for code in codes:
         unit, period_based, sensitive, _better = METRICS[code]

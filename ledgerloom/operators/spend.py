@@ -313,9 +313,10 @@ def exact_copies(vouchers: DataFrame, min_cost: int = 10_000) -> DataFrame:
     hash of the sorted rows, so a large group is only counted.
     """
     eff = F.filter("rows", lambda r: r["status"] != "removed")
-    spelled = F.array_join(
-        F.array_sort(F.transform(eff, lambda r: F.concat_ws(":", r["account"].cast("string"), r["amount"].cast("string"), r["status"]))), ";"
-    )
+    fields = {f.name for f in vouchers.schema["rows"].dataType.elementType}
+    more = [f for f in ("trans_date", "quantity", "objects") if f in fields]  # of ingested ledgers
+    line = lambda r: F.concat_ws(":", r["account"].cast("string"), r["amount"].cast("string"), r["status"], *[F.coalesce(r[f].cast("string"), F.lit("")) for f in more])
+    spelled = F.array_join(F.array_sort(F.transform(eff, line)), ";")
     cost = F.aggregate(
         F.filter(eff, lambda r: r["account"].between(4000, 7999)), F.lit(0).cast("bigint"), lambda a, r: a + r["amount"]
     )

@@ -11,6 +11,7 @@ from ledgerloom.operators import periods as P
 from ledgerloom.operators import statements as S
 from ledgerloom.plans import oracle as O
 from ledgerloom.plans.book import Book
+from ledgerloom.plans.control_plans import MAT, VF
 from ledgerloom.sources import demo
 
 YM = "yyyy-MM"
@@ -128,12 +129,12 @@ def balance_identity(book: Book) -> DataFrame:
 
 def key_figures(book: Book) -> DataFrame:
     inc = S.income_wide(book.periods("month", "ytd", "rolling"), book.monthly, book.coverage)
-    return M.key_figures(book.figure_base(inc))
+    return M.key_figures(book.figure_base(inc), maturity=book.maturity)
 
 
 def key_figure_change(book: Book) -> DataFrame:
     pairs = book.year_pairs("month", "ytd", "rolling")
-    figures = M.key_figures(book.figure_base(book.income_both(pairs)), M.CORE_METRICS)
+    figures = M.key_figures(book.figure_base(book.income_both(pairs)), M.CORE_METRICS, book.maturity)
     return M.figure_changes(pairs, figures).select(
         "company_id", "kind", "period", "compare", "metric", "value", "previous", "status", "previous_status", "change", "change_pct"
     )
@@ -231,6 +232,9 @@ fig AS (
     )
 ) + ")"
 
+_FIGP = """figp AS (SELECT f.* REPLACE (CASE WHEN f.status = 'CALCULATED' AND f.kind = 'month' AND m.low
+  AND f.metric IN ('operating_result', 'operating_margin', 'result_after_financial', 'profit_margin', 'ebitda', 'personnel_share', 'external_cost_share') THEN 'PARTIAL' ELSE f.status END AS status)
+ FROM fig f LEFT JOIN mat2 m ON m.company_id = f.company_id AND strftime(m.month, '%Y-%m') = f.period)"""
 _MN = "['jan','feb','mar','apr','maj','jun','jul','aug','sep','okt','nov','dec']"
 _SERIES = f"""anch AS (SELECT m.company_id, max(m.month) AS month FROM mm m JOIN cov c ON c.company_id = m.company_id AND c.month = m.month WHERE c.covered GROUP BY 1),
 ser AS (
@@ -296,17 +300,20 @@ FROM (SELECT vid, company_id, series, vdate, sum(amount) AS bal, sum(CASE WHEN a
  FROM bs b JOIN cmpl c ON c.company_id = b.company_id AND c.month = b.month"""),
     "balance_identity": "SELECT CAST(NULL AS VARCHAR) AS company_id, CAST(NULL AS VARCHAR) AS month, CAST(NULL AS BIGINT) AS gap WHERE false",
     "key_figures": O.query(
-        "SELECT f.* FROM fig f JOIN per ON per.company_id = f.company_id AND per.period = f.period", O.periods_cte("month", "ytd", "rolling"), FIG
+        "SELECT f.* FROM figp f JOIN per ON per.company_id = f.company_id AND per.period = f.period", VF, MAT, O.periods_cte("month", "ytd", "rolling"), FIG, _FIGP
     ),
     "key_figure_change": O.query(
         f"""SELECT x.company_id, x.kind, x.period, x.compare, a.metric, a.value, b.value AS previous, a.status, b.status AS previous_status,
- CASE WHEN a.status = 'CALCULATED' AND b.status = 'CALCULATED' THEN a.value - b.value END AS change,
- CASE WHEN a.status = 'CALCULATED' AND b.status = 'CALCULATED' AND a.unit = 'SEK' THEN {O.pct_change('a.value', 'b.value')} END AS change_pct
- FROM pair x JOIN fig a ON a.company_id = x.company_id AND a.period = x.period
- JOIN fig b ON b.company_id = x.company_id AND b.period = x.compare AND b.metric = a.metric
+ CASE WHEN a.status IN ('CALCULATED', 'PARTIAL') AND b.status IN ('CALCULATED', 'PARTIAL') THEN a.value - b.value END AS change,
+ CASE WHEN a.status IN ('CALCULATED', 'PARTIAL') AND b.status IN ('CALCULATED', 'PARTIAL') AND a.unit = 'SEK' THEN {O.pct_change('a.value', 'b.value')} END AS change_pct
+ FROM pair x JOIN figp a ON a.company_id = x.company_id AND a.period = x.period
+ JOIN figp b ON b.company_id = x.company_id AND b.period = x.compare AND b.metric = a.metric
  WHERE a.metric IN ('net_sales','operating_result','operating_margin','result_after_financial','gross_margin','personnel_share','equity_ratio','quick_ratio','cash')""",
+        VF,
+        MAT,
         O.periods_cte("month", "ytd", "rolling"),
         FIG,
+        _FIGP,
     ),
     "cost_tree": O.query(
         f"""SELECT company_id, period, compare, level, code, parent, amount, CASE WHEN code <> 'unmapped' THEN compare_amount END AS compare_amount,
