@@ -44,43 +44,42 @@ def round_related(ctx: Context) -> DataFrame:
     return _row_finding(_rows(ctx).where(R.RELATED_AML.on(F.col("account")) & big & even), "AML_ROUND_AMOUNTS_RELATED")
 
 
-def rapid_in_out_pairs(facts: DataFrame, min_amount: int, max_days: int, tolerance_pct: int) -> DataFrame:
-    """Inflows not from customers, with outflows not to suppliers of similar size soon after.
+def rapid_in_out_links(facts: DataFrame, min_amount: int, max_days: int, tolerance_pct: int) -> DataFrame:
+    """Inflows not from customers, with the nearest outflow not to a supplier of similar size soon after.
 
-    Joined on company, day and amount class (the inflow looks at its own and the neighbouring
-    classes), so only near matches meet; the exact tolerance is tested on those.
+    One row per inflow: the outflow of the earliest day, then of the closest amount, and the number of all
+    that match. Both sides are counted per company, day and amount before they meet, so a repeated amount
+    is one row; they meet on company, day and amount class (the inflow looks at its own and the
+    neighbouring classes), and the exact tolerance is tested on those.
     """
     flow = facts.where("NOT not_aml_flow").select("company_id", "month", "voucher", "voucher_date", "bank", "has_aml_customer", "has_aml_supplier")
     level = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(_CLASS))).cast("int")
     inflow = flow.where((F.col("bank") >= min_amount) & ~F.col("has_aml_customer")).select(
-        "company_id",
-        F.col("month"),
-        F.col("voucher").alias("in_voucher"),
-        F.col("voucher_date").alias("in_date"),
-        F.col("bank").alias("in_amount"),
-        F.explode(F.sequence(F.lit(0), F.lit(max_days))).alias("days"),
-        level(F.col("bank")).alias("lv"),
+        "company_id", "month", F.col("voucher").alias("in_voucher"), F.col("voucher_date").alias("in_date"), F.col("bank").alias("in_amount")
     )
-    inflow = inflow.select("*", F.explode(F.array(F.col("lv") - 1, F.col("lv"), F.col("lv") + 1)).alias("level")).withColumn(
-        "out_date", F.expr("date_add(in_date, days)")
+    key = ["company_id", "in_date", "in_amount"]
+    asked = (
+        inflow.select(*key)
+        .distinct()
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(max_days))).alias("days"))
+        .select("*", F.expr("date_add(in_date, days)").alias("out_date"), F.explode(F.array(*[level(F.col("in_amount")) + k for k in (-1, 0, 1)])).alias("level"))
     )
-    outflow = flow.where((F.col("bank") <= -min_amount) & ~F.col("has_aml_supplier")).select(
-        "company_id",
-        F.col("voucher").alias("out_voucher"),
-        F.col("voucher_date").alias("out_date"),
-        (-F.col("bank")).alias("out_amount"),
-        level(-F.col("bank")).alias("level"),
-    )
-    near = F.abs(F.col("out_amount") - F.col("in_amount")) * 100 <= F.col("in_amount") * tolerance_pct
-    return inflow.join(outflow, ["company_id", "out_date", "level"]).where(near).select(
-        "company_id", "month", "in_voucher", "in_date", "in_amount", "out_voucher", "out_date", "out_amount", "days"
+    outflow = (
+        flow.where((F.col("bank") <= -min_amount) & ~F.col("has_aml_supplier"))
+        .groupBy("company_id", F.col("voucher_date").alias("out_date"), (-F.col("bank")).alias("out_amount"))
+        .agg(F.count("*").alias("n"), F.min("voucher").alias("out_voucher"))
+        .withColumn("level", level(F.col("out_amount")))
     )
+    gap = F.abs(F.col("out_amount") - F.col("in_amount"))
+    near = asked.join(outflow, ["company_id", "out_date", "level"]).where(gap * 100 <= F.col("in_amount") * tolerance_pct)
+    best = near.groupBy(*key).agg(F.sum("n").alias("n_out"), F.min(F.struct("days", gap.alias("gap"), "out_voucher")).alias("out"))
+    return inflow.join(best, key).select("company_id", "month", "in_voucher", "in_date", "in_amount", "out.out_voucher", "out.days", "n_out")
 
 
 @control("AML_RAPID_IN_OUT")
 def rapid_in_out(ctx: Context) -> DataFrame:
     p = lambda n: ctx.param("AML_RAPID_IN_OUT", n)
-    hits = rapid_in_out_pairs(ctx.facts, p("min_amount"), p("max_days"), p("tolerance_pct"))
+    hits = rapid_in_out_links(ctx.facts, p("min_amount"), p("max_days"), p("tolerance_pct"))
     return finding(
         hits,
         "AML_RAPID_IN_OUT",
@@ -88,4 +87,5 @@ def rapid_in_out(ctx: Context) -> DataFrame:
         key=[F.col("in_voucher"), F.col("out_voucher")],
         vouchers=F.array("in_voucher", "out_voucher"),
         amount=F.col("in_amount"),
+        variant=F.col("n_out").cast("string"),
     )

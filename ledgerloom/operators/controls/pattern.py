@@ -66,8 +66,10 @@ def exact_duplicates(facts: DataFrame, min_amount: int, max_days: int) -> DataFr
 
 
 def similar_duplicates(facts: DataFrame, min_amount: int, max_days: int, min_ratio: float) -> DataFrame:
-    """Pairs with the same account and amount and a similar, not identical, text within the window.
+    """Vouchers with an earlier one of the same account and amount and a similar, not identical, text within the window.
 
+    One row per day and text: its nearest earlier partner (the later day, then the later voucher), and in
+    ``n_pairs`` the number of pairs of vouchers that it closes.
     Texts are reduced to distinct (day, text) groups, then matched on equal keys only: account,
     amount, a date bucket and a length class. Both bucketings are exact — a partner lies in the
     same or the neighbouring bucket, since a ratio of r bounds the length quotient by (2−r)/r.
@@ -105,14 +107,17 @@ def similar_duplicates(facts: DataFrame, min_amount: int, max_days: int, min_rat
         .where(2 * F.least("a_len", "b_len") >= min_ratio * (F.col("a_len") + F.col("b_len")))
         .where(bound >= min_ratio - 1e-9)
     )
-    return pairs.withColumn("ratio", text_ratio("a_norm", "b_norm")).where(F.col("ratio") >= min_ratio).select(
+    similar = pairs.withColumn("ratio", text_ratio("a_norm", "b_norm")).where(F.col("ratio") >= min_ratio)
+    nearest = F.max(F.struct("a_voucher_date", "a_voucher", "ratio")).alias("a")
+    linked = similar.groupBy(*keys, "b_norm", "b_voucher_date", "b_voucher").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("n_pairs"), nearest)
+    return linked.select(
         *keys,
-        F.col("a_voucher").alias("original"),
+        F.col("a.a_voucher").alias("original"),
         F.col("b_voucher").alias("voucher"),
         F.col("b_voucher_date").alias("voucher_date"),
-        F.datediff("b_voucher_date", "a_voucher_date").alias("days_apart"),
-        (F.col("a_n") * F.col("b_n")).alias("n_pairs"),
-        F.round("ratio", 2).alias("similarity"),
+        F.datediff("b_voucher_date", "a.a_voucher_date").alias("days_apart"),
+        "n_pairs",
+        F.round("a.ratio", 2).alias("similarity"),
     )
 
 

@@ -352,10 +352,10 @@ tr AS (SELECT w.company_id, w.month, l.label, coalesce(sum(CASE WHEN l.label = '
     "ctl_aml_cash": _sql(_f("p WHERE account BETWEEN 1910 AND 1919 AND abs(amount) >= 5000000", "series || number || '|' || account", v="series || number", a="CAST(account AS VARCHAR)", amt="amount")),
     "ctl_aml_round": _sql(_f("p WHERE (account BETWEEN 1360 AND 1369 OR account BETWEEN 1680 AND 1689 OR account BETWEEN 2390 AND 2399 OR account BETWEEN 2890 AND 2899) AND abs(amount) >= 5000000 AND amount % 1000000 = 0", "series || number || '|' || account", sev="'LOW'", v="series || number", a="CAST(account AS VARCHAR)", amt="amount")),
     "ctl_aml_in_out": _sql(
-        _f("io", "i || '|' || o", v="i || ',' || o", amt="amt"),
+        _f("io", "i || '|' || o", v="i || ',' || o", amt="amt", var="CAST(n AS VARCHAR)"),
         """fl AS (SELECT * FROM vf WHERE vid NOT IN (SELECT vid FROM tag WHERE tag IN ('customer_payment', 'payroll', 'tax_account'))),
-io AS (SELECT a.company_id, a.month, a.voucher AS i, b.voucher AS o, a.bank AS amt FROM fl a JOIN fl b ON b.company_id = a.company_id AND b.vdate - a.vdate BETWEEN 0 AND 5
- AND a.bank >= 10000000 AND NOT a.amlc AND b.bank <= -10000000 AND NOT b.amls AND abs(-b.bank - a.bank) * 100 <= a.bank * 5)""",
+io AS (SELECT a.company_id, a.month, a.vid, any_value(a.voucher) AS i, first(b.voucher ORDER BY b.vdate, abs(-b.bank - a.bank), b.voucher) AS o, any_value(a.bank) AS amt, count(*) AS n FROM fl a JOIN fl b ON b.company_id = a.company_id AND b.vdate - a.vdate BETWEEN 0 AND 5
+ AND a.bank >= 10000000 AND NOT a.amlc AND b.bank <= -10000000 AND NOT b.amls AND abs(-b.bank - a.bank) * 100 <= a.bank * 5 GROUP BY 1, 2, 3)""",
     ),
     "maturity": _sql(
         """SELECT company_id, strftime(month, '%Y-%m') AS month, CASE WHEN pbook IS NOT DISTINCT FROM false OR compl < 60 THEN 'PRELIMINARY' ELSE 'COMPLETE' END AS status, method AS accounting_method,

@@ -71,10 +71,17 @@ def test_duplicates_against_brute_force(spark):
     assert days.agg(F.sum("n_pairs")).first()[0] == exact
     sim = pattern.similar_duplicates(facts, 100_000, 14, 0.8).collect()
     by_key = {v[2] + v[3]: (v[4], v[6]) for v in given}
-    got = {(*by_key[r.original], *by_key[r.voucher]) for r in sim}
-    # one row per pair of (day, text) groups, oriented by date then voucher
-    unordered = lambda s: {tuple(sorted([(a, b), (c, d)])) for a, b, c, d in s}
-    assert unordered(got) == unordered(similar)
+    # one row per (day, text) group that has an earlier similar one, linked to the nearest of them
+    first = {}
+    for d, k, t in items:
+        first.setdefault((d, t), k)
+    want = set()
+    for (d2, t2), k2 in first.items():
+        before = [(d1, k1) for (d1, t1), k1 in first.items() if (d1, k1) < (d2, k2) and (d2 - d1).days <= 14 and t1 != t2 and SequenceMatcher(None, t1, t2).ratio() >= 0.8]
+        if before:
+            want.add((max(before)[1], k2))
+    assert {(r.original, r.voucher) for r in sim} == want and len(sim) == len(want)
+    assert all(by_key[r.voucher][0] == r.voucher_date for r in sim) and similar
     assert sum(r.n_pairs for r in sim) == sum(
         1
         for (d1, _k1, t1), (d2, _k2, t2) in itertools.combinations(items, 2)
