@@ -343,10 +343,10 @@ def balance_at(vouchers: DataFrame, movements: DataFrame, coverage: DataFrame, o
         F.explode(F.expr("CASE WHEN month > fy_start THEN sequence(trunc(fy_start, 'MM'), add_months(month, -1), interval 1 month) END")).alias("month"),
     )
     whole = movements.where("account < 3000").join(full, ["company_id", "month"]).select("company_id", "at", "account", "amount")
-    rows = vouchers.select("company_id", "voucher_date", F.trunc("voucher_date", "MM").alias("month"), F.explode("rows").alias("r"))
+    rows = vouchers.select("company_id", "fy_start", "voucher_date", F.trunc("voucher_date", "MM").alias("month"), F.explode("rows").alias("r"))
     part = (
         rows.where("r.status <> 'removed' AND r.account < 3000")
-        .join(span.select("company_id", "month", "at"), ["company_id", "month"])
+        .join(span.select("company_id", "fy_start", "month", "at"), ["company_id", "fy_start", "month"])
         .where("voucher_date <= at")
         .select("company_id", "at", F.col("r.account").alias("account"), F.col("r.amount").alias("amount"))
     )
@@ -389,6 +389,10 @@ def unmapped_accounts(vouchers: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
+#: Months of the longest fiscal year.
+LONGEST_YEAR = 18
+
+
 def transactions(
     vouchers: DataFrame,
     *,
@@ -403,10 +407,14 @@ def transactions(
     p = postings(vouchers)
     if account is not None:
         p = p.where(F.col("account") == account)
+    # A date lies in a fiscal year that began by then, at most LONGEST_YEAR months before: tables laid out
+    # by fiscal year skip the others.
     if start is not None:
-        p = p.where(F.col("voucher_date") >= F.lit(start).cast("date"))
+        first = F.lit(start).cast("date")
+        p = p.where((F.col("voucher_date") >= first) & (F.col("fy_start") > F.add_months(first, -LONGEST_YEAR)))
     if end is not None:
-        p = p.where(F.col("voucher_date") <= F.lit(end).cast("date"))
+        last = F.lit(end).cast("date")
+        p = p.where((F.col("voucher_date") <= last) & (F.col("fy_start") <= last))
     if text:
         needle = F.lit(text.lower())
         p = p.where(F.contains(F.lower("voucher_text"), needle) | F.contains(F.lower("row_text"), needle))
@@ -430,7 +438,7 @@ def registered_late(vouchers: DataFrame, since: str, limit: int = 30) -> DataFra
     """Vouchers registered on or after a day but dated before it."""
     day = F.lit(since).cast("date")
     return (
-        vouchers.where((F.col("reg_date") >= day) & (F.col("voucher_date") < day))
+        vouchers.where((F.col("reg_date") >= day) & (F.col("voucher_date") < day) & (F.col("fy_start") < day))
         .select("company_id", "series", "number", "voucher_date", "reg_date")
         .orderBy("reg_date", "voucher_date", "company_id", "series", "number")
         .limit(limit)

@@ -57,14 +57,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[context.applicationId]
 
 
-def stage(df: DataFrame, name: str, even: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, even: bool = False, by: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Used where one intermediate table feeds many branches or an iteration: the written table
     survives lost executors, keeps column pruning and gives the planner real sizes. ``even`` lets
-    AQE split and merge the output into even files, for tables that skewed joins feed.
+    AQE split and merge the output into even files, for tables that skewed joins feed. ``by``
+    partitions the table by a column of few values, so that filters on it skip files; within files
+    rows are sorted by ``order``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    (df.hint("rebalance") if even else df).write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    laid = df.hint("rebalance", by) if by else df.hint("rebalance") if even else df
+    if by or order:
+        laid = laid.sortWithinPartitions(*([by] if by else []), *order)
+    writer = laid.write.mode("errorifexists")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

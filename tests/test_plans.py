@@ -44,6 +44,13 @@ def test_statement_rows_stay_on_the_jvm_and_prune(spark):
     assert "Python" not in plan and "l_discount" not in plan and "c_name" not in plan
 
 
+def test_date_filters_skip_fiscal_years(spark, book):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (L.transactions(book.vouchers, start="2024-01-01", end="2025-06-30"), L.registered_late(book.vouchers, "2025-03-01")):
+        filters = [line for line in plan(df).splitlines() if "PartitionFilters" in line]
+        assert filters and all("fy_start" in line.split("PartitionFilters")[1].split("]")[0] for line in filters)
+
+
 def test_overrides_company_before_firm(spark):
     o = spark.createDataFrame([(None, "statement", 5010, "materials"), ("2", "statement", 5010, "personnel")], "company_id string, kind string, account int, target string")
     m = spark.createDataFrame([(c, D(2026, 1, 1), 5010, 100) for c in ("1", "2")], "company_id string, month date, account int, amount bigint")
