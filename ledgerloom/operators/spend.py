@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import money
 from ledgerloom.functions.counterparty import UNKNOWN, counterparty, read_text
 from ledgerloom.functions.ranges import EXTERNAL_SPEND, Accounts, cost_category
+from ledgerloom.session import stage
 
 
 def text_spend(vouchers: DataFrame, accounts: Accounts = EXTERNAL_SPEND) -> DataFrame:
@@ -114,9 +115,10 @@ def spend_rows(pairs: DataFrame, spend: DataFrame, coverage: DataFrame) -> DataF
         .withColumn("recurrence", recurrence(F.col("active"), F.col("n12")))
         .withColumn("annualized", F.when((F.col("recurrence") == "monthly") & (F.col("recent_n") > 0), F.expr(money.ratio_half_up("recent_sum * 12", "recent_n", 1))))
     )
-    gross = Window.partitionBy(*keys)
+    rows = stage(rows, "spend_rows")  # the totals below read it a second time
+    gross = rows.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("amount") > 0, F.col("amount"))), F.lit(0)).alias("gross"))
     return (
-        rows.withColumn("gross", F.coalesce(F.sum(F.when(F.col("amount") > 0, F.col("amount"))).over(gross), F.lit(0)))
+        rows.join(gross, keys)
         .withColumn("share", F.expr(f"CASE WHEN amount > 0 AND gross <> 0 THEN {money.ratio_half_even('amount', 'gross')} END"))
         .select(
             *keys,
@@ -154,18 +156,17 @@ def concentration(rows: DataFrame) -> DataFrame:
     """Totals, share of the 1, 5 and 10 largest counterparties and the recurring share, in 0.1 %."""
     keys = ["company_id", "period", "compare"]
     w = Window.partitionBy(*keys).orderBy(F.desc("amount"), "cp_key")
-    ranked = rows.withColumn("rk", F.row_number().over(w))
-    top = lambda n: F.coalesce(F.sum(F.when((F.col("rk") <= n) & (F.col("amount") > 0), F.col("amount"))), F.lit(0)).alias(f"s{n}")
     regular = F.col("recurrence").isin("monthly", "quarterly", "annual")
-    agg = ranked.groupBy(*keys).agg(
+    totals = rows.groupBy(*keys).agg(
         F.sum("amount").alias("total"),
         F.sum("compare_amount").alias("compare_total"),
         F.max("gross").alias("gross"),
-        top(1),
-        top(5),
-        top(10),
         F.coalesce(F.sum(F.when(regular, F.col("amount"))), F.lit(0)).alias("regular"),
     )
+    # Ranks up to ten are limited before the shuffle.
+    largest = rows.where("amount > 0").select(*keys, "cp_key", "amount").withColumn("rk", F.row_number().over(w)).where("rk <= 10")
+    top = lambda n: F.sum(F.when(F.col("rk") <= n, F.col("amount")).otherwise(0)).alias(f"s{n}")
+    agg = totals.join(largest.groupBy(*keys).agg(top(1), top(5), top(10)), keys, "left").fillna(0, ["s1", "s5", "s10"])
     pct = lambda c: F.expr(money.ratio_half_even(c, "gross"))
     return agg.select(
         *keys,

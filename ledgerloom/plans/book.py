@@ -117,6 +117,16 @@ class Book:
     def spend(self) -> DataFrame:
         return stage(E.spend_months(self.text_spend, self.aliases), "spend")
 
+    @cached_property
+    def quarter_spend(self) -> DataFrame:
+        """Spend rows of quarters against the year before."""
+        return stage(E.spend_rows(self.year_pairs("quarter"), self.spend, self.coverage), "quarter_spend")
+
+    @cached_property
+    def month_spend(self) -> DataFrame:
+        """Spend rows of months against the month before."""
+        return stage(E.spend_rows(self.month_pairs(), self.spend, self.coverage), "month_spend")
+
     @cached_property
     def maturity(self) -> DataFrame:
         return stage(U.maturity(self.facts, self.movements, self.coverage, self.balances), "maturity")

@@ -191,7 +191,7 @@ def recommended(book: Book) -> DataFrame:
 def finding_priorities(book: Book) -> DataFrame:
     """Pattern candidates of monthly pairs (recurring costs, same-day copies), ranked."""
     pairs = book.month_pairs()
-    rows = E.spend_rows(pairs, book.spend, book.coverage)
+    rows = book.month_spend
     months = pairs.select("company_id", "period", F.explode(F.expr("sequence(add_months(trunc(end, 'MM'), -11), trunc(end, 'MM'), interval 1 month)")).alias("month"))
     full = months.join(book.coverage.where("covered"), ["company_id", "month"]).groupBy("company_id", "period").agg(F.count("*").alias("n")).where("n = 12")
     recurring = E.recurring_changes(rows, full).select(*D.KEYS, F.lit("recurring_cost_change").alias("code"), F.concat(F.lit("confirmed-counterparty:"), "cp_key").alias("group_key"), "effect")

@@ -32,7 +32,7 @@ def counterparty_spend(book: Book) -> DataFrame:
 
 
 def spend_report(book: Book) -> DataFrame:
-    rows = E.spend_rows(_pairs(book), book.spend, book.coverage)
+    rows = book.quarter_spend
     return E.spend_listing(rows, "largest").select(
         "company_id", "period", "cp_key", "name", "confidence", "amount", "compare_amount", "diff", "share", "recurrence", "annualized", _join("accounts"),
         F.array_join("categories", ",").alias("categories"), "rank",
@@ -40,21 +40,21 @@ def spend_report(book: Book) -> DataFrame:
 
 
 def spend_new(book: Book) -> DataFrame:
-    rows = E.spend_rows(_pairs(book), book.spend, book.coverage)
+    rows = book.quarter_spend
     return E.spend_listing(rows, "new").select("company_id", "period", "cp_key", "amount", F.date_format("first_month", "yyyy-MM").alias("first_month"), "rank")
 
 
 def spend_disappeared(book: Book) -> DataFrame:
-    rows = E.spend_rows(_pairs(book), book.spend, book.coverage)
+    rows = book.quarter_spend
     return E.spend_listing(rows, "disappeared").select("company_id", "period", "cp_key", "compare_amount", "rank")
 
 
 def concentration(book: Book) -> DataFrame:
-    return E.concentration(E.spend_rows(_pairs(book), book.spend, book.coverage)).drop("compare")
+    return E.concentration(book.quarter_spend).drop("compare")
 
 
 def recurrence(book: Book) -> DataFrame:
-    rows = E.spend_rows(_pairs(book), book.spend, book.coverage)
+    rows = book.quarter_spend
     return rows.groupBy("company_id", "period", "recurrence").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
 
 
@@ -72,13 +72,13 @@ def _full_history(book: Book, pairs: DataFrame, n: int) -> DataFrame:
 
 def recurring_changes(book: Book) -> DataFrame:
     pairs = book.month_pairs()
-    rows = E.spend_rows(pairs, book.spend, book.coverage)
+    rows = book.month_spend
     return E.recurring_changes(rows, _full_history(book, pairs, 12)).select("company_id", "period", "compare", "cp_key", "kind", "effect", "recurrence", _join("accounts"))
 
 
 def frequency_changes(book: Book) -> DataFrame:
     pairs = book.month_pairs()
-    rows = E.spend_rows(pairs, book.spend, book.coverage)
+    rows = book.month_spend
     changes = E.recurring_changes(rows, _full_history(book, pairs, 12))
     return E.frequency_changes(changes, pairs, E.counterparty_vouchers(book.vouchers, book.aliases))
 
