@@ -91,6 +91,24 @@ def rule_precision(book: Book) -> DataFrame:
     return FI.rule_precision(book.records)
 
 
+def approval_snapshot(book: Book) -> DataFrame:
+    """Findings seen in each approved period, with the imports that the approval rests on."""
+    wanted = book.coverage.where("covered AND month BETWEEN DATE'2026-01-01' AND DATE'2026-12-01'").select("company_id", F.date_format("month", "yyyy-MM").alias("period"))
+    blocked = FI.approval_gate(FI.period_status(book.records, book.maturity), wanted.withColumn("override_note", F.lit("")))
+    approved = blocked.where("result = 'approved'").select("company_id", "period")
+    seq = F.max(F.coalesce("valid_to", "valid_from"))
+    latest = book.versions[3].groupBy("company_id", "fy_start").agg(seq.alias("seq"))
+    found = FI.approval_snapshot(approved, book.records, latest)
+    seqs = F.array_join(F.array_sort(F.transform(F.map_entries("fy_seqs"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    return found.select("company_id", "period", "fingerprint", "rule_code", "status", seqs.alias("fy_seqs"))
+
+
+def findings_listing(book: Book) -> DataFrame:
+    """Open findings of one period, most severe first."""
+    page = FI.listing(book.records, status=list(FI.OPEN), period="2025-06")
+    return page.select("company_id", "fingerprint", "rule_code", "severity", "period", "status")
+
+
 def _decided(book: Book) -> DataFrame:
     """Records with author, reason and time of the decision."""
     done = F.col("status").isin(*FI.REMEMBERED)
@@ -203,7 +221,7 @@ def finding_priorities(book: Book) -> DataFrame:
     return D.rank_candidates(cands).select(*D.KEYS, "code", "group_key", "effect", "score", "position", F.col("shown").cast("int").alias("shown"))
 
 
-def portfolio(book: Book) -> DataFrame:
+def _portfolio(book: Book) -> DataFrame:
     inc = S.income_wide(book.periods("rolling"), book.monthly, book.coverage)
     figures = M.key_figures(book.figure_base(inc), ("operating_margin",))
     latest = L.latest_data(book.coverage, book.movements)
@@ -223,8 +241,15 @@ def portfolio(book: Book) -> DataFrame:
         .withColumn("unanswered", cid % 4)
         .withColumn("preliminary", F.coalesce(F.col("last_status") == "PRELIMINARY", F.lit(False)))
     )
-    rows = PF.priorities(inputs, TODAY)
-    return rows.select("company_id", "name", "open_high", "open_medium", "open_low", "margin_change", "score", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("reasons"))
+    return PF.priorities(inputs, TODAY)
+
+
+def portfolio_counters(book: Book) -> DataFrame:
+    return PF.todo_counters(_portfolio(book))
+
+
+def portfolio(book: Book) -> DataFrame:
+    return _portfolio(book).select("company_id", "name", "open_high", "open_medium", "open_low", "margin_change", "score", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("reasons"))
 
 
 QUERIES = {
@@ -232,7 +257,7 @@ QUERIES = {
     for f in (
         voucher_hashes, voucher_versions, import_stats, voucher_snapshot, voucher_diff, affected_months, ctl_changed_after_approval,
         periods_to_review, source_fingerprint, reconcile_findings, rule_precision, memory_suggestions, cases, period_status, approval_gate,
-        decisions, differences, recommended, finding_priorities, portfolio,
+        decisions, differences, recommended, finding_priorities, portfolio, portfolio_counters, approval_snapshot, findings_listing,
     )
 }
 
@@ -445,3 +470,17 @@ SQL |= {
         _FIN, MAT, _PS, O.periods_cte("rolling"), FIG,
     ),
 }
+SQL |= {
+    "portfolio_counters": f"""SELECT count(*) FILTER (list_contains(r, 'missing_data')) AS missing_data, count(*) FILTER (open_high > 0) AS high_findings, count(*) FILTER (list_contains(r, 'changed_after_approval')) AS changed_after_approval,
+ count(*) FILTER (list_contains(r, 'connection_error')) AS connection_errors, CAST(sum(CAST(company_id AS INTEGER) % 4) AS BIGINT) AS unanswered_questions, count(*) FILTER (list_contains(r, 'margin_drop')) AS margin_drops
+ FROM (SELECT *, string_split(reasons, ',') AS r FROM ({SQL['portfolio']}))""",
+    "approval_snapshot": O.query(
+        """SELECT c.company_id, strftime(c.month, '%Y-%m') AS period, s.fp AS fingerprint, s.rule_code, s.status, q.fy_seqs
+ FROM cov c JOIN pst p ON p.company_id = c.company_id AND p.period = strftime(c.month, '%Y-%m') AND NOT (p.n_high > 0 OR p.prel)
+ LEFT JOIN (SELECT *, unnest(seen) AS per FROM rec) s ON s.company_id = c.company_id AND s.per = strftime(c.month, '%Y-%m')
+ LEFT JOIN (SELECT company_id, string_agg(strftime(fy, '%Y-%m-%d') || '=' || seq, ',' ORDER BY fy) AS fy_seqs FROM (SELECT company_id, CAST(date_trunc('year', vdate) AS DATE) AS fy, max(coalesce(valid_to, valid_from)) AS seq FROM ver GROUP BY 1, 2) GROUP BY 1) q ON q.company_id = c.company_id
+ WHERE c.covered AND c.month BETWEEN DATE '2026-01-01' AND DATE '2026-12-01'""",
+        _FIN, MAT, _PS, VER,
+    ),
+    "findings_listing": O.query(f"SELECT company_id, fp AS fingerprint, rule_code, severity, period, status FROM rec WHERE status IN {_OPENS} AND (period = '2025-06' OR list_contains(seen, '2025-06'))", _FIN),
+}
