@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -25,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import table, values
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE_CHARS = 32_768
+#: Rows whose tokens are held at once.
+ROWS = 256
 
 #: Only characters on whose class all versions of Unicode agree decide a cut.
 _SAFE = regex.compile(r"(?<=[\p{L}0-9!-/:-@\[-`{-~])(?=[ \n])|(?<=\p{L})(?=[0-9])|(?<=[0-9])(?=\p{L})")
@@ -63,46 +67,59 @@ def encode_text(enc: tiktoken.Encoding, text: str | None, size: int = PIECE_CHAR
     return [i for piece in pieces(text, size) for i in enc.encode_ordinary(piece)]
 
 
-def _with(df: DataFrame, column: str, kind: T.DataType, source: str, fn) -> DataFrame:
-    """``df`` with ``column`` = fn(values of ``source``), computed over Arrow batches."""
-    schema = T.StructType([f for f in df.schema if f.name.lower() != column.lower()] + [T.StructField(column, kind)])
-    names = [f.name for f in schema][:-1]
+def _listed(rows: Iterator[list[int]]) -> pa.Array:
+    """Token ids as an Arrow list column, held as 32-bit numbers from the start."""
+    flat, ends = array("i"), [0]
+    for ids in rows:
+        flat.extend(ids)
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32), pa.int32()))
+
+
+def _coded(df: DataFrame, source: str, outputs: dict[str, T.DataType], make) -> DataFrame:
+    """``df`` with the columns ``outputs``, which ``make`` gives from a piece of ``source``, over Arrow batches."""
+    taken = {c.lower() for c in outputs}
+    schema = T.StructType([*(f for f in df.schema if f.name.lower() not in taken), *(T.StructField(c, k) for c, k in outputs.items())])
+    kept = [f.name for f in schema][: -len(outputs)]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):  # keeps the tokens of few rows in memory at once
-                cut = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([*(cut.column(n) for n in names), fn(cut.column(source))], [*names, column])
+            for at in range(0, batch.num_rows, ROWS):
+                cut = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*(cut.column(n) for n in kept), *make(cut.column(source))], [*kept, *outputs])
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Adds ``ids``, the token ids of ``text`` under the rank file ``ranks``; every node needs the file."""
+def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids", decoded: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Adds ``ids``, the token ids of ``text`` under the rank file ``ranks``; every node needs the file.
 
-    def run(column: pa.Array) -> pa.Array:
+    With ``decoded``, also adds the bytes that the ids decode to, in the same pass.
+    """
+
+    def make(column: pa.Array) -> list[pa.Array]:
         enc = encoding(ranks, pattern)
-        return pa.array([encode_text(enc, t) for t in column.to_pylist()], pa.list_(pa.int32()))
+        out = _listed(encode_text(enc, t) for t in values(column))
+        return [out, _bytes(enc, out)] if decoded else [out]
 
-    return _with(df, ids, T.ArrayType(T.IntegerType()), text, run)
+    outputs = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {})
+    return _coded(df, text, outputs, make)
 
 
 def decode(df: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Adds ``out``, the raw bytes that ``ids`` stand for. Bytes need not be UTF-8, so they stay binary."""
+    return _coded(df, ids, {out: T.BinaryType()}, lambda column: [_bytes(encoding(ranks, pattern), column)])
 
-    def run(column: pa.Array) -> pa.Array:
-        enc = encoding(ranks, pattern)
-        return pa.array([enc.decode_bytes(x) if x else b"" for x in column.to_pylist()], pa.binary())
 
-    return _with(df, out, T.BinaryType(), ids, run)
+def _bytes(enc: tiktoken.Encoding, ids: pa.Array) -> pa.Array:
+    return pa.array((enc.decode_bytes(x) if x else b"" for x in values(ids)), pa.binary())
 
 
 def digests(docs: DataFrame, ranks: str) -> DataFrame:
     """One row per document: number of tokens, and digests of the ids and of the bytes they decode to."""
-    ids = encode(docs.select("doc_id", "text"), ranks).drop("text")
+    coded = encode(docs.select("doc_id", "text"), ranks, decoded="decoded")
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    coded = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"))
-    return decode(coded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

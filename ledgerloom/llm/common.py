@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import stage
 
-__all__ = ["batches_of", "keep_rows", "numbered", "row_hash", "stage", "table"]
+__all__ = ["batches_of", "keep_rows", "numbered", "row_hash", "stage", "table", "values"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def batches_of(rows: Iterable[tuple], schema: pa.Schema, max_rows: int = 4096, m
         yield _batch(held, schema)
 
 
+def values(column: pa.Array) -> Iterator:
+    """The values of a column one at a time, so that only one text is held besides the batch."""
+    return (x.as_py() for x in column)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

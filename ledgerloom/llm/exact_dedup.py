@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import batches_of, keep_rows, stage, table
+from ledgerloom.llm.common import batches_of, keep_rows, stage, table, values
 
 #: A bucket splits beyond so many distinct texts or so many bytes of them.
 BUCKET_TEXTS, BUCKET_BYTES = 50_000, 32 << 20
@@ -55,7 +55,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in values(batch.column("text")):
                 norm = _norm(text)
                 key, raw = xxhash.xxh64_intdigest(norm, 42), xxhash.xxh64_intdigest((text or "").encode(), 42)
                 rows.append((_signed(key), _signed(raw), hashlib.sha256(norm).digest(), len(norm)))
@@ -99,7 +99,7 @@ def _folded(docs: DataFrame, depth: int, entries: list[int]) -> DataFrame:
         seen: dict[bytes, int] = {}
         held = 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in values(batch.column("text")):
                 norm = _norm(text)
                 held += 0 if norm in seen else len(norm)
                 seen[norm] = seen.get(norm, 0) + 1
@@ -117,7 +117,7 @@ def _owned(texts: DataFrame) -> DataFrame:
 
     def each(batches):
         for batch in batches:
-            yield from zip(batch.column("bucket").to_pylist(), batch.column("key").to_pylist(), batch.column("norm").to_pylist(), batch.column("n").to_pylist(), strict=True)
+            yield from zip(*(values(batch.column(c)) for c in ("bucket", "key", "norm", "n")), strict=True)
 
     def rows(batches) -> Iterator[tuple]:
         for (bucket, key), found in groupby(each(batches), key=lambda r: r[:2]):

@@ -33,8 +33,8 @@ WINDOW, HIDDEN = 128, 8
 #: Size of the training sample: texts of a language, windows of a text.
 PER_LANGUAGE, PIECES = 300, 4
 EPOCHS, BATCH, RATE, SEED = 5, 128, 0.02, 7
-#: Windows read at a time by prediction.
-BLOCK = 2048
+#: Windows read at a time by prediction, and rows whose texts are held at once.
+BLOCK, ROWS = 2048, 512
 #: Fills windows; the byte never occurs in UTF-8.
 PAD = 255
 
@@ -276,8 +276,10 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = of(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, pred, score])
+            for at in range(0, batch.num_rows, ROWS):
+                cut = batch.slice(at, ROWS)
+                langs, scores = of(cut.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*cut.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, pred, score])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     given = docs.select(F.col("text").alias(f"{pred}_text"), *[F.col(f"`{c}`") for c in keep])

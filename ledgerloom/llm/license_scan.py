@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import table, values
 
 #: Base phrases: fixed values.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
@@ -217,7 +217,7 @@ def licenses(docs: DataFrame, covered: float = COVERED) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [one(text) for text in batch.column("text").to_pylist()]
+            found = [one(text) for text in values(batch.column("text"))]
             columns = [pa.array([r[k] for r in found], f.type) for k, f in enumerate(_FIELDS)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *_FIELDS.names])
 

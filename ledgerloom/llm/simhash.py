@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import batches_of, keep_rows, row_hash, stage, table
+from ledgerloom.llm.common import batches_of, keep_rows, row_hash, stage, table, values
 from ledgerloom.llm.components import components
 
 #: Production parameters: words in a shingle, hash seed, bits that linked fingerprints may differ in.
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t, shingle, seed) for t in values(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(found, pa.int64())], ["doc_id", "h", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
