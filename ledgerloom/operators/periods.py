@@ -262,3 +262,9 @@ def period_series(anchors: DataFrame, kind: str, count: int, fiscal_years: DataF
         ).withColumn("n_months", F.expr("CAST(months_between(trunc(end, 'MM'), trunc(start, 'MM')) AS INT) + 1"))
     spec = period_spec(F.col("kind"), F.col("start"), F.col("end"), F.col("n_months"))
     return rows.withColumn("period", spec).select("company_id", "anchor", "pos", "kind", "period", "start", "end", "n_months")
+
+
+def open_notices(periods: DataFrame, latest: DataFrame) -> DataFrame:
+    """Periods that reach beyond the company's data horizon, with it (``latest``: see ``ledger.latest_data``)."""
+    known = latest.where("horizon IS NOT NULL").select("company_id", "horizon")
+    return periods.join(known, "company_id").where(F.col("end") > F.col("horizon")).select("company_id", "kind", "period", "end", "horizon")

@@ -67,6 +67,12 @@ def data_horizon(book: Book) -> DataFrame:
     )
 
 
+def open_periods(book: Book) -> DataFrame:
+    """Notices on periods that are not over yet."""
+    found = P.open_notices(book.periods("quarter", "ytd", "fy", "rolling"), L.latest_data(book.coverage, book.movements))
+    return found.select("company_id", "kind", "period", F.col("end").cast("string").alias("end"), F.col("horizon").cast("string").alias("horizon"))
+
+
 def opening_balances(book: Book) -> DataFrame:
     known = book.basis.select("company_id", "fy_start", "opening_known")
     return book.openings.join(known, ["company_id", "fy_start"]).select(
@@ -172,7 +178,7 @@ def unmapped_accounts(book: Book) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        monthly_movements, voucher_rollup, period_coverage, period_series, history_months, data_horizon, opening_balances,
+        monthly_movements, voucher_rollup, period_coverage, period_series, history_months, data_horizon, open_periods, opening_balances,
         month_balances, balance_at, balance_completeness, income_statement, income_statement_periods, balance_sheet,
         balance_identity, key_figures, key_figure_change, cost_tree, trend, budget_vs_actual, txn_search, registered_late,
         unmapped_accounts,
@@ -276,6 +282,11 @@ FROM (SELECT vid, company_id, series, vdate, sum(amount) AS bal, sum(CASE WHEN a
  ON a.company_id = b.company_id AND b.rk BETWEEN a.rk - 6 AND a.rk - 1"""),
     "data_horizon": O.query("""SELECT m.company_id, strftime(max(m.month), '%Y-%m') AS latest_month, strftime(last_day(max(m.month)), '%Y-%m-%d') AS horizon
  FROM mm m JOIN cov c ON c.company_id = m.company_id AND c.month = m.month AND c.covered GROUP BY 1"""),
+    "open_periods": O.query(
+        """SELECT p.company_id, p.kind, p.period, strftime(last_day(p.e), '%Y-%m-%d') AS end, strftime(last_day(h.m), '%Y-%m-%d') AS horizon FROM per p
+ JOIN (SELECT m.company_id, max(m.month) AS m FROM mm m JOIN cov c ON c.company_id = m.company_id AND c.month = m.month AND c.covered GROUP BY 1) h ON h.company_id = p.company_id AND last_day(p.e) > last_day(h.m)""",
+        O.periods_cte("quarter", "ytd", "fy", "rolling"),
+    ),
     "opening_balances": O.query("""SELECT o.company_id, strftime(o.fy_start, '%Y-%m-%d') AS fy_start, o.account, o.amount, CAST(f.known AS INTEGER) AS known
  FROM opn o JOIN openfy f ON f.company_id = o.company_id AND f.fy_start = o.fy_start"""),
     "month_balances": O.query("SELECT company_id, strftime(month, '%Y-%m') AS month, account, balance FROM bal"),
