@@ -47,7 +47,7 @@ class Book:
 
     @cached_property
     def vouchers(self) -> DataFrame:
-        return stage(demo.vouchers(self.spark, self.sf_dir), "vouchers", by="fy_start", order=("company_id", "voucher_date"))
+        return stage(demo.vouchers(self.spark, self.sf_dir), "vouchers", even=True, by="fy_start", order=("company_id", "voucher_date"))
 
     @cached_property
     def movements(self) -> DataFrame:
@@ -107,7 +107,7 @@ class Book:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return stage(voucher_facts(self.vouchers), "facts", by="fy_start", order=("company_id", "voucher_date"))
+        return stage(voucher_facts(self.vouchers), "facts", by="fy_start")
 
     @cached_property
     def text_spend(self) -> DataFrame:

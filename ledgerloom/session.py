@@ -63,13 +63,14 @@ def stage(df: DataFrame, name: str, even: bool = False, by: str | None = None, o
     Used where one intermediate table feeds many branches or an iteration: the written table
     survives lost executors, keeps column pruning and gives the planner real sizes. ``even`` lets
     AQE split and merge the output into even files, for tables that skewed joins feed. ``by``
-    partitions the table by a column of few values, so that filters on it skip files; within files
-    rows are sorted by ``order``.
+    partitions the table by a column of few values, so that filters on it skip files; without
+    ``even`` the rows stay with their tasks, which suits tables derived from one laid out alike.
+    Within files rows are sorted by ``order``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    laid = df.hint("rebalance", by) if by else df.hint("rebalance") if even else df
-    if by or order:
+    laid = df.hint("rebalance", *([by] if by else [])) if even else df
+    if order:
         laid = laid.sortWithinPartitions(*([by] if by else []), *order)
     writer = laid.write.mode("errorifexists")
     (writer.partitionBy(by) if by else writer).parquet(path)
