@@ -65,11 +65,9 @@ def exact_duplicates(facts: DataFrame, min_amount: int, max_days: int) -> DataFr
     )
 
 
-def similar_duplicates(facts: DataFrame, min_amount: int, max_days: int, min_ratio: float) -> DataFrame:
-    """Vouchers with an earlier one of the same account and amount and a similar, not identical, text within the window.
+def _similar_pairs(facts: DataFrame, min_amount: int, max_days: int, min_ratio: float) -> DataFrame:
+    """Pairs of (day, text) groups a before b of the same account and amount, with similar, not identical, texts.
 
-    One row per day and text: its nearest earlier partner (the later day, then the later voucher), and in
-    ``n_pairs`` the number of pairs of vouchers that it closes.
     Texts are reduced to distinct (day, text) groups, then matched on equal keys only: account,
     amount, a date bucket and a length class. Both bucketings are exact — a partner lies in the
     same or the neighbouring bucket, since a ratio of r bounds the length quotient by (2−r)/r.
@@ -107,7 +105,37 @@ def similar_duplicates(facts: DataFrame, min_amount: int, max_days: int, min_rat
         .where(2 * F.least("a_len", "b_len") >= min_ratio * (F.col("a_len") + F.col("b_len")))
         .where(bound >= min_ratio - 1e-9)
     )
-    similar = pairs.withColumn("ratio", text_ratio("a_norm", "b_norm")).where(F.col("ratio") >= min_ratio)
+    return pairs.withColumn("ratio", text_ratio("a_norm", "b_norm")).where(F.col("ratio") >= min_ratio)
+
+
+def similar_links(facts: DataFrame, min_amount: int, max_days: int, min_ratio: float) -> DataFrame:
+    """Every link between vouchers of the same account and amount with similar, not identical, texts within the window.
+
+    One row per pair of (day, text) groups, between the first vouchers of the two; ``n_pairs`` is the
+    number of pairs of vouchers that the link stands for. The other vouchers of a group are exact copies
+    of its first, which ``exact_duplicates`` links to it.
+    """
+    return _similar_pairs(facts, min_amount, max_days, min_ratio).select(
+        "company_id",
+        "account",
+        "amount",
+        F.col("a_voucher").alias("original"),
+        F.col("b_voucher").alias("voucher"),
+        F.col("b_voucher_date").alias("voucher_date"),
+        F.datediff("b_voucher_date", "a_voucher_date").alias("days_apart"),
+        (F.col("a_n") * F.col("b_n")).alias("n_pairs"),
+        F.round("ratio", 2).alias("similarity"),
+    )
+
+
+def similar_duplicates(facts: DataFrame, min_amount: int, max_days: int, min_ratio: float) -> DataFrame:
+    """The nearest of each group's ``similar_links``: one row per day and text.
+
+    The nearest earlier partner is that of the later day, then the later voucher; ``n_pairs`` counts the
+    pairs of vouchers of all partners.
+    """
+    keys = ["company_id", "account", "amount"]
+    similar = _similar_pairs(facts, min_amount, max_days, min_ratio)
     nearest = F.max(F.struct("a_voucher_date", "a_voucher", "ratio")).alias("a")
     linked = similar.groupBy(*keys, "b_norm", "b_voucher_date", "b_voucher").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("n_pairs"), nearest)
     return linked.select(
@@ -132,7 +160,7 @@ def duplicate_candidate(ctx: Context) -> DataFrame:
     if not p("similar"):
         return exact
     similar = finding(
-        similar_duplicates(ctx.facts, p("min_amount"), p("max_days"), p("min_text_similarity")),
+        similar_links(ctx.facts, p("min_amount"), p("max_days"), p("min_text_similarity")),
         "DUPLICATE_CANDIDATE",
         severity=F.lit("MEDIUM"),
         variant=F.lit("similar"),

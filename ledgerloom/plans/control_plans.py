@@ -70,8 +70,9 @@ def ctl_duplicate_pairs(book: Book) -> DataFrame:
 
 
 def ctl_duplicate_similar(book: Book) -> DataFrame:
-    return pattern.similar_duplicates(book.facts, 100_000, 14, 0.8).select(
-        "company_id", "account", "amount", "original", "voucher", F.col("voucher_date").cast("string").alias("voucher_date"), "days_apart", "similarity"
+    """Every link between similar texts, not only the nearest partner's."""
+    return pattern.similar_links(book.facts, 100_000, 14, 0.8).select(
+        "company_id", "account", "amount", "original", "voucher", F.col("voucher_date").cast("string").alias("voucher_date"), "days_apart", "n_pairs", "similarity"
     )
 
 
