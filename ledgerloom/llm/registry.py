@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, chat, exact_dedup, language_id, license_scan, mixing, sharding, simhash, topk, url_filter
+from ledgerloom.llm import bpe, chat, exact_dedup, filter_audit, hard_negatives, language_id, license_scan, mixing, ngram_join, sharding, simhash, topk, url_filter
 
 QUERIES = {
     "op1_shard_tree": sharding.query,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_license_scan": license_scan.query,
     "op10_simhash": simhash.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_ngram_join": ngram_join.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 SQL: dict[str, str] = {
     "op5_topk": topk.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_url_filter": url_filter.sql(),
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_ngram_join": ngram_join.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
