@@ -6,6 +6,10 @@ letter, digit or mark is such a place, because no match of the pattern holds a n
 white space; and so is a change between letters and digits, because no match holds both.
 A stretch without any safe boundary (one endless word) stays whole.
 
+The pattern makes one match of a run of white space, but for its last character when more text follows;
+looking ahead for that, the tokenizer's splitter needs stack for every character. Runs of ``RUN_CHARS``
+and more are therefore taken out of the text, and their match goes to the encoder by itself.
+
 Defined results: a null text counts as empty, an empty text has no tokens, ids of a null array decode
 to no bytes. Repeated rows are encoded like any other. Only the named columns are read; other columns
 pass through, and an output name that is already taken is replaced.
@@ -33,11 +37,15 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE_CHARS = 32_768
+#: White space in a row that is encoded by itself.
+RUN_CHARS = 4_096
 #: Rows whose tokens are held at once.
 ROWS = 256
 
 #: Only characters on whose class all versions of Unicode agree decide a cut.
 _SAFE = regex.compile(r"(?<=[\p{L}0-9!-/:-@\[-`{-~])(?=[ \n])|(?<=\p{L})(?=[0-9])|(?<=[0-9])(?=\p{L})")
+#: The characters that the splitter takes for white space: Unicode's property White_Space.
+_RUN = regex.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN_CHARS},}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -62,6 +70,18 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 def encode_text(enc: tiktoken.Encoding, text: str | None, size: int = PIECE_CHARS) -> list[int]:
     if not text:
         return []
+    if len(text) <= min(size, RUN_CHARS):
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))  # the last character belongs to what follows
+        out += _encode_rest(enc, text[at : run.start()], size)
+        out += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + _encode_rest(enc, text[at:] if at else text, size)
+
+
+def _encode_rest(enc: tiktoken.Encoding, text: str, size: int) -> list[int]:
     if len(text) <= size:
         return enc.encode_ordinary(text)
     return [i for piece in pieces(text, size) for i in enc.encode_ordinary(piece)]
