@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.llm.common import batches_of, keep_rows, stage, table, values
 
@@ -87,50 +88,64 @@ def directory(sizes: dict[int, tuple[int, int]], texts: int = BUCKET_TEXTS, size
     return depth, entries
 
 
+def _better(a: tuple, b: tuple) -> tuple:
+    """The row that stays, of two given as (has a doc_id, doc_id, h)."""
+    return b if (b[0], b[1] if b[0] else 0, b[2]) > (a[0], a[1] if a[0] else 0, a[2]) else a
+
+
 def _folded(docs: DataFrame, depth: int, entries: list[int]) -> DataFrame:
-    """(bucket, key, norm, n) with the copies inside each stretch of a map task folded; keeps no more than FOLD_BYTES."""
-    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("norm", pa.binary()), ("n", pa.int64())])
+    """(bucket, key, norm, n, keep_id, keep_h) with the copies inside each stretch of a map task folded; keeps no more than FOLD_BYTES."""
+    kind = docs.schema["doc_id"].dataType
+    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("norm", pa.binary()), ("n", pa.int64()), ("keep_id", to_arrow_type(kind)), ("keep_h", pa.int64())])
 
-    def entry(norm: bytes, n: int) -> tuple:
+    def entry(norm: bytes, n: int, best: tuple) -> tuple:
         key = xxhash.xxh64_intdigest(norm, 42)
-        return entries[key >> (64 - depth)], _signed(key), norm, n
+        return entries[key >> (64 - depth)], _signed(key), norm, n, best[1], best[2]
 
     def rows(batches) -> Iterator[tuple]:
-        seen: dict[bytes, int] = {}
+        seen: dict[bytes, tuple[int, tuple]] = {}
         held = 0
         for batch in batches:
-            for text in values(batch.column("text")):
+            for doc_id, text in zip(values(batch.column("doc_id")), values(batch.column("text")), strict=True):
                 norm = _norm(text)
-                held += 0 if norm in seen else len(norm)
-                seen[norm] = seen.get(norm, 0) + 1
+                own = (doc_id is not None, doc_id, _signed(xxhash.xxh64_intdigest((text or "").encode(), 42)))
+                if norm in seen:
+                    n, best = seen[norm]
+                    seen[norm] = n + 1, _better(best, own)
+                else:
+                    held += len(norm)
+                    seen[norm] = 1, own
                 if held > FOLD_BYTES:
-                    yield from (entry(x, n) for x, n in seen.items())
+                    yield from (entry(x, *v) for x, v in seen.items())
                     seen, held = {}, 0
-        yield from (entry(x, n) for x, n in seen.items())
+        yield from (entry(x, *v) for x, v in seen.items())
 
-    return docs.select("text").mapInArrow(lambda batches: batches_of(rows(batches), schema), "bucket int, key long, norm binary, n long")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: batches_of(rows(batches), schema), f"bucket int, key long, norm binary, n long, keep_id {kind.simpleString()}, keep_h long")
 
 
 def _owned(texts: DataFrame) -> DataFrame:
-    """Index entries of the buckets of a task, whose rows come ordered by (bucket, key)."""
-    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("chain", pa.int32()), ("sha", pa.binary()), ("n", pa.int64())])
+    """Index entries of the buckets of a task, whose rows come ordered by (bucket, key): digest, copies and the row that stays."""
+    kind = texts.schema["keep_id"].dataType
+    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("chain", pa.int32()), ("sha", pa.binary()), ("n", pa.int64()), ("keep_id", to_arrow_type(kind)), ("keep_h", pa.int64())])
 
     def each(batches):
         for batch in batches:
-            yield from zip(*(values(batch.column(c)) for c in ("bucket", "key", "norm", "n")), strict=True)
+            yield from zip(*(values(batch.column(c)) for c in ("bucket", "key", "norm", "n", "keep_id", "keep_h")), strict=True)
 
     def rows(batches) -> Iterator[tuple]:
         for (bucket, key), found in groupby(each(batches), key=lambda r: r[:2]):
-            chain: dict[bytes, int] = {}  # looking a text up compares its bytes with those of the chain
-            for _, _, norm, n in found:
-                chain[norm] = chain.get(norm, 0) + n
+            chain: dict[bytes, tuple[int, tuple]] = {}  # looking a text up compares its bytes with those of the chain
+            for _, _, norm, n, keep_id, keep_h in found:
+                own = (keep_id is not None, keep_id, keep_h)
+                count, best = chain.get(norm, (0, own))
+                chain[norm] = count + n, _better(best, own)
             digests = [hashlib.sha256(norm).digest() for norm in chain]
             if len(set(digests)) < len(digests):
                 raise ValueError("two different texts share a key and a SHA-256 digest")
-            for place, (sha, n) in enumerate(zip(digests, chain.values(), strict=True)):
-                yield bucket, key, place, sha, n
+            for place, (sha, (n, best)) in enumerate(zip(digests, chain.values(), strict=True)):
+                yield bucket, key, place, sha, n, best[1], best[2]
 
-    return texts.mapInArrow(lambda batches: batches_of(rows(batches), schema), "bucket int, key long, chain int, sha binary, n long")
+    return texts.mapInArrow(lambda batches: batches_of(rows(batches), schema), f"bucket int, key long, chain int, sha binary, n long, keep_id {kind.simpleString()}, keep_h long")
 
 
 def build(docs: DataFrame, texts: int = BUCKET_TEXTS, size: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -141,17 +156,19 @@ def build(docs: DataFrame, texts: int = BUCKET_TEXTS, size: int = BUCKET_BYTES,
     depth, entries = directory({r["p"]: (r["n"], r["b"]) for r in counted.collect()}, texts, size, max_depth)
     owners = entries[-1] + 1
     dealt = _folded(docs, depth, entries).repartitionById(owners, F.col("bucket")).sortWithinPartitions("bucket", "key")
-    best = rows.groupBy("key", "sha").agg(F.max(F.struct("doc_id", "row")).alias("best"))
-    return rows, stage(_owned(dealt).join(best, ["key", "sha"]), "dedup-index")
+    return rows, stage(_owned(dealt), "dedup-index")
 
 
 def index(docs: DataFrame, texts: int = BUCKET_TEXTS, size: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row per document: doc_id, h, keep_id, group_size, kept, sha, row and the alike rows' count ``n``."""
     rows, entries = build(docs, texts, size, max_depth)
-    known = entries.select("key", "sha", F.col("n").alias("group_size"), "best")
-    return rows.join(known, ["key", "sha"]).select(
-        "doc_id", "h", "sha", "row", "group_size", F.col("best.doc_id").alias("keep_id"), (F.col("row") == F.col("best.row")).alias("kept")
-    )
+    known = entries.select("key", "sha", F.col("n").alias("group_size"), "keep_id", "keep_h")
+    found = rows.join(known, ["key", "sha"]).withColumn("best", F.expr("doc_id <=> keep_id AND h = keep_h"))
+    # Rows alike in id and text are one to the index; the first of them stays.
+    first = found.where("best").groupBy(F.col("key").alias("k"), F.col("sha").alias("s")).agg(F.min("row").alias("first"))
+    first = stage(first.where("first IS NOT NULL").select("first"), "dedup-first")
+    marked = found.join(first, F.col("row") == F.col("first"), "left")
+    return marked.select("doc_id", "h", "sha", "row", "group_size", "keep_id", F.col("first").isNotNull().alias("kept"))
 
 
 def dedup(docs: DataFrame, **limits) -> DataFrame:
