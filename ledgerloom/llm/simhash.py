@@ -115,6 +115,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     tiled = fps.select("fp", counts.alias("tile"))
     blocks = tiled.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     packed = tiled.join(blocks, "tile").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    packed = packed.repartition("tile", "block")  # the join has left the rows of a tile in one task
     packed = stage(packed.groupBy("tile", "block").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
     left = packed.select("block", "fps", "tile", F.explode(F.lit(_near(radius))).alias("d"))
     left = left.select(F.col("block").alias("block_a"), F.col("fps").alias("a"), F.zip_with("tile", "d", lambda x, y: x + y).alias("tile"), (F.array_max("d") == 0).alias("own"))
