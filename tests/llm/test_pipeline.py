@@ -10,7 +10,8 @@ import pytest
 import corpus_pipeline
 from ledgerloom.llm import bpe, mixing
 from tests.llm.test_layout_operators import brute_mix
-from tests.llm.test_text_operators import LOWER, brute_components, fingerprint
+from tests.llm.test_near_copies import brute
+from tests.llm.test_text_operators import LOWER
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,8 +51,8 @@ def test_exact_copies_go(stages):
 
 
 def test_near_copies_go(stages):
-    docs = [(r["doc_id"], fingerprint(r["text"])) for r in stages[2].collect()]
-    assert ids(stages[3]) == sorted(set(brute_components([d for d, _ in docs], [f for _, f in docs], 2)))
+    kept, _, _ = brute({r["doc_id"]: r["text"] for r in stages[2].collect()})
+    assert ids(stages[3]) == sorted(kept)
 
 
 def test_sources_are_mixed(spark, stages):
