@@ -27,10 +27,41 @@ PREFIXES = (
     "bg",
     "pg",
 )
+# Legal forms and places that say nothing about who a party is.
 SUFFIXES = (
-    "ab publ hb kb ek ltd limited inc gmbh as oy bv llc sverige sweden ireland nordic norden europe emea international"
-).split()
-GENERIC = "diverse omforing justering korrigering lon bankavgifter ranta momsredovisning".split()
+    "ab",
+    "publ",
+    "hb",
+    "kb",
+    "ek",
+    "ltd",
+    "limited",
+    "inc",
+    "gmbh",
+    "as",
+    "oy",
+    "bv",
+    "llc",
+    "sverige",
+    "sweden",
+    "ireland",
+    "nordic",
+    "norden",
+    "europe",
+    "emea",
+    "international",
+)
+# First words of texts that name no party.
+GENERIC = (
+    "diverse",
+    "omforing",
+    "justering",
+    "korrigering",
+    "lon",
+    "bankavgifter",
+    "ranta",
+    "momsredovisning",
+)
 NOISE = r"\b(\d{3,}|\d{4}-\d{2}(-\d{2})?|nr|no|fakt|inv|ocr|ref|avg|period|\d{1,2}/\d{1,2})\b"
 UNKNOWN = "okänd motpart"
 # Latin letters with marks and the plain letters that they are read as.

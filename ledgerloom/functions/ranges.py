@@ -118,16 +118,49 @@ ASSET_LINES = (
 )
 #: Result accounts outside every line (8500–8799) are kept under this line so nothing is lost.
 LEFTOVER_LINE = "interest_expense"
+# Lines in the order of the report.
 INCOME_ORDER = (
-    "net_sales inventory_change capitalized_work other_operating_income operating_income materials other_external "
-    "personnel depreciation other_operating_expenses operating_result financial_assets_result interest_income "
-    "interest_expense result_after_financial appropriations result_before_tax tax net_result"
-).split()
+    "net_sales",
+    "inventory_change",
+    "capitalized_work",
+    "other_operating_income",
+    "operating_income",
+    "materials",
+    "other_external",
+    "personnel",
+    "depreciation",
+    "other_operating_expenses",
+    "operating_result",
+    "financial_assets_result",
+    "interest_income",
+    "interest_expense",
+    "result_after_financial",
+    "appropriations",
+    "result_before_tax",
+    "tax",
+    "net_result",
+)
+# Lines in the order of the report.
 BALANCE_ORDER = (
-    "intangible tangible financial_fixed fixed_assets inventory receivables short_investments cash current_assets "
-    "total_assets equity current_result total_equity untaxed_reserves provisions long_term_liabilities "
-    "current_liabilities total_equity_liabilities"
-).split()
+    "intangible",
+    "tangible",
+    "financial_fixed",
+    "fixed_assets",
+    "inventory",
+    "receivables",
+    "short_investments",
+    "cash",
+    "current_assets",
+    "total_assets",
+    "equity",
+    "current_result",
+    "total_equity",
+    "untaxed_reserves",
+    "provisions",
+    "long_term_liabilities",
+    "current_liabilities",
+    "total_equity_liabilities",
+)
 
 # Cost categories in matching order (first match wins), with parent category.
 CATEGORIES: tuple[tuple[str, str | None, Accounts], ...] = (

@@ -118,9 +118,19 @@ _WIDE = sorted(
     | {
         "bs_" + c
         for c in (
-            "inventory receivables short_investments cash current_assets current_liabilities total_equity untaxed_reserves "
-            "total_assets cash_accounts customer_receivables payables"
-        ).split()
+            "inventory",
+            "receivables",
+            "short_investments",
+            "cash",
+            "current_assets",
+            "current_liabilities",
+            "total_equity",
+            "untaxed_reserves",
+            "total_assets",
+            "cash_accounts",
+            "customer_receivables",
+            "payables",
+        )
     }
 )
 _SCALE = "1000000000000"

@@ -44,36 +44,40 @@ def round_related(ctx: Context) -> DataFrame:
     return _row_finding(_rows(ctx).where(R.RELATED_AML.on(F.col("account")) & big & even), "AML_ROUND_AMOUNTS_RELATED")
 
 
+def _flows(facts: DataFrame, min_amount: int) -> DataFrame:
+    """Bank flows that can be part of a link: (company_id, month, side, date, amount, voucher); side ``in`` or ``out``."""
+    bank = F.col("bank")
+    into = (bank >= min_amount) & ~F.col("has_aml_customer")
+    out = (bank <= -min_amount) & ~F.col("has_aml_supplier")
+    flow = facts.where("NOT not_aml_flow").where(into | out)
+    return flow.select("company_id", "month", F.when(into, "in").otherwise("out").alias("side"), F.col("voucher_date").alias("date"), F.abs(bank).alias("amount"), "voucher")
+
+
 def rapid_in_out_links(facts: DataFrame, min_amount: int, max_days: int, tolerance_pct: int) -> DataFrame:
-    """Inflows not from customers, with the nearest outflow not to a supplier of similar size soon after.
+    """Every link between inflows not from customers and outflows not to suppliers of similar size soon after.
 
-    One row per inflow: the outflow of the earliest day, then of the closest amount, and the number of all
-    that match. Both sides are counted per company, day and amount before they meet, so a repeated amount
-    is one row; they meet on company, day and amount class (the inflow looks at its own and the
-    neighbouring classes), and the exact tolerance is tested on those.
+    Both sides are counted per company, day and amount before they meet: such a class is one row, named by its
+    first voucher, and a link between two classes stands for ``n_in * n_out`` pairs of vouchers; the vouchers
+    of the classes are in ``rapid_in_out_members``. Classes meet on company, day and amount class (the inflow
+    looks at its own and the neighbouring classes), and the exact tolerance is tested on those.
     """
-    flow = facts.where("NOT not_aml_flow").select("company_id", "month", "voucher", "voucher_date", "bank", "has_aml_customer", "has_aml_supplier")
     level = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(_CLASS))).cast("int")
-    inflow = flow.where((F.col("bank") >= min_amount) & ~F.col("has_aml_customer")).select(
-        "company_id", "month", F.col("voucher").alias("in_voucher"), F.col("voucher_date").alias("in_date"), F.col("bank").alias("in_amount")
-    )
-    key = ["company_id", "in_date", "in_amount"]
-    asked = (
-        inflow.select(*key)
-        .distinct()
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(max_days))).alias("days"))
-        .select("*", F.expr("date_add(in_date, days)").alias("out_date"), F.explode(F.array(*[level(F.col("in_amount")) + k for k in (-1, 0, 1)])).alias("level"))
-    )
-    outflow = (
-        flow.where((F.col("bank") <= -min_amount) & ~F.col("has_aml_supplier"))
-        .groupBy("company_id", F.col("voucher_date").alias("out_date"), (-F.col("bank")).alias("out_amount"))
-        .agg(F.count("*").alias("n"), F.min("voucher").alias("out_voucher"))
-        .withColumn("level", level(F.col("out_amount")))
-    )
-    gap = F.abs(F.col("out_amount") - F.col("in_amount"))
-    near = asked.join(outflow, ["company_id", "out_date", "level"]).where(gap * 100 <= F.col("in_amount") * tolerance_pct)
-    best = near.groupBy(*key).agg(F.sum("n").alias("n_out"), F.min(F.struct("days", gap.alias("gap"), "out_voucher")).alias("out"))
-    return inflow.join(best, key).select("company_id", "month", "in_voucher", "in_date", "in_amount", "out.out_voucher", "out.days", "n_out")
+    classes = _flows(facts, min_amount).groupBy("company_id", "month", "side", "date", "amount").agg(F.count("*").alias("n"), F.min("voucher").alias("voucher"))
+    classes = classes.withColumn("level", level(F.col("amount")))
+    named = lambda side, p: [F.col("date").alias(f"{p}_date"), F.col("amount").alias(f"{p}_amount"), F.col("n").alias(f"n_{p}"), F.col("voucher").alias(f"{p}_voucher")]  # noqa: E731, ARG005
+    inflow = classes.where("side = 'in'").select("company_id", "month", "level", *named("in", "in"))
+    asked = inflow.withColumn("days", F.explode(F.sequence(F.lit(0), F.lit(max_days)))).withColumn("level", F.explode(F.array(*[F.col("level") + k for k in (-1, 0, 1)])))
+    asked = asked.withColumn("out_date", F.expr("date_add(in_date, days)"))
+    outflow = classes.where("side = 'out'").select("company_id", "level", *named("out", "out"))
+    near = asked.join(outflow, ["company_id", "out_date", "level"]).where(F.abs(F.col("out_amount") - F.col("in_amount")) * 100 <= F.col("in_amount") * tolerance_pct)
+    return near.select("company_id", "month", "in_voucher", "in_date", "in_amount", "n_in", "out_voucher", "out_date", "out_amount", "n_out", "days")
+
+
+def rapid_in_out_members(facts: DataFrame, links: DataFrame, min_amount: int) -> DataFrame:
+    """The vouchers of all linked classes: (company_id, side, date, amount, class_voucher, voucher)."""
+    key = ["company_id", "side", "date", "amount"]
+    ends = [links.select("company_id", F.lit(p).alias("side"), F.col(f"{p}_date").alias("date"), F.col(f"{p}_amount").alias("amount"), F.col(f"{p}_voucher").alias("class_voucher")) for p in ("in", "out")]
+    return _flows(facts, min_amount).join(ends[0].unionByName(ends[1]).distinct(), key).select(*key, "class_voucher", "voucher")
 
 
 @control("AML_RAPID_IN_OUT")
@@ -87,5 +91,5 @@ def rapid_in_out(ctx: Context) -> DataFrame:
         key=[F.col("in_voucher"), F.col("out_voucher")],
         vouchers=F.array("in_voucher", "out_voucher"),
         amount=F.col("in_amount"),
-        variant=F.col("n_out").cast("string"),
+        variant=F.concat_ws("x", "n_in", "n_out"),
     )

@@ -115,6 +115,9 @@ def similar_links(facts: DataFrame, min_amount: int, max_days: int, min_ratio: f
     number of pairs of vouchers that the link stands for. The other vouchers of a group are exact copies
     of its first, which ``exact_duplicates`` links to it.
     """
+    chars = F.col("a_len") + F.col("b_len")
+    common = F.round(F.col("ratio") * chars / 2).cast("long")  # the ratio is twice these by all characters
+    similarity = F.floor((400 * common + chars) / (2 * chars)) / 100  # in hundredths, half up
     return _similar_pairs(facts, min_amount, max_days, min_ratio).select(
         "company_id",
         "account",
@@ -124,28 +127,7 @@ def similar_links(facts: DataFrame, min_amount: int, max_days: int, min_ratio: f
         F.col("b_voucher_date").alias("voucher_date"),
         F.datediff("b_voucher_date", "a_voucher_date").alias("days_apart"),
         (F.col("a_n") * F.col("b_n")).alias("n_pairs"),
-        F.round("ratio", 2).alias("similarity"),
-    )
-
-
-def similar_duplicates(facts: DataFrame, min_amount: int, max_days: int, min_ratio: float) -> DataFrame:
-    """The nearest of each group's ``similar_links``: one row per day and text.
-
-    The nearest earlier partner is that of the later day, then the later voucher; ``n_pairs`` counts the
-    pairs of vouchers of all partners.
-    """
-    keys = ["company_id", "account", "amount"]
-    similar = _similar_pairs(facts, min_amount, max_days, min_ratio)
-    nearest = F.max(F.struct("a_voucher_date", "a_voucher", "ratio")).alias("a")
-    linked = similar.groupBy(*keys, "b_norm", "b_voucher_date", "b_voucher").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("n_pairs"), nearest)
-    return linked.select(
-        *keys,
-        F.col("a.a_voucher").alias("original"),
-        F.col("b_voucher").alias("voucher"),
-        F.col("b_voucher_date").alias("voucher_date"),
-        F.datediff("b_voucher_date", "a.a_voucher_date").alias("days_apart"),
-        "n_pairs",
-        F.round("a.ratio", 2).alias("similarity"),
+        similarity.alias("similarity"),
     )
 
 
@@ -157,8 +139,6 @@ def duplicate_candidate(ctx: Context) -> DataFrame:
     exact = finding(
         exact_duplicates(ctx.facts, p("min_amount"), p("max_days")), "DUPLICATE_CANDIDATE", severity=F.lit("HIGH"), variant=F.lit("exact"), **common
     )
-    if not p("similar"):
-        return exact
     similar = finding(
         similar_links(ctx.facts, p("min_amount"), p("max_days"), p("min_text_similarity")),
         "DUPLICATE_CANDIDATE",

@@ -152,7 +152,8 @@ def psaldo_movements(period_amounts: DataFrame, year_balances: DataFrame) -> Dat
 def annual_movements(year_balances: DataFrame, fiscal_years: DataFrame) -> DataFrame:
     """Whole-year movement of years known only as year balances: RES, and UB − IB where IB exists."""
     summary = fiscal_years.where(~F.col("has_vouchers")).select("company_id", "fy_start")
-    yb = year_balances.join(summary, ["company_id", "fy_start"], "left_semi")
+    closed = year_balances.where("kind IN ('RES', 'UB')").select("company_id", "fy_start").distinct()  # an opening alone is no year
+    yb = year_balances.join(summary.join(closed, ["company_id", "fy_start"], "left_semi"), ["company_id", "fy_start"], "left_semi")
     has_ib = yb.where("kind = 'IB'").select("company_id", "fy_start").distinct()
     balance = yb.where("account < 3000 AND kind IN ('IB', 'UB')").join(has_ib, ["company_id", "fy_start"], "left_semi")
     signed = balance.withColumn("amount", F.when(F.col("kind") == "UB", F.col("amount")).otherwise(-F.col("amount")))
@@ -162,6 +163,66 @@ def annual_movements(year_balances: DataFrame, fiscal_years: DataFrame) -> DataF
     )
 
 
+def source_movements(voucher_movements: DataFrame, period_amounts: DataFrame, year_balances: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Monthly movements from whatever counts for each month: vouchers where the year has them, else period balances."""
+    source = lambda name: coverage.where(F.col("source") == name).select("company_id", "month")
+    booked = voucher_movements.join(coverage.where("source <> 'psaldo'").select("company_id", "month"), ["company_id", "month"], "left_semi")
+    told = psaldo_movements(period_amounts, year_balances).join(source("psaldo"), ["company_id", "month"], "left_semi")
+    both = booked.select("company_id", "month", "account", "amount").unionByName(told)
+    return both.groupBy("company_id", "month", "account").agg(F.sum("amount").alias("amount")).where("amount <> 0")
+
+
+def period_movements(periods: DataFrame, movements: DataFrame, annual: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Movement per account and period: its months summed, or the year's totals.
+
+    A period that is a whole fiscal year known only by its balances takes those; months that are there take
+    precedence. ``periods``: company_id, period, start, end. ``annual``: see ``annual_movements``.
+    """
+    months = periods.select("company_id", "period", F.explode(F.expr("sequence(trunc(start, 'MM'), trunc(end, 'MM'), interval 1 month)")).alias("month"))
+    known = months.join(coverage.select("company_id", "month", "covered"), ["company_id", "month"], "left")
+    whole = known.groupBy("company_id", "period").agg(F.min(F.coalesce("covered", F.lit(False))).alias("whole"))
+    years = coverage.select("company_id", F.col("fy_start").alias("start"), F.col("fy_end").alias("end")).distinct()
+    fits = periods.select("company_id", "period", "start", "end").join(years, ["company_id", "start", "end"]).select("company_id", "period", F.col("start").alias("fy_start"))
+    summary = annual.select("company_id", "fy_start").distinct()
+    yearly = fits.join(summary, ["company_id", "fy_start"], "left_semi").join(whole.where("NOT whole"), ["company_id", "period"]).select("company_id", "period", "fy_start")
+    monthly = months.join(yearly.select("company_id", "period"), ["company_id", "period"], "left_anti").join(movements, ["company_id", "month"])
+    summed = monthly.groupBy("company_id", "period", "account").agg(F.sum("amount").alias("amount")).where("amount <> 0")
+    return summed.unionByName(yearly.join(annual, ["company_id", "fy_start"]).select("company_id", "period", "account", "amount"))
+
+
+def closings(year_balances: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(company_id, fy_start, month, account, amount): closing balances, at their last month, of years known only by balances."""
+    ends = coverage.where("source = 'annual'").groupBy("company_id", "fy_start").agg(F.trunc(F.max("fy_end"), "MM").alias("month"))
+    return year_balances.where("kind = 'UB' AND account < 3000").join(ends, ["company_id", "fy_start"]).select("company_id", "fy_start", "month", "account", "amount")
+
+
+def result_to_date(movements: DataFrame, coverage: DataFrame, year_balances: DataFrame | None = None, closing_entries: bool = True) -> DataFrame:
+    """Result per account from the start of the fiscal year to every month end (positive: profit).
+
+    A cumulative sum that starts anew with every fiscal year. Accounts go to 8999, or to 8989 without the closing
+    entries. At the end of a year known only by balances its result balances count; the closing balances decide
+    what is not closed yet, so a gap to them is put on 8999.
+    """
+    upper = 8999 if closing_entries else 8989
+    months = coverage.select("company_id", "fy_start", "month")
+    moved = movements.where(F.col("account").between(3000, upper)).join(months, ["company_id", "month"])
+    grid = moved.select("company_id", "fy_start", "account").distinct().join(months, ["company_id", "fy_start"])
+    upto = Window.partitionBy("company_id", "fy_start", "account").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    filled = grid.join(moved.select("company_id", "month", "account", "amount"), ["company_id", "month", "account"], "left")
+    out = filled.withColumn("amount", -F.sum(F.coalesce("amount", F.lit(0))).over(upto)).where("amount <> 0").select("company_id", "fy_start", "month", "account", "amount")
+    if year_balances is None:
+        return out
+    closed = closings(year_balances, coverage)
+    ends = closed.groupBy("company_id", "fy_start", "month").agg(F.sum("amount").alias("unclosed"))
+    told = year_balances.where((F.col("kind") == "RES") & F.col("account").between(3000, upper)).join(ends, ["company_id", "fy_start"])
+    told = told.select("company_id", "fy_start", "month", "account", (-F.col("amount")).alias("amount"))
+    if closing_entries:
+        summed = told.groupBy("company_id", "fy_start").agg(F.sum("amount").alias("told"))
+        gap = ends.join(summed, ["company_id", "fy_start"], "left").select("company_id", "fy_start", "month", F.lit(8999).alias("account"), (F.col("unclosed") - F.coalesce("told", F.lit(0))).alias("amount"))
+        told = told.unionByName(gap).groupBy("company_id", "fy_start", "month", "account").agg(F.sum("amount").alias("amount"))
+    return out.join(ends.select("company_id", "month"), ["company_id", "month"], "left_anti").unionByName(told.where("amount <> 0"))
+
+
 def latest_data(coverage: DataFrame, movements: DataFrame) -> DataFrame:
     """Latest month with vouchers and the data horizon (last day of it, else of a PSALDO month)."""
     booked = movements.select("company_id", "month", F.lit(True).alias("booked")).distinct()
@@ -297,8 +358,11 @@ def opening_balances(movements: DataFrame, basis: DataFrame, year_balances: Data
     )
 
 
-def balances(movements: DataFrame, coverage: DataFrame, openings: DataFrame, accounts: Accounts | None = None) -> DataFrame:
-    """Month-end balance per account below 3000 for every fiscal month (zero balances dropped)."""
+def balances(movements: DataFrame, coverage: DataFrame, openings: DataFrame, accounts: Accounts | None = None, closed: DataFrame | None = None) -> DataFrame:
+    """Month-end balance per account below 3000 for every fiscal month (zero balances dropped).
+
+    ``closed`` (see ``closings``) has the balances at the end of years known only by their balances.
+    """
     keep = F.col("account") < 3000
     if accounts is not None:
         keep = keep & accounts.on(F.col("account"))
@@ -312,41 +376,56 @@ def balances(movements: DataFrame, coverage: DataFrame, openings: DataFrame, acc
     changes = moved.unionByName(start).groupBy("company_id", "fy_start", "account", "month").agg(F.sum("amount").alias("amount"))
     grid = changes.select("company_id", "fy_start", "account").distinct().join(months, ["company_id", "fy_start"])
     w = Window.partitionBy("company_id", "fy_start", "account").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    return (
+    out = (
         grid.join(changes, ["company_id", "fy_start", "account", "month"], "left")
         .withColumn("balance", F.sum(F.coalesce("amount", F.lit(0))).over(w))
         .where("balance <> 0")
         .select("company_id", "fy_start", "month", "account", "balance")
     )
+    if closed is None:
+        return out
+    told = closed.where(keep & (F.col("amount") != 0)).select("company_id", "fy_start", "month", "account", F.col("amount").alias("balance"))
+    return out.join(closed.select("company_id", "month").distinct(), ["company_id", "month"], "left_anti").unionByName(told)
 
 
-def balance_complete(coverage: DataFrame, basis: DataFrame) -> DataFrame:
-    """Months whose balances can be trusted: known opening and no missing month since year start."""
+def balance_complete(coverage: DataFrame, basis: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """Months whose balances can be trusted: known opening and no missing month since year start, or closing balances."""
     w = Window.partitionBy("company_id", "fy_start").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    return coverage.join(basis.select("company_id", "fy_start", "opening_known"), ["company_id", "fy_start"]).select(
+    out = coverage.join(basis.select("company_id", "fy_start", "opening_known"), ["company_id", "fy_start"]).select(
         "company_id", "month", (F.min("covered").over(w) & F.col("opening_known")).alias("balance_complete")
     )
+    if closed is None:
+        return out
+    ends = closed.select("company_id", "month", F.lit(True).alias("told")).distinct()
+    return out.join(ends, ["company_id", "month"], "left").select("company_id", "month", (F.col("balance_complete") | F.coalesce("told", F.lit(False))).alias("balance_complete"))
 
 
-def balance_at(vouchers: DataFrame, movements: DataFrame, coverage: DataFrame, openings: DataFrame, dates: DataFrame) -> DataFrame:
+def balance_at(vouchers: DataFrame, movements: DataFrame, coverage: DataFrame, openings: DataFrame, dates: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """Balance per account at the end of arbitrary days (``dates``: company_id, at).
 
     Whole months come from the aggregated movements; only the last, broken month is read from the
-    vouchers, joined on (company, month).
+    vouchers, joined on (company, month). A month of period balances counts whole, and the last day of a year
+    known only by its balances has those (``closed``).
     """
+    if closed is not None:
+        ends = closed.withColumn("at", F.last_day("month"))
+        direct = dates.select("company_id", "at").distinct().join(ends, ["company_id", "at"])
+        told = direct.where("amount <> 0").select("company_id", "at", "account", F.col("amount").alias("balance"))
+        rest = dates.join(ends.select("company_id", "at").distinct(), ["company_id", "at"], "left_anti")
+        return balance_at(vouchers, movements, coverage, openings, rest).unionByName(told)
     at = dates.select("company_id", "at", F.trunc("at", "MM").alias("month")).distinct()
-    span = at.join(coverage.select("company_id", "month", "fy_start"), ["company_id", "month"])
+    span = at.join(coverage.select("company_id", "month", "fy_start", "source"), ["company_id", "month"])
     opening = openings.join(span, ["company_id", "fy_start"]).select("company_id", "at", "account", "amount")
     full = span.select(
         "company_id",
         "at",
-        F.explode(F.expr("CASE WHEN month > fy_start THEN sequence(trunc(fy_start, 'MM'), add_months(month, -1), interval 1 month) END")).alias("month"),
+        F.explode(F.expr("CASE WHEN source = 'psaldo' THEN sequence(trunc(fy_start, 'MM'), month, interval 1 month) WHEN month > fy_start THEN sequence(trunc(fy_start, 'MM'), add_months(month, -1), interval 1 month) END")).alias("month"),
     )
     whole = movements.where("account < 3000").join(full, ["company_id", "month"]).select("company_id", "at", "account", "amount")
     rows = vouchers.select("company_id", "fy_start", "voucher_date", F.trunc("voucher_date", "MM").alias("month"), F.explode("rows").alias("r"))
     part = (
         rows.where("r.status <> 'removed' AND r.account < 3000")
-        .join(span.select("company_id", "fy_start", "month", "at"), ["company_id", "fy_start", "month"])
+        .join(span.where("source <> 'psaldo'").select("company_id", "fy_start", "month", "at"), ["company_id", "fy_start", "month"])
         .where("voucher_date <= at")
         .select("company_id", "at", F.col("r.account").alias("account"), F.col("r.amount").alias("amount"))
     )

@@ -1,4 +1,4 @@
-"""Spend per counterparty: recurrence, level shifts, the spend report and tax-account matching.
+"""Spend per counterparty: recurrence, level shifts and the spend report.
 
 Voucher rows are folded to (company, month, account, text key) before anything else; aliases,
 counterparty keys and all series work on that table.
@@ -6,7 +6,6 @@ counterparty keys and all series work on that table.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,47 +70,91 @@ def recurrence(active: Column, n: Column) -> Column:
     )
 
 
-def windowed(pairs: DataFrame, spend: DataFrame, coverage: DataFrame, history: int = 24) -> DataFrame:
-    """Each pair's counterparties over the months of history up to its end, one row per month with cost."""
-    span = pairs.select(
-        "company_id",
-        "period",
-        "compare",
-        "start",
-        "end",
-        "c_start",
-        "c_end",
-        F.explode(F.expr(f"sequence(add_months(trunc(end, 'MM'), -{history - 1}), trunc(end, 'MM'), interval 1 month)")).alias("month"),
-    ).join(coverage.select("company_id", "month"), ["company_id", "month"])
-    return span.join(spend, ["company_id", "month"])
+#: Running totals of a counterparty up to a month: rows, cost, months with cost, their cost, squares.
+_TOTALS = ("n", "sum", "pos", "pos_sum", "sq")
 
 
-def spend_rows(pairs: DataFrame, spend: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Per pair and counterparty: amount, comparison, recurrence, run rate, accounts and share."""
-    w = windowed(pairs, spend, coverage)
-    inside = lambda a, b: F.col("month").between(F.trunc(a, "MM"), F.col(b))
+def calendar(coverage: DataFrame) -> DataFrame:
+    """(company_id, month, idx): the months of a company, numbered from 1."""
+    over = Window.partitionBy("company_id").orderBy("month")
+    return coverage.select("company_id", "month").distinct().withColumn("idx", F.row_number().over(over))
+
+
+def series(spend: DataFrame, months: DataFrame) -> DataFrame:
+    """One row per counterparty: its months with cost, and running totals of every month from the first (``at``) on.
+
+    What falls into a period is then the difference of two running totals, so a month of cost is neither copied
+    nor shuffled for the periods that look at it. A company's calendar bounds the arrays.
+    """
+    rows = spend.join(months, ["company_id", "month"])
+    who = ["company_id", "cp_key"]
+    order = Window.partitionBy(*who).orderBy("idx")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    cost, big = F.col("amount") > 0, F.col("amount").cast("decimal(38,0)")
+    totals = {
+        "n": F.count("*").over(upto),
+        "sum": F.sum("amount").over(upto),
+        "pos": F.sum(F.when(cost, 1).otherwise(0)).over(upto),
+        "pos_sum": F.sum(F.when(cost, F.col("amount")).otherwise(0)).over(upto),
+        "sq": F.sum((big * big).cast("decimal(38,0)")).over(upto).cast("decimal(38,0)"),
+    }
+    rows = rows.withColumns(totals | {"next": F.coalesce(F.lead("idx").over(order), F.col("idx") + 1)})
+    listed = F.array_sort(F.collect_list(F.struct("idx", "next", "month", "amount", F.struct(*_TOTALS).alias("upto"), "accounts", "seen")))
+    out = rows.groupBy(*who).agg(listed.alias("active"))
+    steps = F.flatten(F.transform("active", lambda x: F.array_repeat(x["upto"], x["next"] - x["idx"])))
+    return out.select(*who, F.col("active")[0]["idx"].alias("at"), steps.alias("totals"), F.transform("active", lambda x: x.dropFields("next", "upto")).alias("active"))
+
+
+def _between(total: str, first: str, last: str) -> str:
+    """SQL of a total over the months ``first`` to ``last`` (null: none)."""
+    zero = "CAST(0 AS DECIMAL(38,0))" if total == "sq" else "0L"
+    upto = lambda i: f"CASE WHEN {i} < at THEN {zero} ELSE element_at(totals, CAST(least({i} - at + 1, size(totals)) AS INT)).{total} END"
+    return f"CASE WHEN {last} IS NULL THEN {zero} ELSE {upto(last)} - {upto(f'({first} - 1)')} END"
+
+
+def spans(pairs: DataFrame, months: DataFrame, history: int = 24) -> DataFrame:
+    """Pairs with the numbers of their months: the history (``lo`` to ``hi``), its last year and quarter, both periods."""
+    back = F.expr(f"sequence(add_months(trunc(end, 'MM'), -{history - 1}), trunc(end, 'MM'), interval 1 month)")
+    seen = pairs.withColumn("month", F.explode(back)).join(months, ["company_id", "month"])
     pos = F.expr("12 - CAST(months_between(trunc(end, 'MM'), month) AS INT)")  # 1..12 in the last year
-    in_last12 = F.col("month") > F.add_months(F.trunc("end", "MM"), -12)
-    n12 = (
-        pairs.select("company_id", "period", F.explode(F.expr("sequence(add_months(trunc(end, 'MM'), -11), trunc(end, 'MM'), interval 1 month)")).alias("month"))
-        .join(coverage.select("company_id", "month"), ["company_id", "month"])
-        .groupBy("company_id", "period")
-        .agg(F.count("*").alias("n12"))
+    inside = lambda a, b: F.col("month").between(F.trunc(a, "MM"), F.col(b))
+    lowest = lambda test: F.min(F.when(test, F.col("idx")))
+    return seen.groupBy("company_id", "period", "compare", "start", "end").agg(
+        F.min("idx").alias("lo"),
+        F.max("idx").alias("hi"),
+        lowest(pos >= 1).alias("lo12"),
+        lowest(pos >= 10).alias("lo3"),
+        F.array_sort(F.collect_list(F.when(pos >= 1, pos))).alias("positions"),
+        F.array_sort(F.collect_list("month")).alias("months"),
+        *[f.alias(n) for n, f in (("s", lowest(inside("start", "end"))), ("e", F.max(F.when(inside("start", "end"), F.col("idx")))), ("cs", lowest(inside("c_start", "c_end"))), ("ce", F.max(F.when(inside("c_start", "c_end"), F.col("idx")))))],
     )
+
+
+def spend_rows(pairs: DataFrame, spend: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Per pair and counterparty: amount, comparison, recurrence, run rate, accounts and share."""
+    months = calendar(coverage)
     keys = ["company_id", "period", "compare"]
+    total = lambda name, first, last: F.expr(_between(name, first, last))
+    met = series(spend, months).join(spans(pairs, months), "company_id").where(total("n", "lo", "hi") > 0)
+    within = F.filter("active", lambda x: x["idx"].between(F.col("lo"), F.col("hi")))
+    cost = F.filter("within", lambda x: x["amount"] > 0)
+    recent = F.filter("cost", lambda x: x["idx"] >= F.col("lo12"))
     rows = (
-        w.groupBy(*keys, "cp_key")
-        .agg(
-            F.sum(F.when(inside("start", "end"), F.col("amount")).otherwise(0)).alias("amount"),
-            F.sum(F.when(inside("c_start", "c_end"), F.col("amount")).otherwise(0)).alias("compare_amount"),
-            F.array_sort(F.collect_list(F.when(in_last12 & (F.col("amount") > 0), pos))).alias("active"),
-            F.sum(F.when((pos >= 10) & (F.col("amount") > 0), F.col("amount")).otherwise(0)).alias("recent_sum"),
-            F.sum(F.when((pos >= 10) & (F.col("amount") > 0), 1).otherwise(0)).alias("recent_n"),
-            F.min(F.when(F.col("amount") > 0, F.col("month"))).alias("first_month"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("accounts")))).alias("accounts"),
-            F.min("seen").alias("seen"),
+        met.withColumn("within", within)
+        .withColumn("cost", cost)
+        .select(
+            *keys,
+            "cp_key",
+            total("sum", "s", "e").alias("amount"),
+            total("sum", "cs", "ce").alias("compare_amount"),
+            F.transform(recent, lambda x: F.element_at("positions", x["idx"] - F.col("lo12") + 1)).alias("active"),
+            total("pos_sum", "lo3", "CASE WHEN lo3 IS NOT NULL THEN hi END").alias("recent_sum"),
+            total("pos", "lo3", "CASE WHEN lo3 IS NOT NULL THEN hi END").alias("recent_n"),
+            F.expr("CASE WHEN size(cost) > 0 THEN cost[0].month END").alias("first_month"),
+            F.array_sort(F.array_distinct(F.flatten("within.accounts"))).alias("accounts"),
+            F.array_min("within.seen").alias("seen"),
+            F.size("positions").alias("n12"),
         )
-        .join(n12, ["company_id", "period"])
         .withColumn("recurrence", recurrence(F.col("active"), F.col("n12")))
         .withColumn("annualized", F.when((F.col("recurrence") == "monthly") & (F.col("recent_n") > 0), F.expr(money.ratio_half_up("recent_sum * 12", "recent_n", 1))))
     )
@@ -182,31 +225,31 @@ def concentration(rows: DataFrame) -> DataFrame:
 def level_shifts(pairs: DataFrame, spend: DataFrame, coverage: DataFrame, min_active: int = 6, min_side: int = 3, history: int = 24) -> DataFrame:
     """Best structural break of each counterparty's monthly series up to a pair's end.
 
-    Prefix sums and sums of squares are exact integers in two cumulative windows; a break needs
+    Sums and sums of squares on both sides are differences of exact running totals; a break needs
     ``min_side`` months on both sides, a change of at least 20 % and a distance of three mean
     deviations. The earliest of the strongest breaks wins.
     """
     keys = ["company_id", "period", "compare", "cp_key"]
-    w = windowed(pairs, spend, coverage, history).select(*keys, "start", "end", "month", "amount")
-    active = w.groupBy(*keys, "start", "end").agg(F.sum(F.when(F.col("amount") > 0, 1).otherwise(0)).alias("n_active")).where(F.col("n_active") >= min_active)
-    months = (
-        active.select(*keys, "start", "end", F.explode(F.expr(f"sequence(add_months(trunc(end, 'MM'), -{history - 1}), trunc(end, 'MM'), interval 1 month)")).alias("month"))
-        .join(coverage.select("company_id", "month"), ["company_id", "month"])
-        .join(w.select(*keys, "month", "amount"), [*keys, "month"], "left")
-        .withColumn("x", F.coalesce("amount", F.lit(0)).cast("decimal(38,0)"))
-    )
-    before = Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    months = calendar(coverage)
+    total = lambda name, first, last: F.expr(_between(name, first, last))
+    met = series(spend, months).join(spans(pairs, months, history), "company_id").where(total("pos", "lo", "hi") >= min_active)
+    breaks = met.where(F.col("hi") - F.col("lo") + 1 >= 2 * min_side).withColumn("b", F.explode(F.sequence(F.col("lo") + min_side, F.col("hi") - (min_side - 1))))
     d = lambda c: F.col(c).cast("double")
+    exact = lambda name, first, last: total(name, first, last).cast("decimal(38,0)")
     s = (
-        months.withColumn("k", F.count("*").over(before))
-        .withColumn("n", F.count("*").over(whole))
-        .withColumn("sa", F.coalesce(F.sum("x").over(before), F.lit(0)).cast("decimal(38,0)"))
-        .withColumn("qa", F.coalesce(F.sum(F.expr("CAST(x * x AS DECIMAL(38,0))")).over(before), F.lit(0)).cast("decimal(38,0)"))
-        .withColumn("sb", (F.sum("x").over(whole) - F.col("sa")).cast("decimal(38,0)"))
-        .withColumn("qb", (F.sum(F.expr("CAST(x * x AS DECIMAL(38,0))")).over(whole) - F.col("qa")).cast("decimal(38,0)"))
-        .where((F.col("k") >= min_side) & (F.col("n") - F.col("k") >= min_side) & (F.col("sa") > 0))
-        .withColumn("m", F.col("n") - F.col("k"))
+        breaks.select(
+            *keys,
+            "start",
+            "end",
+            F.element_at("months", F.col("b") - F.col("lo") + 1).alias("month"),
+            (F.col("b") - F.col("lo")).cast("bigint").alias("k"),
+            (F.col("hi") - F.col("b") + 1).cast("bigint").alias("m"),
+            exact("sum", "lo", "(b - 1)").alias("sa"),
+            exact("sq", "lo", "(b - 1)").alias("qa"),
+            exact("sum", "b", "hi").alias("sb"),
+            exact("sq", "b", "hi").alias("qb"),
+        )
+        .where(F.col("sa") > 0)
         # all on the same scale: mean difference and deviations in öre
         .withColumn("delta", F.abs(d("sb") / d("m") - d("sa") / d("k")))
         .withColumn("dev_a", F.sqrt(F.expr("CAST(k * qa - sa * sa AS DOUBLE)")) / d("k"))
@@ -307,6 +350,25 @@ def counterparty_vouchers(vouchers: DataFrame, aliases: DataFrame | None, accoun
     return counterparty(folded, aliases).groupBy("company_id", "cp_key", "month").agg(F.sum("n").alias("n_vouchers"))
 
 
+def shift_references(shifts: DataFrame, vouchers: DataFrame, aliases: DataFrame, accounts: Accounts = EXTERNAL_SPEND, limit: int = 6) -> DataFrame:
+    """The first vouchers of a shifted counterparty around its break: three months before it to two after.
+
+    ``shifts``: company_id, period, cp_key, shift_month. Only counterparties named by an alias have references.
+    """
+    texts = F.array_distinct(F.transform(F.filter("rows", lambda r: (r["status"] != "removed") & accounts.on(r["account"])), lambda r: F.coalesce(r["text"], F.lit(""))))
+    rows = vouchers.select("company_id", F.trunc("voucher_date", "MM").alias("month"), "voucher_date", "series", "number", F.col("text").alias("v_text"), F.explode(texts).alias("r_text"))
+    months = F.expr("sequence(add_months(shift_month, -3), add_months(shift_month, 2), interval 1 month)")
+    wanted = shifts.select("company_id", "period", "cp_key", F.explode(months).alias("month"))
+    near = rows.join(wanted.select("company_id", "month").distinct(), ["company_id", "month"], "left_semi")
+    read = read_text(read_text(near, "r_text", "r_"), "v_text", "v_")
+    folded = read.groupBy("company_id", "r_full", "v_full").agg(F.min("r_label").alias("r_label"), F.min("v_label").alias("v_label"))
+    named = counterparty(folded, aliases).where("cp_source = 'alias'").select("company_id", "r_full", "v_full", "cp_key")
+    hits = read.join(named, ["company_id", "r_full", "v_full"]).select("company_id", "month", "cp_key", "voucher_date", "series", "number").distinct()
+    order = Window.partitionBy("company_id", "period", "cp_key").orderBy("voucher_date", "series", "number")
+    found = hits.join(wanted, ["company_id", "month", "cp_key"]).withColumn("place", F.row_number().over(order))
+    return found.where(F.col("place") <= limit).select("company_id", "period", "cp_key", "place", F.concat("series", "number").alias("voucher"), "voucher_date")
+
+
 def exact_copies(vouchers: DataFrame, min_cost: int = 10_000) -> DataFrame:
     """Vouchers of one day with identical rows (texts ignored), at least ``min_cost`` of cost.
 
@@ -332,60 +394,3 @@ def exact_copies(vouchers: DataFrame, min_cost: int = 10_000) -> DataFrame:
         .withColumn("pattern", F.substring(F.sha2("spelled", 256), 1, 20))
         .drop("spelled")
     )
-
-
-# --------------------------------------------------------------------- tax account matching
-def tax_reconciliation(statement: DataFrame, booked: DataFrame, tolerance: int = 3) -> DataFrame:
-    """Greedy one-to-one match of statement and ledger rows: equal amount, within some days.
-
-    Matching decomposes by (company, amount) and further by runs of dates: rows more than
-    ``tolerance`` days away from their neighbour can never compete, so each run is its own small
-    group. ``statement``/``booked``: company_id, date, amount, ord (file order). Returns every row
-    with its partner's ord or NULL.
-    """
-    both = statement.select("company_id", "amount", F.lit("statement").alias("side"), "date", "ord").unionByName(
-        booked.select("company_id", "amount", F.lit("ledger").alias("side"), "date", "ord")
-    )
-    # Runs are found on distinct days per (company, amount), not on rows.
-    days = both.select("company_id", "amount", "date").distinct()
-    w = Window.partitionBy("company_id", "amount").orderBy("date")
-    starts = days.withColumn("new", F.when(F.datediff("date", F.lag("date").over(w)) <= tolerance, 0).otherwise(1))
-    runs = starts.withColumn("run", F.sum("new").over(w)).select("company_id", "amount", "date", "run")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "ord"], kind="stable").reset_index(drop=True)
-        ledger = pdf.index[pdf["side"] == "ledger"].tolist()
-        day = pd.to_datetime(pdf["date"]).map(pd.Timestamp.toordinal).tolist()
-        partner: list[int | None] = [None] * len(pdf)
-        free = ledger
-        for i in pdf.index[pdf["side"] == "statement"]:
-            for pos, j in enumerate(free):
-                if abs(day[i] - day[j]) <= tolerance:
-                    partner[i], partner[j] = int(pdf.at[j, "ord"]), int(pdf.at[i, "ord"])
-                    free = free[:pos] + free[pos + 1 :]
-                    break
-        pdf["partner"] = pd.array(partner, dtype="Int64")
-        return pdf[["company_id", "amount", "side", "date", "ord", "partner"]]
-
-    placed = both.join(runs, ["company_id", "amount", "date"])
-    key = ["company_id", "amount", "run"]
-    # A run with one row on each side matches outright and a run with one side only never does;
-    # only crowded runs need the ordered greedy pass.
-    sides = placed.groupBy(*key).agg(
-        F.sum(F.when(F.col("side") == "statement", 1).otherwise(0)).alias("n_s"),
-        F.sum(F.when(F.col("side") == "ledger", 1).otherwise(0)).alias("n_l"),
-        F.max(F.when(F.col("side") == "statement", F.col("ord"))).alias("s_ord"),
-        F.max(F.when(F.col("side") == "ledger", F.col("ord"))).alias("l_ord"),
-    )
-    plain = (F.col("n_s") <= 1) & (F.col("n_l") <= 1) | (F.col("n_s") == 0) | (F.col("n_l") == 0)
-    single = (F.col("n_s") == 1) & (F.col("n_l") == 1)
-    partner = F.when(single, F.when(F.col("side") == "statement", F.col("l_ord")).otherwise(F.col("s_ord")))
-    alone = placed.join(sides.where(plain), key).select(
-        "company_id", "amount", "side", "date", "ord", partner.alias("partner")
-    )
-    matched = (
-        placed.join(sides.where(~plain).select(*key), key, "left_semi")
-        .groupBy(*key)
-        .applyInPandas(match, "company_id string, amount bigint, side string, date date, ord bigint, partner bigint")
-    )
-    return matched.unionByName(alone)

@@ -191,23 +191,45 @@ def periods_to_review(coverage: DataFrame, latest: DataFrame, approved: DataFram
     return wanted.join(booked, ["company_id", "month"], "left_semi").join(approved.select("company_id", "month"), ["company_id", "month"], "left_anti")
 
 
-def source_fingerprint(hashes: DataFrame, year_balances: DataFrame, versions_text: str) -> DataFrame:
-    """Fingerprint of everything an analysis rests on, per company.
+#: Hexadecimal digits of the two numbers that a row's digest gives.
+_DIGITS = 15
 
-    Order independent: counts and sums of row hashes, so nothing is collected or sorted.
+
+def _multiset(rows: DataFrame, digest: str, *keys: str) -> DataFrame:
+    """Count and two sums of the rows' digests by ``keys``.
+
+    Sums do not depend on order, and rows are taken out of a sum by subtracting them.
     """
-    v = hashes.groupBy("company_id").agg(
-        F.count("*").alias("n_vouchers"),
-        F.sum(F.conv(F.substring("content_hash", 1, 12), 16, 10).cast("decimal(38,0)")).alias("vouchers"),
-        F.sum(F.conv(F.substring("content_hash", 13, 12), 16, 10).cast("decimal(38,0)")).alias("vouchers2"),
-    )
-    y = year_balances.groupBy("company_id").agg(
-        F.count("*").alias("n_balances"),
-        F.sum(
-            F.conv(F.substring(F.sha2(F.concat_ws("|", "fy_start", "kind", "account", "amount"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
-        ).alias("balances"),
-    )
-    return v.join(y, "company_id", "left").select(
-        "company_id",
-        F.sha2(F.concat_ws("|", "n_vouchers", "vouchers", "vouchers2", F.coalesce("n_balances", F.lit(0)), F.coalesce("balances", F.lit(0)), F.lit(versions_text)), 256).alias("fingerprint"),
-    )
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, _DIGITS), 16, 10).cast("decimal(38,0)"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), part(1).alias("a"), part(1 + _DIGITS).alias("b"))
+
+
+def voucher_parts(hashes: DataFrame) -> DataFrame:
+    """(company_id, month, n, a, b): fingerprints of the vouchers (company_id, month, content_hash) of a month."""
+    return _multiset(hashes, "content_hash", "company_id", "month")
+
+
+def updated_parts(parts: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The fingerprints after an import, from those before it and the vouchers that it added and removed."""
+    gone = voucher_parts(removed).select("company_id", "month", *[(-F.col(c)).alias(c) for c in ("n", "a", "b")])
+    summed = parts.unionByName(voucher_parts(added)).unionByName(gone).groupBy("company_id", "month")
+    return summed.agg(*[F.sum(c).cast(t).alias(c) for c, t in (("n", "bigint"), ("a", "decimal(38,0)"), ("b", "decimal(38,0)"))]).where("n <> 0")
+
+
+def source_fingerprint(pairs: DataFrame, parts: DataFrame, year_balances: DataFrame, settings: list[str]) -> DataFrame:
+    """Fingerprint of all that the comparison of two periods rests on.
+
+    That is the vouchers of both periods' months (``voucher_parts``), the company's year balances and
+    ``settings``: mapping, rates and rules, one text each. ``pairs``: company_id, period, compare, start, end, c_start, c_end.
+    """
+    spark = pairs.sparkSession
+    span = lambda side, a, b: pairs.select("company_id", "period", "compare", F.lit(side).alias("side"), F.explode(F.expr(f"sequence(trunc({a}, 'MM'), trunc({b}, 'MM'), interval 1 month)")).alias("month"))
+    months = span("now", "start", "end").unionByName(span("then", "c_start", "c_end")).join(parts, ["company_id", "month"], "left").na.fill(0, ["n"])
+    total = lambda side, c: F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c))), F.lit(0)).cast("decimal(38,0)").cast("string")
+    sides = months.groupBy("company_id", "period", "compare").agg(*[total(side, c).alias(f"{side}_{c}") for side in ("now", "then") for c in ("n", "a", "b")])
+    spelled = year_balances.select("company_id", F.sha2(F.concat_ws("|", "fy_start", "kind", "account", "amount"), 256).alias("digest"))
+    balances = _multiset(spelled, "digest", "company_id").select("company_id", F.concat_ws("|", "n", F.col("a").cast("string"), F.col("b").cast("string")).alias("balances"))
+    told = _multiset(spark.createDataFrame([(s,) for s in settings], "s string").select(F.sha2("s", 256).alias("digest")), "digest")
+    told = told.select(F.concat_ws("|", "n", F.col("a").cast("string"), F.col("b").cast("string")).alias("told")).first()[0]  # one row
+    text = F.concat_ws("|", *[f"{side}_{c}" for side in ("now", "then") for c in ("n", "a", "b")], F.coalesce("balances", F.lit("")), F.lit(told))
+    return sides.join(balances, "company_id", "left").select("company_id", "period", "compare", F.sha2(text, 256).alias("fingerprint"))

@@ -6,6 +6,7 @@ first time a plan asks for them.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from functools import cached_property
 
@@ -22,11 +23,11 @@ from ledgerloom.operators import statements as S
 from ledgerloom.operators import versions as V
 from ledgerloom.operators.controls.base import Context, run
 from ledgerloom.operators.voucher_facts import voucher_facts
-from ledgerloom.session import JOB_CONF, stage
+from ledgerloom.session import JOB_CONF, scratch_dir, stage
 from ledgerloom.sources import demo
+from ledgerloom.streaming import landing
+from ledgerloom.streaming.landing import Landing
 
-#: The lifecycle plans follow all controls; of duplicates the exact ones, which plain SQL can check.
-REVIEW_PARAMS = {"DUPLICATE_CANDIDATE": {"similar": False}}
 _BOOKS: dict[tuple[str, str], Book] = {}
 
 
@@ -45,6 +46,10 @@ class Book:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    @staticmethod
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        return stage(df, name)
+
     @cached_property
     def vouchers(self) -> DataFrame:
         return stage(demo.vouchers(self.spark, self.sf_dir), "vouchers", even=True, by="fy_start", order=("company_id", "voucher_date"))
@@ -157,10 +162,22 @@ class Book:
             tables.append(stage(V.merge(tables[-1], acts, scope, seq), "voucher_versions"))
         return tables
 
+    @cached_property
+    def landing(self) -> Landing:
+        """Sales vouchers landed in three deliveries, with the log folded into the base after the first."""
+        home = f"{scratch_dir(self.spark).rstrip('/')}/landing-{uuid.uuid4().hex}"
+        landed = Landing(self.spark, f"{home}/tables")
+        for n, delivery in enumerate(demo.deliveries(self.vouchers)):
+            delivery.select(*Landing._typed(delivery)).write.parquet(f"{home}/arrived/delivery={n}")
+            landing.stream(self.spark, f"{home}/arrived/delivery=*", landed.root, f"{home}/progress", max_files=1_000_000).awaitTermination()
+            if n == 0:
+                landed.compact()
+        return landed
+
     @cached_property
     def candidates(self) -> DataFrame:
         """Findings of all controls, the input of the lifecycle plans."""
-        return stage(run(replace(self.context, params=REVIEW_PARAMS, changed=self.changed)), "candidates")
+        return stage(run(replace(self.context, changed=self.changed)), "candidates")
 
     @cached_property
     def approved(self) -> DataFrame:

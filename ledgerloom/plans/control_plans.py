@@ -76,8 +76,14 @@ def ctl_duplicate_similar(book: Book) -> DataFrame:
     )
 
 
+def ctl_aml_members(book: Book) -> DataFrame:
+    """The vouchers behind the links of ``ctl_aml_in_out``, with the first voucher of their day and amount."""
+    links = aml.rapid_in_out_links(book.facts, 10_000_000, 5, 5)
+    return aml.rapid_in_out_members(book.facts, links, 10_000_000).withColumn("date", F.col("date").cast("string"))
+
+
 def findings_all(book: Book) -> DataFrame:
-    """All findings of the review chain: every control, of duplicates the exact ones (``ctl_duplicate_similar`` has the others)."""
+    """All findings of the review chain: every control, exact and similar duplicates alike."""
     return book.candidates.select(
         "company_id", "review", "rule_code", "severity", "visibility", "period", "fingerprint", F.array_join("vouchers", ",").alias("vouchers"), "amount", "variant"
     )
@@ -115,9 +121,14 @@ CONTROLS = {
 QUERIES = {name: partial(_control, code) for name, code in CONTROLS.items()}
 QUERIES |= {
     f.__name__: f
-    for f in (maturity, voucher_patterns, ctl_duplicate_exact, ctl_duplicate_pairs, ctl_duplicate_similar, findings_all)
+    for f in (maturity, voucher_patterns, ctl_duplicate_exact, ctl_duplicate_pairs, ctl_duplicate_similar, ctl_aml_members, findings_all)
 }
 
+_IO = """fl AS (SELECT * FROM vf WHERE vid NOT IN (SELECT vid FROM tag WHERE tag IN ('customer_payment', 'payroll', 'tax_account'))),
+fin AS (SELECT * FROM fl WHERE bank >= 10000000 AND NOT amlc),
+fout AS (SELECT * FROM fl WHERE bank <= -10000000 AND NOT amls),
+io AS (SELECT a.company_id, a.month, a.vdate AS idate, b.vdate AS odate, a.i, b.o, a.amt, b.oamt, a.ni, b.no FROM (SELECT company_id, month, vdate, bank AS amt, min(voucher) AS i, count(*) AS ni FROM fin GROUP BY ALL) a
+ JOIN (SELECT company_id, vdate, -bank AS oamt, min(voucher) AS o, count(*) AS no FROM fout GROUP BY ALL) b ON b.company_id = a.company_id AND b.vdate - a.vdate BETWEEN 0 AND 5 AND abs(b.oamt - a.amt) * 100 <= a.amt * 5)"""
 _OUT = "strftime({m}, '%Y-%m')"
 VF = """vf AS (
  SELECT vid, company_id, series, number, series || number AS voucher, vdate, reg, text, month, fy, count(*) AS n, sum(amount) AS bal,
@@ -150,11 +161,11 @@ tag AS (SELECT vid, unnest([x for x in [CASE WHEN vat_only THEN 'vat_settlement'
   CASE WHEN supp AND money AND len(accs) <= 3 THEN 'supplier_payment' END, CASE WHEN supp AND costasset THEN 'supplier_invoice' END,
   CASE WHEN cust AND rev THEN 'customer_invoice' END] if x IS NOT NULL]) AS tag FROM vf),
 rout AS (SELECT DISTINCT vid FROM tag WHERE tag NOT IN ('supplier_invoice', 'customer_invoice')),
-chart(account, name) AS (VALUES (1220,'Inventarier'),(1510,'Kundfordringar'),(1685,'Fordran delägare'),(1910,'Kassa'),(1930,'Företagskonto'),(2081,'Aktiekapital'),
+chart(account, name) AS (VALUES (1220,'Inventarier'),(1510,'Kundfordringar'),(1630,'Skattekonto'),(1685,'Fordran delägare'),(1910,'Kassa'),(1930,'Företagskonto'),(2081,'Aktiekapital'),
  (2091,'Balanserat resultat'),(2099,'Årets resultat'),(2120,'Periodiseringsfond Tax 2021'),(2393,'Lån från delägare'),(2440,'Leverantörsskulder'),
- (2611,'Utgående moms 25 %'),(2621,'Utgående moms 12 %'),(2641,'Ingående moms'),(2710,'Personalskatt'),(2731,'Arbetsgivaravgifter'),(2893,'Skuld till närstående'),
+ (2611,'Utgående moms 25 %'),(2621,'Utgående moms 12 %'),(2641,'Ingående moms'),(2710,'Personalskatt'),(2731,'Arbetsgivaravgifter'),(2893,'Skuld till närstående'),(2920,'Upplupna semesterlöner'),
  (2999,'OBS-konto'),(3001,'Försäljning'),(4010,'Varuinköp'),(5010,'Lokalhyra'),(6110,'Kontorsmaterial'),(6310,'Företagsförsäkring'),(6540,'IT-tjänster'),
- (6550,'Konsultarvoden'),(7210,'Löner tjänstemän'),(7510,'Arbetsgivaravgifter'),(8811,'Avsättning periodiseringsfond')),
+ (6550,'Konsultarvoden'),(7210,'Löner tjänstemän'),(7290,'Förändring av semesterlöneskuld'),(7510,'Arbetsgivaravgifter'),(8811,'Avsättning periodiseringsfond')),
 co AS (SELECT CAST(n_nationkey AS VARCHAR) AS company_id, CASE WHEN n_nationkey % 9 = 4 THEN 'EF' ELSE 'AB' END AS form,
   (n_nationkey % 4 = 0) AS overdraft, (n_nationkey % 5 = 0) AS food, CASE n_nationkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 12 END AS vstep,
   CASE WHEN n_nationkey % 8 = 0 THEN ['A', 'C'] ELSE ['A'] END AS manual, n_nationkey % 10 = 0 AS susp FROM nation),
@@ -353,10 +364,14 @@ tr AS (SELECT w.company_id, w.month, l.label, coalesce(sum(CASE WHEN l.label = '
     "ctl_aml_cash": _sql(_f("p WHERE account BETWEEN 1910 AND 1919 AND abs(amount) >= 5000000", "series || number || '|' || account", v="series || number", a="CAST(account AS VARCHAR)", amt="amount")),
     "ctl_aml_round": _sql(_f("p WHERE (account BETWEEN 1360 AND 1369 OR account BETWEEN 1680 AND 1689 OR account BETWEEN 2390 AND 2399 OR account BETWEEN 2890 AND 2899) AND abs(amount) >= 5000000 AND amount % 1000000 = 0", "series || number || '|' || account", sev="'LOW'", v="series || number", a="CAST(account AS VARCHAR)", amt="amount")),
     "ctl_aml_in_out": _sql(
-        _f("io", "i || '|' || o", v="i || ',' || o", amt="amt", var="CAST(n AS VARCHAR)"),
-        """fl AS (SELECT * FROM vf WHERE vid NOT IN (SELECT vid FROM tag WHERE tag IN ('customer_payment', 'payroll', 'tax_account'))),
-io AS (SELECT a.company_id, a.month, a.vid, any_value(a.voucher) AS i, first(b.voucher ORDER BY b.vdate, abs(-b.bank - a.bank), b.voucher) AS o, any_value(a.bank) AS amt, count(*) AS n FROM fl a JOIN fl b ON b.company_id = a.company_id AND b.vdate - a.vdate BETWEEN 0 AND 5
- AND a.bank >= 10000000 AND NOT a.amlc AND b.bank <= -10000000 AND NOT b.amls AND abs(-b.bank - a.bank) * 100 <= a.bank * 5 GROUP BY 1, 2, 3)""",
+        _f("io", "i || '|' || o", v="i || ',' || o", amt="amt", var="ni || 'x' || no"),
+        _IO,
+    ),
+    "ctl_aml_members": _sql(
+        """SELECT DISTINCT company_id, side, strftime(vdate, '%Y-%m-%d') AS date, amount, class_voucher, voucher FROM (
+ SELECT f.company_id, 'in' AS side, f.vdate, f.bank AS amount, i AS class_voucher, f.voucher FROM fin f JOIN io ON io.company_id = f.company_id AND io.idate = f.vdate AND io.amt = f.bank
+ UNION ALL SELECT f.company_id, 'out', f.vdate, -f.bank, o, f.voucher FROM fout f JOIN io ON io.company_id = f.company_id AND io.odate = f.vdate AND io.oamt = -f.bank)""",
+        _IO,
     ),
     "maturity": _sql(
         """SELECT company_id, strftime(month, '%Y-%m') AS month, CASE WHEN pbook IS NOT DISTINCT FROM false OR compl < 60 THEN 'PRELIMINARY' ELSE 'COMPLETE' END AS status, method AS accounting_method,
@@ -371,7 +386,25 @@ io AS (SELECT a.company_id, a.month, a.vid, any_value(a.voucher) AS i, first(b.v
 _DUP = """dr AS (SELECT DISTINCT p.company_id, p.account, abs(p.amount) AS amount, trim(regexp_replace(lower(p.text), '\\s+', ' ', 'g')) AS norm, p.vdate, p.series || p.number AS voucher
  FROM p JOIN vf USING (vid) WHERE p.vid NOT IN (SELECT vid FROM tag WHERE tag IN ('vat_settlement', 'payroll', 'payroll_tax', 'tax_account', 'depreciation', 'accrual'))
  AND ((p.account BETWEEN 2440 AND 2449 AND p.amount <= -100000) OR (p.account BETWEEN 4000 AND 7999 AND p.amount >= 100000 AND NOT vf.supp)))"""
+# The ratio of two texts is twice the characters in matching blocks by all characters: the longest common block, the
+# first in one text and then in the other, and the same on both sides of it.
+_SIM = """sd AS (SELECT company_id, account, amount, norm, vdate, min(voucher) AS voucher, count(DISTINCT voucher) AS n FROM dr WHERE norm <> '' GROUP BY ALL),
+tp AS (SELECT a.company_id, a.account, a.amount, a.norm AS x, b.norm AS y, a.voucher AS original, b.voucher, b.vdate, b.vdate - a.vdate AS days_apart, a.n * b.n AS n_pairs, length(a.norm) + length(b.norm) AS chars
+ FROM sd a JOIN sd b ON b.company_id = a.company_id AND b.account = a.account AND b.amount = a.amount AND b.norm <> a.norm AND b.vdate - a.vdate BETWEEN 0 AND 14 AND (b.vdate > a.vdate OR b.voucher > a.voucher)
+ WHERE 2 * least(length(a.norm), length(b.norm)) * 10 >= 8 * (length(a.norm) + length(b.norm))),
+mb(x, y, a, b, got) AS (SELECT DISTINCT x, y, x, y, CAST(0 AS BIGINT) FROM tp
+ UNION ALL SELECT x, y, u.a, u.b, u.got FROM (SELECT x, y, unnest([{'a': '', 'b': '', 'got': best.l}, {'a': substr(a, 1, best.s - 1), 'b': substr(b, 1, instr(b, substr(a, best.s, best.l)) - 1), 'got': CAST(0 AS BIGINT)},
+   {'a': substr(a, best.s + best.l), 'b': substr(b, instr(b, substr(a, best.s, best.l)) + best.l), 'got': CAST(0 AS BIGINT)}]) AS u
+  FROM (SELECT x, y, a, b, {'l': best.l, 's': -best.s} AS best FROM (SELECT x, y, a, b, list_sort(flatten(list_transform(range(1, length(a) + 1), lambda s: list_transform(
+    list_filter(range(1, length(a) - s + 2), lambda l: contains(b, substr(a, s, l))), lambda l: {'l': l, 's': -s}))), 'DESC')[1] AS best FROM mb WHERE a <> '' AND b <> '') WHERE best IS NOT NULL))),
+ms AS (SELECT x, y, CAST(sum(got) AS BIGINT) AS common FROM mb GROUP BY x, y),
+sl AS (SELECT tp.*, common FROM tp JOIN ms USING (x, y) WHERE 20 * common >= 8 * chars)"""
 SQL |= {
+    "ctl_duplicate_similar": _sql(
+        """SELECT company_id, account, amount, original, voucher, strftime(vdate, '%Y-%m-%d') AS voucher_date, CAST(days_apart AS INTEGER) AS days_apart, n_pairs, CAST((400 * common + chars) // (2 * chars) AS DOUBLE) / 100 AS similarity FROM sl""",
+        _DUP,
+        _SIM,
+    ),
     "ctl_duplicate_exact": _sql(
         """SELECT b.company_id, b.account, b.amount, b.norm, strftime(b.vdate, '%Y-%m-%d') AS voucher_date, b.voucher, coalesce(f.first, e.voucher) AS original,
  CASE WHEN f.first IS NOT NULL THEN 0 ELSE b.vdate - e.vdate END AS days_apart,

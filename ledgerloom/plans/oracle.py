@@ -48,6 +48,9 @@ v AS (
          CASE kind WHEN 'payroll' THEN 'Lön' WHEN 'reserve' THEN 'Avsättning periodiseringsfond' WHEN 'loan' THEN 'Lån delägare'
          WHEN 'inflow' THEN 'Insättning ägare' ELSE party END FROM lin2
   UNION ALL SELECT 'o' || lid, company_id, 'A', num, CAST(d + 2 AS DATE), CAST(reg + 2 AS DATE), 'Utbetalning ägare' FROM lin2 WHERE kind = 'inflow'
+  UNION ALL SELECT 't' || lid, company_id, 'A', num || '-S', CAST(d + 5 AS DATE), CAST(reg + 5 AS DATE), 'Skattekonto inbetalning' FROM lin2 WHERE kind = 'payroll' AND sk % 4 = 0
+  UNION ALL SELECT 'u' || lid, company_id, 'A', num || '-T', CAST(d + 12 AS DATE), CAST(reg + 12 AS DATE), 'Skattekonto dragning' FROM lin2 WHERE kind = 'payroll' AND sk % 4 = 1
+  UNION ALL SELECT 'w' || lid, company_id, 'A', num || '-V', d, reg, 'Semesterlöneskuld' FROM lin2 WHERE kind = 'payroll' AND CAST(company_id AS INTEGER) % 4 = 1 AND month(d) NOT BETWEEN 6 AND 8
   UNION ALL SELECT 'r' || lid, company_id, 'A', num, CAST(d + 3 AS DATE), CAST(reg + 3 AS DATE), 'Rättelse ' || party
          FROM lin2 WHERE kind = 'invoice' AND rf = 'R' AND pk % 37 = 0
   UNION ALL SELECT 'k' || lid, company_id, 'D', num || '-K', CAST(d + CASE WHEN sk % 3 = 0 THEN 0 ELSE 5 END AS DATE), CAST(reg + CASE WHEN sk % 3 = 0 THEN 0 ELSE 5 END AS DATE),
@@ -73,6 +76,12 @@ r AS (
   UNION ALL SELECT 'l' || lid, 2, 1930, -(net - tax), 'normal' FROM lin2 WHERE kind = 'payroll'
   UNION ALL SELECT 'l' || lid, 3, 7510, contr, 'normal' FROM lin2 WHERE kind = 'payroll'
   UNION ALL SELECT 'l' || lid, 4, 2731, -contr, 'normal' FROM lin2 WHERE kind = 'payroll'
+  UNION ALL SELECT 't' || lid, 0, 1630, round_amt, 'normal' FROM lin2 WHERE kind = 'payroll' AND sk % 4 = 0
+  UNION ALL SELECT 't' || lid, 1, 1930, -round_amt, 'normal' FROM lin2 WHERE kind = 'payroll' AND sk % 4 = 0
+  UNION ALL SELECT 'u' || lid, 0, 2710, round_amt, 'normal' FROM lin2 WHERE kind = 'payroll' AND sk % 4 = 1
+  UNION ALL SELECT 'u' || lid, 1, 1630, -round_amt, 'normal' FROM lin2 WHERE kind = 'payroll' AND sk % 4 = 1
+  UNION ALL SELECT 'w' || lid, 0, 7290, net * 12 // 100, 'normal' FROM lin2 WHERE kind = 'payroll' AND CAST(company_id AS INTEGER) % 4 = 1 AND month(d) NOT BETWEEN 6 AND 8
+  UNION ALL SELECT 'w' || lid, 1, 2920, -(net * 12 // 100), 'normal' FROM lin2 WHERE kind = 'payroll' AND CAST(company_id AS INTEGER) % 4 = 1 AND month(d) NOT BETWEEN 6 AND 8
   UNION ALL SELECT 'l' || lid, 0, 8811, net, 'normal' FROM lin2 WHERE kind = 'reserve'
   UNION ALL SELECT 'l' || lid, 1, 2120, -net, 'normal' FROM lin2 WHERE kind = 'reserve'
   UNION ALL SELECT 'l' || lid, 0, 1685, round_amt, 'normal' FROM lin2 WHERE kind = 'loan'

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.plans.book import open_book
 
-MODULES = ("statement_plans", "control_plans", "explain_plans", "spend_plans", "review_plans", "text_plans", "ingest_plans")
+MODULES = ("statement_plans", "control_plans", "explain_plans", "spend_plans", "review_plans", "text_plans", "ingest_plans", "landing_plans", "tax_plans", "source_plans")
 
 
 def _modules():

@@ -7,6 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import ranges as R
+from ledgerloom.functions.rates import RATES
 from ledgerloom.operators import bridges as B
 from ledgerloom.operators import cases as C
 from ledgerloom.operators import differences as D
@@ -76,9 +78,17 @@ def periods_to_review(book: Book) -> DataFrame:
     )
 
 
+def _settings() -> list[str]:
+    """Everything that decides how figures are read: line and category ranges, dated rates and rules."""
+    line = [f"line|{name}|{lo}|{hi}" for name, (lo, hi) in (R.INCOME_LEAVES | R.BALANCE_LEAVES).items()]
+    category = [f"category|{code}|{parent}|{accounts.sql('account')}" for code, parent, accounts in R.CATEGORIES]
+    rule = [f"rule|{r.code}|{r.severity}|{r.valid_from}|{r.valid_to}|{sorted(r.params.items())}" for r in base.CATALOG.values()]
+    return [*line, *category, *["|".join(["rate", *map(str, r)]) for r in RATES], *rule]
+
+
 def source_fingerprint(book: Book) -> DataFrame:
-    hashes = book.vouchers.select("company_id", content_hash().alias("content_hash"))
-    return V.source_fingerprint(hashes, book.year_balances, "calc-1")
+    hashes = book.vouchers.select("company_id", F.trunc("voucher_date", "MM").alias("month"), content_hash().alias("content_hash"))
+    return V.source_fingerprint(book.year_pairs("month", "quarter", "rolling"), V.voucher_parts(hashes), book.year_balances, _settings())
 
 
 def reconcile_findings(book: Book) -> DataFrame:
@@ -93,7 +103,7 @@ def rule_precision(book: Book) -> DataFrame:
 
 def approval_snapshot(book: Book) -> DataFrame:
     """Findings seen in each approved period, with the imports that the approval rests on."""
-    wanted = book.coverage.where("covered AND month BETWEEN DATE'2026-01-01' AND DATE'2026-12-01'").select("company_id", F.date_format("month", "yyyy-MM").alias("period"))
+    wanted = book.coverage.where("covered").select("company_id", F.date_format("month", "yyyy-MM").alias("period"))
     blocked = FI.approval_gate(FI.period_status(book.records, book.maturity), wanted.withColumn("override_note", F.lit("")))
     approved = blocked.where("result = 'approved'").select("company_id", "period")
     seq = F.max(F.coalesce("valid_to", "valid_from"))
@@ -140,7 +150,7 @@ def period_status(book: Book) -> DataFrame:
 
 
 def approval_gate(book: Book) -> DataFrame:
-    requests = book.coverage.where("month BETWEEN DATE'2026-01-01' AND DATE'2026-12-01'").select(
+    requests = book.coverage.select(
         "company_id",
         F.date_format("month", "yyyy-MM").alias("period"),
         F.when(F.month("month") % 4 == 0, "granskat manuellt").alias("override_note"),
@@ -275,7 +285,9 @@ _CHANGED = """SELECT company_id, strftime(month, '%Y-%m') AS review, strftime(mo
  '' AS accounts, CAST(NULL AS BIGINT) AS amount, CAST(count(*) AS VARCHAR) AS variant FROM (SELECT company_id, number, CASE WHEN NOT i2 THEN 'ADDED' WHEN NOT i3 THEN 'REMOVED' ELSE 'CHANGED' END AS kind, CAST(date_trunc('month', vdate) AS DATE) AS month FROM vi WHERE rng AND ((i2 <> i3) OR (i2 AND i3 AND x2 <> x3)) AND CAST(company_id AS INTEGER) % 2 = 0)
  WHERE (company_id, month) IN (SELECT company_id, month FROM cov WHERE covered) GROUP BY company_id, month"""
 _DUPLICATE = f"""SELECT company_id, voucher_date[:7] AS review, voucher_date[:7] AS period, 'HIGH' AS severity, least(original, voucher) || '|' || greatest(original, voucher) AS key, original || ',' || voucher AS vouchers,
- CAST(account AS VARCHAR) AS accounts, amount, 'exact' AS variant FROM ({O.inner(CONTROL_SQL['ctl_duplicate_exact'], VF)})"""
+ CAST(account AS VARCHAR) AS accounts, amount, 'exact' AS variant FROM ({O.inner(CONTROL_SQL['ctl_duplicate_exact'], VF)})
+ UNION ALL SELECT company_id, voucher_date[:7], voucher_date[:7], 'MEDIUM', least(original, voucher) || '|' || greatest(original, voucher), original || ',' || voucher,
+ CAST(account AS VARCHAR), amount, 'similar' FROM ({O.inner(CONTROL_SQL['ctl_duplicate_similar'], VF)})"""
 _PARTS = {code: O.inner(CONTROL_SQL[name], VF) for name, code in CONTROLS.items()}
 _PARTS |= {"DUPLICATE_CANDIDATE": _DUPLICATE, "CHANGED_AFTER_APPROVAL": O.inner(O.query(_CHANGED, VER), VF)}
 _FIN = (
@@ -452,7 +464,7 @@ SQL |= {
     ),
     "approval_gate": O.query(
         """SELECT c.company_id, strftime(c.month, '%Y-%m') AS period, CASE WHEN p.company_id IS NULL THEN 'not_reviewed' WHEN (p.n_high > 0 OR p.prel) AND month(c.month) % 4 <> 0 THEN 'blocked' ELSE 'approved' END AS result
- FROM cov c LEFT JOIN pst p ON p.company_id = c.company_id AND p.period = strftime(c.month, '%Y-%m') WHERE c.month BETWEEN DATE '2026-01-01' AND DATE '2026-12-01'""",
+ FROM cov c LEFT JOIN pst p ON p.company_id = c.company_id AND p.period = strftime(c.month, '%Y-%m')""",
         _FIN, MAT, _PS,
     ),
     "portfolio": O.query(
@@ -470,7 +482,26 @@ SQL |= {
         _FIN, MAT, _PS, O.periods_cte("rolling"), FIG,
     ),
 }
+_PARTS_OF = "CAST(count(*) AS VARCHAR) || '|' || CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) || '|' || CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR)"
+_QUOTED = ", ".join("('" + s.replace("'", "''") + "')" for s in _settings())
 SQL |= {
+    "source_fingerprint": O.query(
+        """SELECT company_id, period, compare, sha256(n1 || '|' || a1 || '|' || b1 || '|' || n0 || '|' || a0 || '|' || b0 || '|' || coalesce(balances, '') || '|' || (SELECT told FROM se)) AS fingerprint FROM (
+ SELECT x.company_id, x.period, x.compare, any_value(y.balances) AS balances,
+  CAST(coalesce(sum(n) FILTER (h.month BETWEEN x.s AND x.e), 0) AS VARCHAR) AS n1, CAST(coalesce(sum(a) FILTER (h.month BETWEEN x.s AND x.e), 0) AS VARCHAR) AS a1, CAST(coalesce(sum(b) FILTER (h.month BETWEEN x.s AND x.e), 0) AS VARCHAR) AS b1,
+  CAST(coalesce(sum(n) FILTER (h.month BETWEEN x.cs AND x.ce), 0) AS VARCHAR) AS n0, CAST(coalesce(sum(a) FILTER (h.month BETWEEN x.cs AND x.ce), 0) AS VARCHAR) AS a0, CAST(coalesce(sum(b) FILTER (h.month BETWEEN x.cs AND x.ce), 0) AS VARCHAR) AS b0
+ FROM pair x LEFT JOIN vh h ON h.company_id = x.company_id AND h.month BETWEEN x.cs AND x.e LEFT JOIN yh y ON y.company_id = x.company_id GROUP BY x.company_id, x.period, x.compare)""",
+        O.periods_cte("month", "quarter", "rolling"),
+        """bq AS (SELECT vid, string_agg(account || '|' || amount || '||' || status, chr(10) ORDER BY rn) AS body FROM r GROUP BY vid),
+vh AS (SELECT company_id, month, count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS a, sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS b FROM (
+ SELECT company_id, CAST(date_trunc('month', vdate) AS DATE) AS month, sha256(series || '|' || number || '|' || strftime(vdate, '%Y-%m-%d') || '|' || trim(text) || chr(10) || body) AS h FROM v JOIN bq USING (vid)) GROUP BY 1, 2),
+f1 AS (SELECT DISTINCT company_id, CAST(date_trunc('year', lo) AS DATE) AS fy_start FROM fy),
+yb AS (SELECT company_id, fy_start, account, CAST(amount AS BIGINT) AS amount FROM f1, ib0
+ UNION ALL SELECT company_id, DATE '2025-01-01', account, CAST(sum(amount) AS BIGINT) FROM (SELECT f.company_id, i.account, CAST(i.amount AS BIGINT) AS amount FROM f1 f, ib0 i UNION ALL SELECT company_id, 1510, CAST(50000 AS BIGINT) FROM f1
+  UNION ALL SELECT company_id, CASE WHEN account < 3000 THEN account ELSE 2099 END, amount FROM mm WHERE month < DATE '2025-01-01') WHERE CAST(company_id AS INTEGER) % 6 = 1 GROUP BY company_id, account),
+yh AS (SELECT company_id, """ + _PARTS_OF + """ AS balances FROM (SELECT company_id, sha256(strftime(fy_start, '%Y-%m-%d') || '|IB|' || account || '|' || amount) AS h FROM yb) GROUP BY company_id),
+se AS (SELECT """ + _PARTS_OF + f""" AS told FROM (SELECT sha256(s) AS h FROM (VALUES {_QUOTED}) t(s)))""",
+    ),
     "portfolio_counters": f"""SELECT count(*) FILTER (list_contains(r, 'missing_data')) AS missing_data, count(*) FILTER (open_high > 0) AS high_findings, count(*) FILTER (list_contains(r, 'changed_after_approval')) AS changed_after_approval,
  count(*) FILTER (list_contains(r, 'connection_error')) AS connection_errors, CAST(sum(CAST(company_id AS INTEGER) % 4) AS BIGINT) AS unanswered_questions, count(*) FILTER (list_contains(r, 'margin_drop')) AS margin_drops
  FROM (SELECT *, string_split(reasons, ',') AS r FROM ({SQL['portfolio']}))""",
@@ -479,7 +510,7 @@ SQL |= {
  FROM cov c JOIN pst p ON p.company_id = c.company_id AND p.period = strftime(c.month, '%Y-%m') AND NOT (p.n_high > 0 OR p.prel)
  LEFT JOIN (SELECT *, unnest(seen) AS per FROM rec) s ON s.company_id = c.company_id AND s.per = strftime(c.month, '%Y-%m')
  LEFT JOIN (SELECT company_id, string_agg(strftime(fy, '%Y-%m-%d') || '=' || seq, ',' ORDER BY fy) AS fy_seqs FROM (SELECT company_id, CAST(date_trunc('year', vdate) AS DATE) AS fy, max(coalesce(valid_to, valid_from)) AS seq FROM ver GROUP BY 1, 2) GROUP BY 1) q ON q.company_id = c.company_id
- WHERE c.covered AND c.month BETWEEN DATE '2026-01-01' AND DATE '2026-12-01'""",
+ WHERE c.covered""",
         _FIN, MAT, _PS, VER,
     ),
     "findings_listing": O.query(f"SELECT company_id, fp AS fingerprint, rule_code, severity, period, status FROM rec WHERE status IN {_OPENS} AND (period = '2025-06' OR list_contains(seen, '2025-06'))", _FIN),

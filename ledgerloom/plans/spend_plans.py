@@ -1,4 +1,4 @@
-"""Registered queries: counterparties, spend report, level shifts, candidates, tax account."""
+"""Registered queries: counterparties, spend report, level shifts, candidates."""
 
 from __future__ import annotations
 
@@ -83,15 +83,23 @@ def frequency_changes(book: Book) -> DataFrame:
     return E.frequency_changes(changes, pairs, E.counterparty_vouchers(book.vouchers, book.aliases))
 
 
-def recent_level_shifts(book: Book) -> DataFrame:
-    """Confirmed counterparties with a break in the last six of 24 full months, at least 1 000 kr."""
+def _recent_shifts(book: Book) -> DataFrame:
     pairs = book.month_pairs()
     full = _full_history(book, pairs, 24)
     confirmed = book.spend.where("seen.cp_confidence >= 98")
     s = E.level_shifts(pairs.join(full, ["company_id", "period"], "left_semi"), confirmed, book.coverage, min_active=1)
-    return s.where("shift_month >= add_months(trunc(end, 'MM'), -5) AND abs(after - before) >= 100000").select(
-        "company_id", "period", "cp_key", F.date_format("shift_month", "yyyy-MM").alias("shift_month"), "before", "after"
-    )
+    return s.where("shift_month >= add_months(trunc(end, 'MM'), -5) AND abs(after - before) >= 100000")
+
+
+def recent_level_shifts(book: Book) -> DataFrame:
+    """Confirmed counterparties with a break in the last six of 24 full months, at least 1 000 kr."""
+    return _recent_shifts(book).select("company_id", "period", "cp_key", F.date_format("shift_month", "yyyy-MM").alias("shift_month"), "before", "after")
+
+
+def level_shift_references(book: Book) -> DataFrame:
+    """The vouchers that a recent level shift refers to."""
+    shifts = book.stage(_recent_shifts(book).select("company_id", "period", "cp_key", "shift_month"), "recent_shifts")
+    return E.shift_references(shifts, book.vouchers, book.aliases).withColumn("voucher_date", F.col("voucher_date").cast("string"))
 
 
 def exact_duplicates(book: Book) -> DataFrame:
@@ -100,21 +108,11 @@ def exact_duplicates(book: Book) -> DataFrame:
     )
 
 
-def tax_reconciliation(book: Book) -> DataFrame:
-    """Payroll tax postings against a statement derived from them: shifted dates, some rows lost."""
-    rows = book.facts.select("company_id", "voucher_date", "number", F.explode("eff").alias("r")).where("r.account = 2710")
-    booked = rows.select("company_id", F.col("voucher_date").alias("date"), F.col("r.amount").alias("amount"), F.abs(F.xxhash64("number")).alias("ord"))
-    statement = booked.where("ord % 7 <> 0").select(
-        "company_id", F.expr("date_add(date, CAST(ord % 5 AS INT))").alias("date"), "amount", "ord"
-    )
-    return E.tax_reconciliation(statement, booked).select("company_id", "side", F.col("date").cast("string").alias("date"), "amount", "ord", "partner")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         counterparty_texts, counterparty_spend, spend_report, spend_new, spend_disappeared, concentration, recurrence, level_shift,
-        recurring_changes, frequency_changes, recent_level_shifts, exact_duplicates, tax_reconciliation,
+        recurring_changes, frequency_changes, recent_level_shifts, level_shift_references, exact_duplicates,
     )
 }
 
@@ -182,6 +180,7 @@ ls AS (SELECT *, {O.half_up('sa', 'k', 1)} AS before, {O.half_up('sb', 'm', 1)}
 
 from ledgerloom.plans.statement_plans import _CATS  # noqa: E402
 
+_FULL = "fp AS (SELECT x.* FROM pair x WHERE (SELECT count(*) FROM cov c WHERE c.company_id = x.company_id AND c.covered AND c.month BETWEEN x.e - INTERVAL 23 MONTH AND x.e) = 24)"
 _Q = O.periods_cte("quarter")
 _M = O.periods_cte("month", back=1)
 _RC = f"""fh AS (SELECT x.company_id, x.period FROM pair x JOIN cov c ON c.company_id = x.company_id AND c.covered AND c.month BETWEEN x.e - INTERVAL 11 MONTH AND x.e GROUP BY 1, 2 HAVING count(*) = 12),
@@ -237,7 +236,17 @@ SQL = {
     "recent_level_shifts": O.query(
         """SELECT company_id, period, cp_key, strftime(month, '%Y-%m') AS shift_month, before, after FROM ls WHERE month >= e - INTERVAL 5 MONTH AND abs(after - before) >= 100000""",
         _M, SP,
-        "fp AS (SELECT x.* FROM pair x WHERE (SELECT count(*) FROM cov c WHERE c.company_id = x.company_id AND c.covered AND c.month BETWEEN x.e - INTERVAL 23 MONTH AND x.e) = 24)",
+        _FULL,
+        shifts_sql(1, True).format(pairs="fp"),
+    ),
+    "level_shift_references": O.query(
+        """SELECT company_id, period, cp_key, CAST(place AS INTEGER) AS place, voucher, strftime(vdate, '%Y-%m-%d') AS voucher_date FROM (
+ SELECT l.company_id, l.period, l.cp_key, s.series || s.number AS voucher, s.vdate, row_number() OVER (PARTITION BY l.company_id, l.period, l.cp_key ORDER BY s.vdate, s.series, s.number) AS place
+ FROM ls l JOIN (SELECT DISTINCT company_id, month, cp_key, vdate, series, number FROM sp WHERE conf = 98) s
+  ON s.company_id = l.company_id AND s.cp_key = l.cp_key AND s.month BETWEEN l.month - INTERVAL 3 MONTH AND l.month + INTERVAL 2 MONTH
+ WHERE l.month >= l.e - INTERVAL 5 MONTH AND abs(l.after - l.before) >= 100000) WHERE place <= 6""",
+        _M, SP,
+        _FULL,
         shifts_sql(1, True).format(pairs="fp"),
     ),
     "exact_duplicates": O.query(

@@ -8,7 +8,7 @@ remainders, so they grow with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ledger as L
@@ -138,8 +138,8 @@ def purchase_vouchers(spark: SparkSession, sf_dir: str, text: bool = True) -> Da
     else:
         base = base.withColumn("party", F.lit(""))
 
-    def one(series: str, label: str, rows: str, date: str = "d", reg: str = "reg") -> str:
-        return _voucher(series, "num", date, reg, label, f"array({rows})")
+    def one(series: str, label: str, rows: str, date: str = "d", reg: str = "reg", number: str = "num") -> str:
+        return _voucher(series, number, date, reg, label, f"array({rows})")
 
     invoice_rows = f"{_row('acc', 'net')}, {_row('2641', 'vat')}, {_row('credit', '-(net + vat)')}"
     invoice = one("D", "party", invoice_rows)
@@ -164,6 +164,13 @@ def purchase_vouchers(spark: SparkSession, sf_dir: str, text: bool = True) -> Da
         f"{_row('7210', 'net')}, {_row('2710', '-tax')}, {_row('1930', '-(net - tax)')}, "
         f"{_row('7510', 'contr')}, {_row('2731', '-contr')}",
     )
+    tax_in = one("A", "'Skattekonto inbetalning'", f"{_row('1630', 'round_amt')}, {_row('1930', '-round_amt')}", "date_add(d, 5)", "date_add(reg, 5)", "concat(num, '-S')")
+    tax_out = one("A", "'Skattekonto dragning'", f"{_row('2710', 'round_amt')}, {_row('1630', '-round_amt')}", "date_add(d, 12)", "date_add(reg, 12)", "concat(num, '-T')")
+    vacation = one("A", "'Semesterlöneskuld'", f"{_row('7290', 'net * 12 div 100')}, {_row('2920', '-(net * 12 div 100)')}", number="concat(num, '-V')")
+    wages = (
+        f"array_compact(array({payroll}, CASE WHEN sk % 4 = 0 THEN {tax_in} WHEN sk % 4 = 1 THEN {tax_out} END, "
+        f"CASE WHEN CAST(company_id AS INT) % 4 = 1 AND month(d) NOT BETWEEN 6 AND 8 THEN {vacation} END))"
+    )
     reserve = one("A", "'Avsättning periodiseringsfond'", f"{_row('8811', 'net')}, {_row('2120', '-net')}")
     loan = one("A", "'Lån delägare'", f"{_row('1685', 'round_amt')}, {_row('1930', '-round_amt')}")
     inflow = one("A", "'Insättning ägare'", f"{_row('1930', 'net * 3')}, {_row('2893', '-net * 3')}")
@@ -175,7 +182,7 @@ def purchase_vouchers(spark: SparkSession, sf_dir: str, text: bool = True) -> Da
         "date_add(reg, 2)",
     )
     vouchers = (
-        f"CASE kind WHEN 'payroll' THEN array({payroll}) WHEN 'reserve' THEN array({reserve}) "
+        f"CASE kind WHEN 'payroll' THEN {wages} WHEN 'reserve' THEN array({reserve}) "
         f"WHEN 'loan' THEN array({loan}) WHEN 'inflow' THEN array({inflow}, {outflow}) "
         f"ELSE CASE WHEN l_returnflag = 'R' AND pk % 37 = 0 THEN array({invoice}, {reversal}) "
         f"WHEN pk % 83 = 0 THEN array({invoice}, {copy}) ELSE array({invoice}) END END"
@@ -229,6 +236,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHART = {
     1220: "Inventarier",
     1510: "Kundfordringar",
+    1630: "Skattekonto",
     1685: "Fordran delägare",
     1910: "Kassa",
     1930: "Företagskonto",
@@ -244,6 +252,7 @@ CHART = {
     2710: "Personalskatt",
     2731: "Arbetsgivaravgifter",
     2893: "Skuld till närstående",
+    2920: "Upplupna semesterlöner",
     2999: "OBS-konto",
     3001: "Försäljning",
     4010: "Varuinköp",
@@ -253,6 +262,7 @@ CHART = {
     6540: "IT-tjänster",
     6550: "Konsultarvoden",
     7210: "Löner tjänstemän",
+    7290: "Förändring av semesterlöneskuld",
     7510: "Arbetsgivaravgifter",
     8811: "Avsättning periodiseringsfond",
 }
@@ -344,6 +354,47 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_kinds(fiscal_years: DataFrame) -> DataFrame:
+    """Fiscal years with what is known of each: ``vouchers``, ``psaldo`` (period balances) or ``annual`` (year balances)."""
+    n, year = F.col("company_id").cast("int") % 5, F.year("fy_start")
+    last = F.max("fy_start").over(Window.partitionBy("company_id"))
+    kind = (
+        F.when(n == 1, "psaldo")
+        .when((n == 2) & (F.col("fy_start") < last), "annual")
+        .when(n == 3, F.element_at(F.array(F.lit("vouchers"), F.lit("psaldo"), F.lit("annual")), year % 3 + 1))
+        .otherwise("vouchers")
+    )
+    return fiscal_years.withColumn("kind", kind).withColumn("has_vouchers", F.col("kind") == "vouchers").withColumn("covered_months", F.lit(None).cast("array<date>"))
+
+
+def mixed_amounts(movements: DataFrame, kinds: DataFrame, openings: DataFrame, balances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Period and year balances of the years without vouchers, from the true openings and month-end balances.
+
+    Some months and rows are left out; every other such year states its own opening balance.
+    """
+    years = kinds.select("company_id", "fy_start", "fy_end", "kind", "opening_status")
+    inside = movements.join(years, "company_id").where("month BETWEEN fy_start AND fy_end")
+    result = inside.where("kind = 'psaldo' AND account >= 3000").select("company_id", "fy_start", "month", "account", "amount")
+    moved = inside.where("kind = 'psaldo' AND account < 3000").select("company_id", "fy_start", "month", "account")
+    at_end = moved.join(balances, ["company_id", "fy_start", "month", "account"], "left").select("company_id", "fy_start", "month", "account", F.coalesce("balance", F.lit(0)).alias("amount"))
+    at_end = at_end.where("NOT (account % 10 = 0 AND month(month) = 11)")
+    periods = result.unionByName(at_end).where("NOT (CAST(company_id AS INT) % 5 = 3 AND month(month) = 7)").withColumn("kind", F.lit("PSALDO"))
+    stated = years.where("opening_status <> 'missing' OR (kind <> 'vouchers' AND year(fy_start) % 2 = 0)")
+    ib = openings.join(stated.select("company_id", "fy_start"), ["company_id", "fy_start"], "left_semi").select("company_id", "fy_start", F.lit("IB").alias("kind"), "account", "amount")
+    res = inside.where("kind = 'annual' AND account >= 3000").groupBy("company_id", "fy_start", "account").agg(F.sum("amount").alias("amount")).withColumn("kind", F.lit("RES"))
+    ends = years.where("kind = 'annual'").select("company_id", "fy_start", F.trunc("fy_end", "MM").alias("month"))
+    ub = balances.join(ends, ["company_id", "fy_start", "month"]).select("company_id", "fy_start", F.lit("UB").alias("kind"), "account", F.col("balance").alias("amount"))
+    return periods, ib.unionByName(res).unionByName(ub)
+
+
+def tax_statement(booked: DataFrame) -> DataFrame:
+    """The authority's view of the tax account: most booked rows up to four days later, and some interest."""
+    part = lambda k: F.split(F.split("id", r"\|")[1], "-")[k].cast("bigint")
+    seen = booked.where(part(0) % 7 != 0).select("company_id", F.date_add("date", (part(2) % 5).cast("int")).alias("date"), "amount", "id")
+    interest = booked.where(part(0) % 11 == 0).select("company_id", F.date_add("date", 1).alias("date"), F.lit(1500).cast("bigint").alias("amount"), F.concat("id", F.lit("|R")).alias("id"))
+    return seen.unionByName(interest)
+
+
 # ------------------------------------------------------------------------- imports and reviews
 IMPORT_RANGE = ("2025-03-10", "2025-06-20")
 
@@ -370,6 +421,21 @@ def imports(vouchers: DataFrame) -> list[DataFrame]:
     return [first, second, third]
 
 
+def deliveries(vouchers: DataFrame) -> list[DataFrame]:
+    """The sales vouchers as they arrive: most of them, some of these provisional; corrections and the rest; some again."""
+    sales = vouchers.where("series = 'B'").withColumn("k", F.col("number").cast("bigint"))
+    columns = vouchers.columns
+    double = F.transform("rows", lambda r: r.withField("amount", r["amount"] * 2))
+    early = sales.where("k % 20 <> 0").select(
+        *[c for c in columns if c not in ("text", "voucher_date", "rows")],
+        F.when(F.col("k") % 15 == 1, F.concat("text", F.lit(" (prel)"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("k") % 31 == 5, F.col("fy_start")).otherwise(F.col("voucher_date")).alias("voucher_date"),
+        F.when(F.col("k") % 31 == 5, double).otherwise(F.col("rows")).alias("rows"),
+    )
+    late = sales.where("k % 20 = 0 OR k % 15 = 1 OR k % 31 = 5")
+    return [df.select(*columns) for df in (early, late, sales.where("k % 10 = 3"))]
+
+
 def import_scopes(fiscal_years: DataFrame) -> list[DataFrame]:
     whole = fiscal_years.select("company_id", "fy_start", F.col("fy_start").alias("lo"), F.col("fy_end").alias("hi"))
     lo, hi = IMPORT_RANGE

@@ -8,10 +8,13 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import parse_amount, parse_day
+from ledgerloom.session import stage
+from ledgerloom.sources import scans
 
 # Delimiters of exported lists, preferred ones first.
 DELIMITERS = (";", "\t", ",", "|")
@@ -110,6 +113,116 @@ def to_lines(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInPandas(run, "file string, line_no int, line string")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row per text line of a folder's files: file, line_no, line. Files are read in splits, whatever their size.
+
+    Lines end with a line feed, a carriage return or both. A line's number is the number of lines in earlier
+    splits and its place in its own. The encoding of a file is chosen from all its lines, as ``encoding_of`` does.
+    UTF-16 files cannot be split by bytes; they are read whole.
+    """
+    bounds = spark.read.option("recursiveFileLookup", "true").text(path)
+    raw = bounds.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col("value").cast("binary").alias("raw"),
+    )
+    raw = stage(raw, "text_lines")
+    counts = raw.groupBy("file", "at").agg(F.count("*").alias("n"))
+    offsets = counts.select("file", "at", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("from"))
+    # splits are bounded; rows of a split were written in their order
+    inside = F.row_number().over(Window.partitionBy("file", "at").orderBy("row"))
+    placed = raw.withColumn("i", inside).join(offsets, ["file", "at"]).select("file", (F.col("from") + F.col("i")).cast("int").alias("line_no"), "raw")
+    kinds = stage(encodings(raw), "text_encodings")
+    named = placed.join(kinds.where("encoding <> 'utf-16'"), "file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [raw.as_py().decode(name.as_py(), errors="replace") for raw, name in zip(batch.column("raw"), batch.column("encoding"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("line_no"), pa.array(lines, pa.string())], ["file", "line_no", "line"])
+
+    split = named.mapInArrow(run, "file string, line_no int, line string")
+    wide = kinds.where("encoding = 'utf-16'").select("file")
+    if wide.isEmpty():
+        return split
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(f"length < {1 << 31}")
+    return split.unionByName(to_lines(whole.select(F.col("_metadata.file_path").alias("file"), "content").join(wide, "file", "left_semi")))
+
+
+def encodings(raw: DataFrame) -> DataFrame:
+    """(file, encoding) from all lines (file, at, row, raw bytes) of each file; ``at`` 0 and the least row hold its first line."""
+    latin = F.decode("raw", "ISO-8859-1")
+    votes = lambda page: F.sum(F.length(latin) - F.length(F.translate(latin, bytes(LETTERS.encode(page)).decode("latin-1"), "")))
+    heads = F.min_by(F.hex(F.substring("raw", 1, 3)), F.struct("at", "row"))
+    seen = raw.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"),
+        *[votes(page).alias(page) for page in CODE_PAGES],
+        F.bool_or(F.upper(latin).contains("#FORMAT PC8")).alias("pc8"),
+        heads.alias("head"),
+    )
+    marked = F.when(F.col("head").startswith("FFFE") | F.col("head").startswith("FEFF"), "utf-16").when(F.col("head") == "EFBBBF", "utf-8-sig")
+    first, second = CODE_PAGES
+    page = F.when(F.col(first) == F.col(second), F.when(F.col("pc8"), second).otherwise(first)).when(F.col(first) > F.col(second), first).otherwise(second)
+    return seen.select("file", F.coalesce(marked, F.when(F.col("utf8"), "utf-8"), page).alias("encoding"))
+
+
+def quote_state(line: str, delimiter: str) -> tuple[bool, bool]:
+    """Whether a quoted field is open after a line that began outside one, and after one that began inside one."""
+    out = []
+    for inside in (False, True):
+        start, i = not inside, 0  # ``start``: at the first character of a field
+        while i < len(line):
+            c = line[i]
+            if inside:
+                if c == '"':
+                    if line[i + 1 : i + 2] == '"':
+                        i += 1
+                    else:
+                        inside = False
+            elif c == delimiter:
+                start, i = True, i + 1
+                continue
+            elif c == '"' and start:
+                inside = True
+            start, i = False, i + 1
+        out.append(inside)
+    return out[0], out[1]
+
+
+def line_cells(lines: DataFrame) -> DataFrame:
+    """One row per record of delimited lines, with all its columns: file, line_no of its first line, cells.
+
+    A quoted field may go on over several lines. Each line is summed up by what it does to an open or closed
+    quote; these compose along the file, so that a line knows its own state without its file being read in order.
+    """
+    told = lines.join(delimiters(lines), "file", "left").withColumn("delimiter", F.coalesce("delimiter", F.lit(DELIMITERS[0])))
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [quote_state(x, d) if '"' in (x := line.as_py() or "") else (False, True) for line, d in zip(batch.column("line"), batch.column("delimiter").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c for c, _ in ends]), pa.array([o for _, o in ends])], [*batch.schema.names, "closed", "opened"])
+
+    told = stage(told.mapInArrow(states, "file string, line_no int, line string, delimiter string, closed boolean, opened boolean"), "quote_states")
+    # a line sets the state, keeps it, or turns it over
+    turned = scans.running_sum(told, F.when(F.col("closed") & ~F.col("opened"), 1), "turns", before=True)
+    fixed = F.when(F.col("closed") == F.col("opened"), F.struct(F.col("closed").alias("value"), F.col("turns").alias("turns")))
+    known = scans.last_known(turned, fixed, "fixed", before=True)
+    inside = F.coalesce(F.col("fixed.value").cast("int"), F.lit(0)) + F.col("turns") - F.coalesce("fixed.turns", F.lit(0))
+    begun = scans.last_known(known.withColumn("starts", inside % 2 == 0), F.when(F.col("starts"), F.col("line_no")), "record")
+    begun = stage(begun.select("file", "line_no", "record", "line", "delimiter"), "quote_records")
+    longer = begun.where("line_no > record").select("file", "record").distinct()
+    single = begun.join(longer, ["file", "record"], "left_anti").select("file", "line_no", "delimiter", F.array("line").alias("lines"))
+    packed = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    several = begun.join(longer, ["file", "record"], "left_semi").groupBy("file", F.col("record").alias("line_no")).agg(F.first("delimiter").alias("delimiter"), F.transform(packed, lambda x: x["line"]).alias("lines"))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [next(csv.reader(held, delimiter=d), []) for held, d in zip(batch.column("lines").to_pylist(), batch.column("delimiter").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("line_no"), pa.array(rows, pa.list_(pa.string()))], ["file", "line_no", "cells"])
+
+    return single.unionByName(several).mapInArrow(cells, "file string, line_no int, cells array<string>")
+
+
 def to_cells(files: DataFrame) -> DataFrame:
     """One row per record of a delimited file, with all its columns: file, line_no, cells."""
 

@@ -1,19 +1,21 @@
 """Bulk ingest of SIE files as one job over a folder.
 
 Lines are tokenised with one regular expression, vouchers are found by carrying the last opened
-voucher forward inside a file, and every record type is a filtered projection. Every line ends as data or as
-an issue.
+voucher forward over the chunks of a file (``scans``), and every record type is a filtered projection. Every
+line ends as data or as an issue. ``read_folder`` reads files in splits of lines, whatever their size.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import let, parse_amount, parse_day
-from ledgerloom.sources.files import to_lines
+from ledgerloom.session import stage
+from ledgerloom.sources import scans
+from ledgerloom.sources.files import read_lines, to_lines
 
 TOKEN = r'\{(?:"(?:\\"|[^"])*"|[^}"])*\}|"(?:\\"|[^"])*"|[^\s{}"]+'
 ITEM = r'"(?:\\"|[^"])*"|[^\s{}"]+'
@@ -54,13 +56,11 @@ def records(lines: DataFrame) -> DataFrame:
     rec = lines.withColumn("tokens", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).withColumn(
         "label", F.when(F.col("line").startswith("#"), F.upper(F.get("tokens", F.lit(0)))).otherwise(F.when(F.col("line").isin("{", "}"), F.col("line")))
     )
-    order = Window.partitionBy("file").orderBy("line_no")
     # A voucher is open from #VER until its closing brace, or until any other record starts.
     event = F.when(F.col("label").isin(*ROW_LABELS, "{") | F.col("label").isNull(), F.lit(None)).otherwise(F.struct("label", "line_no"))
-    upto = lambda end: F.last("event", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, end))
-    out = rec.withColumn("event", event).withColumn("now", upto(0)).withColumn("before", upto(-1))
-    opened = lambda e: F.when(F.col(f"{e}.label") == "#VER", F.col(f"{e}.line_no"))
-    return out.withColumn("voucher_line", opened("now")).withColumn("closes_line", opened("before")).drop("event", "now", "before")
+    out = scans.last_known(rec, event, "before", before=True)
+    opened = lambda e: F.when(e["label"] == "#VER", e["line_no"])
+    return out.withColumn("voucher_line", opened(F.coalesce(event, "before"))).withColumn("closes_line", opened(F.col("before"))).drop("before")
 
 
 def _objects(token: Column) -> Column:
@@ -112,9 +112,14 @@ def read_sie(files: DataFrame) -> SieTables:
     return parse_lines(to_lines(files))
 
 
+def read_folder(spark: SparkSession, path: str) -> SieTables:
+    """All files of a folder, read line by line in splits."""
+    return parse_lines(stage(read_lines(spark, path), "sie_text"))
+
+
 def parse_lines(lines: DataFrame) -> SieTables:
     """``lines``: file, line_no, line."""
-    rec = records(lines)
+    rec = stage(records(lines), "sie_records")
     first = lambda label, i=1: F.max_by(F.when(F.col("label") == label, _field(i)), F.when(F.col("label") == label, F.col("line_no")))
     head = rec.groupBy("file").agg(
         first("#FNAMN").alias("name"), first("#ORGNR").alias("org_number"), first("#VALUTA").alias("currency"), first("#SIETYP").alias("sie_type")
@@ -238,10 +243,13 @@ def parse_lines(lines: DataFrame) -> SieTables:
 
 def _brace_issues(rec: DataFrame) -> DataFrame:
     """Braces outside vouchers, and vouchers that another record or the end of the file cuts off."""
-    braces = rec.where("label = '{'").withColumn("first", F.min("line_no").over(Window.partitionBy("file", "voucher_line")))
-    stray = braces.where("voucher_line IS NULL OR line_no > first").select("file", "line_no")
+    braces = rec.where("label = '{'").select("file", "voucher_line", "line_no")
+    inside = braces.where("voucher_line IS NOT NULL")
+    firsts = inside.groupBy("file", "voucher_line").agg(F.min("line_no").alias("first"))
+    stray = braces.where("voucher_line IS NULL").select("file", "line_no")
+    stray = stray.unionByName(inside.join(firsts, ["file", "voucher_line"]).where("line_no > first").select("file", "line_no"))
     stray = stray.unionByName(rec.where("label = '}' AND closes_line IS NULL").select("file", "line_no"))
-    started = braces.where("voucher_line IS NOT NULL").select("file", "voucher_line").distinct()
+    started = firsts.select("file", "voucher_line")
     cut = rec.where("closes_line IS NOT NULL AND label IS NOT NULL AND label <> '{' AND label <> '}'").where(~F.col("label").isin(*ROW_LABELS))
     cut = cut.select("file", F.col("closes_line").alias("voucher_line"), "line_no").join(started, ["file", "voucher_line"], "left_semi")
     ended = rec.where("closes_line IS NOT NULL AND label IS NOT NULL AND label <> '{'").where(~F.col("label").isin(*ROW_LABELS))
