@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
-from ledgerloom.functions.ranges import PAYROLL_MASKED, TREE_COSTS, category_parent, cost_category, statement_line
+from ledgerloom.functions.ranges import PAYROLL_MASKED, category_parent, statement_line
 from ledgerloom.operators import periods as P
 from ledgerloom.operators import statements as S
 from ledgerloom.operators.metrics import METRICS
@@ -418,7 +418,3 @@ def structure_accounts(series: DataFrame, movements: DataFrame, lines: tuple[str
         .groupBy("company_id", "period", "line", label.alias("row"))
         .agg(F.sum("amount").alias("amount"))
     )
-
-
-def category_of(account: Column) -> Column:
-    return F.when(TREE_COSTS.on(account), category_parent(cost_category(account)))

@@ -73,6 +73,45 @@ CATALOG: dict[str, Rule] = {
 }
 ORDER = {code: i for i, code in enumerate(CATALOG)}
 
+#: What a finding of a rule says, in the words that users of the rule see and mute.
+TITLES: dict[str, str] = {
+    "UNBALANCED_VOUCHER": "Verifikationen balanserar inte",
+    "IB_NE_PREV_UB": "Ingående balans avviker från förra årets utgående",
+    "VOUCHER_NUMBER_GAP": "Lucka eller dubblett i nummerserien",
+    "LATE_BOOKING": "Sent bokförd",
+    "CHANGED_AFTER_APPROVAL": "Ändrad efter godkännande",
+    "ACCOUNT_NOT_IN_CHART": "Kontot saknas i kontoplanen",
+    "ABNORMAL_SIGN": "Saldo med fel tecken",
+    "INPUT_VAT_RATIO": "Ingående moms stämmer inte med kostnaden",
+    "VAT_ACCOUNTS_NOT_CLEARED": "Momskonton är inte omförda",
+    "OUTPUT_VAT_RATIO": "Utgående moms stämmer inte med försäljningen",
+    "PAYROLL_TAX_NOT_CLEARED": "Personalskatt eller avgifter är inte betalda",
+    "EMPLOYER_CONTRIBUTION_RATIO": "Arbetsgivaravgifter avviker från lönerna",
+    "TAX_ACCOUNT_BALANCE": "Skattekontot har ett saldo",
+    "SUSPENSE_ACCOUNT_BALANCE": "Observationskonto har ett saldo",
+    "ASSETS_WITHOUT_DEPRECIATION": "Tillgångar utan avskrivning",
+    "VACATION_LIABILITY_STATIC": "Semesterlöneskulden är oförändrad",
+    "TAX_ALLOCATION_RESERVE_DUE": "Periodiseringsfond ska återföras",
+    "NEGATIVE_BANK": "Bankkonto med negativt saldo",
+    "RELATED_PARTY_RECEIVABLE": "Fordran på närstående",
+    "EQUITY_BELOW_HALF_SHARE_CAPITAL": "Eget kapital under halva aktiekapitalet",
+    "DUPLICATE_CANDIDATE": "Kan vara bokförd två gånger",
+    "LARGE_MANUAL_POSTING": "Stor manuell bokning nära periodens slut",
+    "RAPID_REVERSAL": "Bokning som snart vändes",
+    "UNUSUAL_ACCOUNT_COMBINATION": "Ovanlig kombination av konton",
+    "COST_DEVIATION": "Kostnaden avviker från tidigare månader",
+    "REVENUE_COST_TREND": "Tydlig förändring över tolv månader",
+    "AML_LARGE_CASH": "Stor kontantrörelse",
+    "AML_ROUND_AMOUNTS_RELATED": "Jämnt belopp med närstående",
+    "AML_RAPID_IN_OUT": "Insättning som snart betalades ut",
+}
+
+
+def description(rule: str = "rule_code", vouchers: str = "vouchers", accounts: str = "accounts", variant: str = "variant") -> Column:
+    """The text of a finding: what its rule says, its vouchers and accounts, and the variant."""
+    title = F.element_at(F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair]), F.col(rule))
+    return F.concat_ws(" ", title, F.array_join(vouchers, " "), F.array_join(F.transform(accounts, lambda a: a.cast("string")), " "), variant)
+
 
 @dataclass
 class Context:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.counterparty import decide as decide_key
 from ledgerloom.functions.counterparty import read_text
 from ledgerloom.functions.scalars import amount_bucket
+from ledgerloom.operators.controls.base import description
 
 # Status groups.
 OPEN = ("NEW", "IN_PROGRESS", "ASK_CLIENT")
@@ -22,7 +23,8 @@ def match_suppressions(candidates: DataFrame, suppressions: DataFrame, today: st
     """First matching mute rule per candidate; restricted signals are never muted.
 
     ``suppressions``: id, rule_code, reason, expires_at, company_id, accounts, text_contains,
-    max_amount. The join is on the rule; the remaining tests filter its few rules.
+    max_amount. The text is looked for in what the finding says (``description``). The join is on the rule; the
+    remaining tests filter its few rules.
     """
     s = suppressions.where(F.col("expires_at").isNull() | (F.col("expires_at") >= F.lit(today).cast("date"))).select(
         "rule_code",
@@ -33,7 +35,7 @@ def match_suppressions(candidates: DataFrame, suppressions: DataFrame, today: st
         F.lower("text_contains").alias("s_text"),
         "max_amount",
     )
-    text = F.lower(F.concat_ws(" ", F.array_join("vouchers", " "), "variant"))
+    text = F.lower(description())
     hit = (
         (F.col("s_company").isNull() | (F.col("s_company") == F.col("company_id")))
         & (F.col("s_accounts").isNull() | (F.size("s_accounts") == 0) | F.arrays_overlap("s_accounts", "accounts"))

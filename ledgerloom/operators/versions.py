@@ -159,6 +159,27 @@ def merge_coverage(previous: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def file_precedence(files: DataFrame) -> DataFrame:
+    """Which file counts for each day of a fiscal year: (company_id, fy_start, lo, hi, file), joined to whole stretches.
+
+    ``files``: company_id, fy_start, file, ord (rises with age rank: the newest is the largest), kind (``full``,
+    ``partial`` or ``summary``), lo, hi. The newest file with vouchers that covers a day counts, so a full export
+    replaces the year and a partial one only its own days; a summary counts only where the year has no vouchers.
+    A sweep over the starts and ends of a year's files gives the stretches in which the covering files do not change.
+    """
+    key = ["company_id", "fy_start"]
+    booked = files.groupBy(*key).agg(F.max(F.col("kind") != "summary").alias("booked"))
+    counted = files.join(booked, key).where("kind <> 'summary' OR NOT booked").where("lo <= hi")
+    cuts = counted.select(*key, F.explode(F.array("lo", F.date_add("hi", 1))).alias("cut")).distinct()
+    order = Window.partitionBy(*key).orderBy("cut")
+    spans = cuts.withColumn("next", F.lead("cut").over(order)).where("next IS NOT NULL")
+    live = spans.join(counted.select(*key, "file", "ord", "lo", "hi"), key).where("lo <= cut AND hi >= cut")
+    best = live.groupBy(*key, "cut", "next").agg(F.max_by("file", F.struct("ord", "file")).alias("file"))
+    starts = (F.lag("next").over(order).eqNullSafe(F.col("cut")) & F.lag("file").over(order).eqNullSafe(F.col("file"))).cast("int")
+    runs = best.withColumn("starts", 1 - starts).withColumn("run", F.sum("starts").over(order))
+    return runs.groupBy(*key, "run").agg(F.min("cut").alias("lo"), F.date_sub(F.max("next"), 1).alias("hi"), F.first("file").alias("file")).drop("run")
+
+
 def latest_imports(runs: DataFrame) -> DataFrame:
     """The import that counts per fiscal year: voucher imports before summaries, then the newest."""
     w = Window.partitionBy("company_id", "fy_start").orderBy(F.desc("has_vouchers"), F.desc("seq"))

@@ -30,7 +30,6 @@ from ledgerloom.plans.explain_plans import _EXPL, _PW
 from ledgerloom.plans.spend_plans import SP
 from ledgerloom.plans.statement_plans import _CATS, FIG
 from ledgerloom.session import stage
-from ledgerloom.sources import demo
 
 TODAY = "2028-12-20"
 
@@ -304,7 +303,7 @@ cn AS (SELECT company_id, fp, rule_code, visibility, list(DISTINCT review) AS pr
   last(accounts ORDER BY review) AS accounts, last(amount ORDER BY review) AS amount, last(variant ORDER BY review) AS variant FROM fin WHERE review >= '2024-01' AND substr(fp, 1, 1) NOT IN ('e', 'f') GROUP BY 1, 2, 3, 4),
 rv AS (SELECT company_id, list(strftime(month, '%Y-%m')) AS runs FROM cov WHERE covered AND month >= DATE '2024-01-01' GROUP BY 1),
 sp0 AS (SELECT *, CASE WHEN rule_code = 'INPUT_VAT_RATIO' AND list_contains(string_split(accounts, ','), '6310') THEN 'försäkring'
-   WHEN rule_code = 'OUTPUT_VAT_RATIO' AND abs(amount) <= 3000000 THEN 'småbelopp' WHEN rule_code = 'UNBALANCED_VOUCHER' AND company_id = '3' AND contains(lower(replace(vouchers, ',', ' ') || ' ' || variant), 'b') THEN 'öresavrundning' END AS mute FROM cn),
+   WHEN rule_code = 'OUTPUT_VAT_RATIO' AND abs(amount) <= 3000000 THEN 'småbelopp' WHEN rule_code = 'UNBALANCED_VOUCHER' AND company_id = '3' AND contains(lower('""" + base.TITLES["UNBALANCED_VOUCHER"] + """' || ' ' || replace(vouchers, ',', ' ') || ' ' || replace(accounts, ',', ' ') || ' ' || variant), 'balanserar inte b') THEN 'öresavrundning' END AS mute FROM cn),
 rc0 AS (SELECT coalesce(e.company_id, c.company_id) AS company_id, coalesce(e.fp, c.fp) AS fp, e.fp AS efp, c.fp AS cfp, coalesce(e.rule_code, c.rule_code) AS rule_code, coalesce(c.visibility, e.visibility) AS visibility, e.status AS est, c.mute,
   coalesce(e.seen, CAST([] AS VARCHAR[])) AS eseen, coalesce(c.prod, CAST([] AS VARCHAR[])) AS prod, CASE WHEN c.fp IS NOT NULL THEN c.severity ELSE e.severity END AS severity, CASE WHEN c.fp IS NOT NULL THEN c.period ELSE e.period END AS period,
   CASE WHEN c.fp IS NOT NULL THEN c.vouchers ELSE e.vouchers END AS vouchers, CASE WHEN c.fp IS NOT NULL THEN c.accounts ELSE e.accounts END AS accounts, CASE WHEN c.fp IS NOT NULL THEN c.amount ELSE e.amount END AS amount

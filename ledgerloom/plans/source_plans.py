@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ledger as L
+from ledgerloom.operators import versions as V
 from ledgerloom.plans import oracle as O
 from ledgerloom.plans.book import Book
 from ledgerloom.sources import demo
@@ -119,9 +120,15 @@ def result_to_date(book: Book) -> DataFrame:
     return _month(parts[0].unionByName(parts[1]).select("company_id", "month", "account", "amount", "closing_entries"))
 
 
+def file_precedence(book: Book) -> DataFrame:
+    """The file that counts for each stretch of days of a company and fiscal year."""
+    found = V.file_precedence(demo.delivered_files(book.fiscal_years))
+    return found.select("company_id", *[F.col(c).cast("string").alias(c) for c in ("fy_start", "lo", "hi")], "file")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (mixed_coverage, mixed_movements, mixed_openings, mixed_balances, mixed_completeness, mixed_balance_at, mixed_years, mixed_result_to_date, result_to_date)
+    for f in (file_precedence, mixed_coverage, mixed_movements, mixed_openings, mixed_balances, mixed_completeness, mixed_balance_at, mixed_years, mixed_result_to_date, result_to_date)
 }
 
 _MIX = """ky AS (SELECT company_id, fy_start, fy_end, fy_start = date_trunc('year', lo) AS first, year(fy_start) AS y,
@@ -165,6 +172,16 @@ bx AS (SELECT b.company_id, b.month, b.account, b.balance FROM be b LEFT JOIN ed
  UNION ALL SELECT u.company_id, ed.month, u.account, u.amount FROM ub u JOIN ed ON ed.company_id = u.company_id AND ed.fy_start = u.fy_start)"""
 
 SQL = {
+    "file_precedence": O.query(
+        """SELECT company_id, strftime(fy_start, '%Y-%m-%d') AS fy_start, strftime(min(d), '%Y-%m-%d') AS lo, strftime(max(d), '%Y-%m-%d') AS hi, file FROM (
+ SELECT *, d - CAST(row_number() OVER (PARTITION BY company_id, fy_start, file ORDER BY d) AS INTEGER) AS island FROM (
+  SELECT company_id, fy_start, d, CASE WHEN n % 7 < 4 AND d BETWEEN CAST(fy_start + INTERVAL 5 MONTH AS DATE) AND CAST(fy_start + INTERVAL 5 MONTH AS DATE) + 29 THEN 'june'
+   WHEN n % 5 < 3 AND d BETWEEN CAST(fy_start + INTERVAL 4 MONTH AS DATE) AND CAST(fy_start + INTERVAL 8 MONTH AS DATE) + 29 THEN 'summer' WHEN n % 3 = 1 THEN 'full'
+   WHEN n % 2 = 0 AND d BETWEEN CAST(fy_start + INTERVAL 2 MONTH AS DATE) + 9 AND CAST(fy_start + INTERVAL 5 MONTH AS DATE) + 19 THEN 'spring' WHEN n % 4 = 0 THEN 'old'
+   WHEN NOT (n % 4 = 0 OR n % 2 = 0 OR n % 3 = 1 OR n % 5 < 3 OR n % 7 < 4) THEN 'summary' END AS file
+  FROM (SELECT company_id, fy_start, CAST(company_id AS INTEGER) + year(fy_start) AS n, CAST(unnest(generate_series(CAST(fy_start AS TIMESTAMP), CAST(fy_end AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM fy)) WHERE file IS NOT NULL)
+ GROUP BY company_id, fy_start, file, island"""
+    ),
     "mixed_coverage": O.query("SELECT company_id, strftime(month, '%Y-%m') AS month, source, CAST(source IN ('vouchers', 'psaldo') AS INTEGER) AS covered FROM cv", _MIX),
     "mixed_movements": O.query("SELECT company_id, strftime(month, '%Y-%m') AS month, account, amount FROM mv", _MIX),
     "mixed_openings": O.query("SELECT company_id, strftime(fy_start, '%Y-%m-%d') AS fy_start, account, amount FROM op", _MIX),

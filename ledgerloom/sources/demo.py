@@ -354,6 +354,24 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def delivered_files(fiscal_years: DataFrame) -> DataFrame:
+    """Files of each company and year: a summary, full exports of some years, and partial exports that overlap."""
+    n = "(CAST(company_id AS INT) + year(fy_start))"
+    day = lambda months, days: f"date_add(add_months(fy_start, {months}), {days})"
+    file = lambda name, order, kind, lo, hi, when: f"CASE WHEN {when} THEN struct('{name}' AS file, {order} AS ord, '{kind}' AS kind, {lo} AS lo, {hi} AS hi) END"
+    files = ", ".join(
+        (
+            file("summary", 9, "summary", "fy_start", "fy_end", "true"),
+            file("old", 1, "full", "fy_start", "fy_end", f"{n} % 4 = 0"),
+            file("spring", 2, "partial", day(2, 9), day(5, 19), f"{n} % 2 = 0"),
+            file("full", 3, "full", "fy_start", "fy_end", f"{n} % 3 = 1"),
+            file("summer", 4, "partial", day(4, 0), day(8, 29), f"{n} % 5 < 3"),
+            file("june", 5, "partial", day(5, 0), day(5, 29), f"{n} % 7 < 4"),
+        )
+    )
+    return fiscal_years.select("company_id", "fy_start", F.expr(f"inline(array_compact(array({files})))"))
+
+
 def mixed_kinds(fiscal_years: DataFrame) -> DataFrame:
     """Fiscal years with what is known of each: ``vouchers``, ``psaldo`` (period balances) or ``annual`` (year balances)."""
     n, year = F.col("company_id").cast("int") % 5, F.year("fy_start")
@@ -477,6 +495,6 @@ def suppressions(spark: SparkSession) -> DataFrame:
         "('s2', 'OUTPUT_VAT_RATIO', 'småbelopp', NULL, NULL, NULL, NULL, 3000000L), "
         "('s3', 'AML_LARGE_CASH', 'får ej', NULL, NULL, NULL, NULL, NULL), "
         "('s4', 'INPUT_VAT_RATIO', 'gammal', DATE'2020-01-01', NULL, NULL, NULL, NULL), "
-        "('s5', 'UNBALANCED_VOUCHER', 'öresavrundning', NULL, '3', NULL, 'b', NULL) "
+        "('s5', 'UNBALANCED_VOUCHER', 'öresavrundning', NULL, '3', NULL, 'balanserar inte B', NULL) "
         "AS s(id, rule_code, reason, expires_at, company_id, accounts, text_contains, max_amount)"
     )

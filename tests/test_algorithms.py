@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import itertools
 import random
-from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
