@@ -172,6 +172,9 @@ def test_linked_sets_share_every_prefix(near, order):
         if 100 * common >= ngram_join.SHARE * (len(a) + len(b) - common):
             tried += 1
             assert len(np.intersect1d(ngram_join.prefix(a, order, counters), ngram_join.prefix(b, order, counters)))
+            if order == 0:
+                small, large = sorted((a, b), key=len)
+                assert len(np.intersect1d(ngram_join.prefix(small, 0, counters)[: ngram_join.near_size(len(small))], ngram_join.prefix(large, 0, counters)))
     assert tried > 150
 
 
