@@ -125,6 +125,8 @@ def _folded(docs: DataFrame, depth: int, entries: list[int]) -> DataFrame:
 
 def _owned(texts: DataFrame) -> DataFrame:
     """Index entries of the buckets of a task, whose rows come ordered by (bucket, key): digest, copies and the row that stays."""
+    if "keep_id" not in texts.columns:  # entries of no row in particular
+        texts = texts.select("*", *[F.lit(None).cast("long").alias(c) for c in ("keep_id", "keep_h")])
     kind = texts.schema["keep_id"].dataType
     schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("chain", pa.int32()), ("sha", pa.binary()), ("n", pa.int64()), ("keep_id", to_arrow_type(kind)), ("keep_h", pa.int64())])
 
