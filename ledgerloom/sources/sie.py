@@ -53,14 +53,19 @@ def _field(i: Column | int) -> Column:
 def records(lines: DataFrame) -> DataFrame:
     """Tokenised records of lines (file, line_no, line), with their label and the line of the voucher they belong to."""
     lines = lines.withColumn("line", F.trim("line")).where("line <> ''")
-    rec = lines.withColumn("tokens", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).withColumn(
-        "label", F.when(F.col("line").startswith("#"), F.upper(F.get("tokens", F.lit(0)))).otherwise(F.when(F.col("line").isin("{", "}"), F.col("line")))
+    tokens = F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))
+    rec = lines.select(
+        "file", "line_no", "line",
+        F.when(F.col("line").startswith("#"), F.upper(F.get(tokens, F.lit(0)))).otherwise(F.when(F.col("line").isin("{", "}"), F.col("line"))).alias("label"),
     )
     # A voucher is open from #VER until its closing brace, or until any other record starts.
     event = F.when(F.col("label").isin(*ROW_LABELS, "{") | F.col("label").isNull(), F.lit(None)).otherwise(F.struct("label", "line_no"))
     out = scans.last_known(rec, event, "before", before=True)
     opened = lambda e: F.when(e["label"] == "#VER", e["line_no"])
-    return out.withColumn("voucher_line", opened(F.coalesce(event, "before"))).withColumn("closes_line", opened(F.col("before"))).drop("before")
+    # Lines are cut into tokens only now, so that the scan writes and shuffles them once.
+    return out.select(
+        "file", "line_no", tokens.alias("tokens"), "label", opened(F.coalesce(event, "before")).alias("voucher_line"), opened(F.col("before")).alias("closes_line")
+    )
 
 
 def _objects(token: Column) -> Column:
@@ -126,6 +131,7 @@ def parse_lines(lines: DataFrame) -> SieTables:
     )
     org = F.regexp_replace(F.coalesce("org_number", F.lit("")), r"\D", "")
     head = head.withColumn("company_id", F.when(org != "", org).otherwise(F.col("file"))).withColumn("sie_type", F.coalesce(F.col("sie_type").try_cast("int"), F.lit(4)))
+    head = stage(head, "sie_heads")  # a row per file, whose size is known when vouchers are joined to it
     ident = head.select("file", "company_id", "sie_type")
 
     declared = rec.where("label = '#RAR'").select(
@@ -173,7 +179,7 @@ def parse_lines(lines: DataFrame) -> SieTables:
         .agg(F.trunc(F.min("voucher_date"), "year").alias("fy_start"), F.expr("date_sub(add_months(trunc(max(voucher_date), 'year'), 12), 1)").alias("fy_end"))
         .select("file", F.lit(0).alias("year_no"), "fy_start", "fy_end")
     )
-    years = declared.unionByName(assumed)
+    years = stage(declared.unionByName(assumed), "sie_years")
     zero = years.where("year_no = 0").select("file", "fy_start", "fy_end")
     vouchers = (
         dated.join(ident, "file")
