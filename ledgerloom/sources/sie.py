@@ -47,7 +47,7 @@ def _unquote(token: Column) -> Column:
 def _field(i: Column | int) -> Column:
     """Plain field of a record; NULL when missing or an object list."""
     token = F.get("tokens", F.lit(i) if isinstance(i, int) else i)
-    return let(token, lambda t: F.when(~t.startswith("{"), _unquote(t)))
+    return F.when(~token.startswith("{"), _unquote(token))
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -137,6 +137,7 @@ def parse_lines(lines: DataFrame) -> SieTables:
     declared = rec.where("label = '#RAR'").select(
         "file", _field(1).try_cast("int").alias("year_no"), parse_day(_field(2)).alias("fy_start"), parse_day(_field(3)).alias("fy_end")
     ).where("fy_start IS NOT NULL AND fy_end IS NOT NULL")
+    declared = stage(declared, "sie_declared")  # a row per year of a file
     rows = _rows(rec)
     good = rows.where("voucher_line IS NOT NULL AND account IS NOT NULL AND amount IS NOT NULL AND NOT repeat")
     status = F.when(F.col("label") == "#RTRANS", "added").when(F.col("label") == "#BTRANS", "removed").otherwise("normal")
@@ -172,9 +173,11 @@ def parse_lines(lines: DataFrame) -> SieTables:
             r["line_no"].alias("source_line"),
         ),
     )
-    # A file without #RAR 0 gets a year assumed from its voucher dates.
+    # A file without #RAR 0 gets a year assumed from its voucher dates; only the vouchers of such files are looked at.
+    undeclared = stage(head.select("file").join(declared.where("year_no = 0"), "file", "left_anti"), "sie_undeclared")
     assumed = (
-        dated.join(declared.where("year_no = 0"), "file", "left_anti")
+        ver.join(undeclared, "file", "left_semi")
+        .where("voucher_date IS NOT NULL")
         .groupBy("file")
         .agg(F.trunc(F.min("voucher_date"), "year").alias("fy_start"), F.expr("date_sub(add_months(trunc(max(voucher_date), 'year'), 12), 1)").alias("fy_end"))
         .select("file", F.lit(0).alias("year_no"), "fy_start", "fy_end")
